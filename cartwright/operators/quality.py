@@ -87,15 +87,23 @@ def quality_report(raw: DataFrame, table: str) -> DataFrame:
 
 
 def quality_reports(raw: Mapping[str, DataFrame]) -> DataFrame:
-    """The reports of all tables, plus the total number of issues fixed."""
+    """The reports of all tables, plus the total number of issues fixed, in the same pass."""
     reports = reduce(
         DataFrame.unionByName, [quality_report(df, name) for name, df in raw.items()]
     )
-    fixed = F.when(F.col("measure").isin(*ISSUES.values()), F.col("count"))
-    total = reports.groupBy(
+    own = F.struct("table", "measure")
+    overall = F.struct(
         F.lit("all tables").alias("table"), F.lit("total issues fixed").alias("measure")
-    ).agg(F.sum(fixed).alias("count"))
-    return reports.unionByName(total)
+    )
+    places = F.when(F.col("measure").isin(*ISSUES.values()), F.array(own, overall)).otherwise(
+        F.array(own)
+    )
+    return (
+        reports.select(F.explode(places).alias("place"), "count")
+        .groupBy("place")
+        .agg(F.sum("count").alias("count"))
+        .select("place.table", "place.measure", "count")
+    )
 
 
 def unique_violations(df: DataFrame, column: str) -> DataFrame:
@@ -108,27 +116,33 @@ def unique_violations(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _check(model: str, column: str, rule: str) -> list[Column]:
-    return [F.lit(model).alias("model"), F.lit(column).alias("column_name"),
-            F.lit(rule).alias("rule")]
+def _line(model: str, column: str, rule: str, failures: Column) -> Column:
+    return F.struct(
+        F.lit(model).alias("model"),
+        F.lit(column).alias("column_name"),
+        F.lit(rule).alias("rule"),
+        failures.alias("failures"),
+    )
 
 
 def constraint_violations(staged: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per declared check: how many values or rows break it (0 = passed)."""
+    """One row per declared check: how many values or rows break it (0 = passed).
+
+    Per frame, one pass answers all null and value checks, and one grouping per unique column.
+    """
     checks = []
     for model, columns in UNIQUE.items():
         for c in columns:
-            bad = unique_violations(staged[model], c).agg(F.count("*").alias("failures"))
-            checks.append(bad.select(*_check(model, c, "unique"), "failures"))
-    for model, columns in NOT_NULL.items():
-        missing = staged[model].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-        for c in columns:
-            checks.append(
-                missing.select(*_check(model, c, "not_null"), F.col(c).alias("failures"))
-            )
-    for model, rules in ACCEPTED.items():
-        for c, values in rules.items():
+            bad = unique_violations(staged[model], c).agg(F.count("*").alias("n"))
+            checks.append(bad.select(F.inline(F.array(_line(model, c, "unique", F.col("n"))))))
+    for model in dict.fromkeys([*NOT_NULL, *ACCEPTED]):
+        counts, lines = [], []
+        for c in NOT_NULL.get(model, ()):
+            counts.append(F.count_if(F.col(c).isNull()).alias(f"missing_{c}"))
+            lines.append(_line(model, c, "not_null", F.col(f"missing_{c}")))
+        for c, values in ACCEPTED.get(model, {}).items():
             other = F.when(~F.col(c).isin(*values), F.col(c))
-            bad = staged[model].agg(F.countDistinct(other).alias("failures"))
-            checks.append(bad.select(*_check(model, c, "accepted_values"), "failures"))
+            counts.append(F.countDistinct(other).alias(f"other_{c}"))
+            lines.append(_line(model, c, "accepted_values", F.col(f"other_{c}")))
+        checks.append(staged[model].agg(*counts).select(F.inline(F.array(*lines))))
     return reduce(DataFrame.unionByName, checks)

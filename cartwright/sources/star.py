@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwright.sources.schemas import RAW_TABLES
+
 # Fixed values of the mapping.
 STATUS = {"F": "delivered", "O": "shipped", "P": "processing"}
 PAYMENT = {"A": "credit_card", "N": "boleto", "R": "voucher"}
@@ -38,6 +40,14 @@ def _after(start: Column, days=0, hours=0) -> Column:
     return start + F.make_dt_interval(days.cast("int"), hours.cast("int"))
 
 
+def _text(c: str, name: str | None = None) -> Column:
+    return F.col(c).cast("string").alias(name or c)
+
+
+def _moment(c: str, name: str, missing: str = "") -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(missing)).alias(name)
+
+
 class Star:
     """Typed canonical frames over the Parquet star tables in one folder."""
 
@@ -176,116 +186,126 @@ class Star:
             .withColumn("is_positive", F.coalesce(F.col("score") >= 4, F.lit(False)))
         )
 
-    @cached_property
-    def raw_tables(self) -> dict[str, DataFrame]:
-        """The nine raw tables as text, with blemishes that depend only on the row.
+    def raw(self, name: str) -> DataFrame:
+        """One of the raw tables as text, with blemishes that depend only on the row.
 
         Padded status text, blank and ``None`` dates, repeated rows (returned items), missing
         customer keys (negative balances), numbers that are words (small quantities).
         """
+        return getattr(self, f"_raw_{name}")()
 
-        def text(c: str) -> Column:
-            return F.col(c).cast("string")
-
-        def moment(c: str) -> Column:
-            return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
-
-        lines = self.table("lineitem")
-        items = lines.select(
-            text("l_orderkey").alias("order_id"),
-            text("l_linenumber").alias("order_item_id"),
-            text("l_partkey").alias("product_id"),
-            text("l_suppkey").alias("seller_id"),
-            moment("l_shipdate").alias("shipping_limit_date"),
-            F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("price"),
-            F.when(F.col("l_quantity") <= 2, F.lit("unknown"))
-            .otherwise(
-                (F.col("l_extendedprice").cast("decimal(10,2)") * F.col("l_tax").cast("decimal(4,2)"))
-                .cast("decimal(10,2)")
-                .cast("string")
+    @property
+    def raw_tables(self) -> dict[str, DataFrame]:
+        return {name: self.raw(name) for name in RAW_TABLES}
+
+    def _raw_customers_dataset(self) -> DataFrame:
+        balance = self.table("customer").select(F.col("c_custkey").alias("customer_id"), "c_acctbal")
+        return self.customers.join(balance, "customer_id").select(
+            _text("customer_id"),
+            F.when(F.col("c_acctbal") < 0, F.lit("nan"))
+            .otherwise(F.col("unique_id").cast("string"))
+            .alias("customer_unique_id"),
+            F.col("zip_code").alias("customer_zip_code_prefix"),
+            F.concat(F.lit("  "), "city").alias("customer_city"),
+            F.concat("state", F.lit("\t")).alias("customer_state"),
+        )
+
+    def _raw_sellers_dataset(self) -> DataFrame:
+        return self.sellers.select(
+            _text("seller_id"),
+            F.col("zip_code").alias("seller_zip_code_prefix"),
+            F.col("city").alias("seller_city"),
+            F.col("state").alias("seller_state"),
+        )
+
+    def _raw_products_dataset(self) -> DataFrame:
+        return self.table("part").select(
+            _text("p_partkey", "product_id"),
+            F.lower("p_type").alias("product_category_name"),
+            F.length("p_name").cast("string").alias("product_name_lenght"),
+            F.length("p_type").cast("string").alias("product_description_lenght"),
+            (F.col("p_size") % 6).cast("string").alias("product_photos_qty"),
+            (F.col("p_size") * 100).cast("string").alias("product_weight_g"),
+            _text("p_size", "product_length_cm"),
+            _text("p_size", "product_height_cm"),
+            _text("p_size", "product_width_cm"),
+        )
+
+    def _raw_orders_dataset(self) -> DataFrame:
+        return self.orders.select(
+            _text("order_id"),
+            _text("customer_id"),
+            F.concat(F.lit(" "), "status", F.lit(" ")).alias("order_status"),
+            _moment("purchased_at", "order_purchase_timestamp"),
+            _moment("approved_at", "order_approved_at", missing="None"),
+            _moment("shipped_at", "order_delivered_carrier_date"),
+            _moment("delivered_at", "order_delivered_customer_date"),
+            _moment("estimated_delivery_at", "order_estimated_delivery_date"),
+        )
+
+    def _raw_order_items_dataset(self) -> DataFrame:
+        price = F.col("l_extendedprice").cast("decimal(10,2)")
+        freight = (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(10,2)")
+        # A returned line appears twice, the second time with a padded seller.
+        sellers = F.when(
+            F.col("l_returnflag") == "R", F.array(F.lit(""), F.lit(" "))
+        ).otherwise(F.array(F.lit("")))
+        return (
+            self.table("lineitem")
+            .withColumn("padding", F.explode(sellers))
+            .select(
+                _text("l_orderkey", "order_id"),
+                _text("l_linenumber", "order_item_id"),
+                _text("l_partkey", "product_id"),
+                F.concat("padding", F.col("l_suppkey").cast("string")).alias("seller_id"),
+                _moment("l_shipdate", "shipping_limit_date"),
+                price.cast("string").alias("price"),
+                F.when(F.col("l_quantity") <= 2, F.lit("unknown"))
+                .otherwise(freight.cast("string"))
+                .alias("freight_value"),
             )
-            .alias("freight_value"),
-            F.col("l_returnflag"),
         )
-        repeated = items.filter(F.col("l_returnflag") == "R").withColumn(
-            "seller_id", F.concat(F.lit(" "), "seller_id")
+
+    def _raw_order_payments_dataset(self) -> DataFrame:
+        return self.order_payments.select(
+            _text("order_id"),
+            F.col("payment_sequence").alias("payment_sequential"),
+            "payment_type",
+            _text("installments", "payment_installments"),
+            _text("payment_value"),
+        )
+
+    def _raw_order_reviews_dataset(self) -> DataFrame:
+        return self.order_reviews.select(
+            "review_id",
+            _text("order_id"),
+            _text("score", "review_score"),
+            F.lit("").alias("review_comment_title"),
+            F.col("comment").alias("review_comment_message"),
+            _moment("reviewed_at", "review_creation_date"),
+            _moment("answered_at", "review_answer_timestamp"),
+        )
+
+    def _raw_geolocation_dataset(self) -> DataFrame:
+        return self.table("nation").select(
+            F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("geolocation_zip_code_prefix"),
+            _text("n_nationkey", "geolocation_lat"),
+            F.when(F.col("n_regionkey") == 0, F.lit("east"))
+            .otherwise(F.col("n_regionkey").cast("string"))
+            .alias("geolocation_lng"),
+            F.col("n_name").alias("geolocation_city"),
+            F.col("n_name").alias("geolocation_state"),
         )
-        part = self.table("part")
-        orders = self.orders
-        return {
-            "customers_dataset": self.customers.join(
-                self.table("customer").select("c_custkey", "c_acctbal"),
-                F.col("customer_id") == F.col("c_custkey"),
-            ).select(
-                text("customer_id").alias("customer_id"),
-                F.when(F.col("c_acctbal") < 0, F.lit("nan"))
-                .otherwise(text("unique_id"))
-                .alias("customer_unique_id"),
-                F.col("zip_code").alias("customer_zip_code_prefix"),
-                F.concat(F.lit("  "), "city").alias("customer_city"),
-                F.concat("state", F.lit("\t")).alias("customer_state"),
-            ),
-            "sellers_dataset": self.sellers.select(
-                text("seller_id").alias("seller_id"),
-                F.col("zip_code").alias("seller_zip_code_prefix"),
-                F.col("city").alias("seller_city"),
-                F.col("state").alias("seller_state"),
-            ),
-            "products_dataset": part.select(
-                text("p_partkey").alias("product_id"),
-                F.lower("p_type").alias("product_category_name"),
-                F.length("p_name").cast("string").alias("product_name_lenght"),
-                F.length("p_type").cast("string").alias("product_description_lenght"),
-                (F.col("p_size") % 6).cast("string").alias("product_photos_qty"),
-                (F.col("p_size") * 100).cast("string").alias("product_weight_g"),
-                text("p_size").alias("product_length_cm"),
-                text("p_size").alias("product_height_cm"),
-                text("p_size").alias("product_width_cm"),
-            ),
-            "orders_dataset": orders.select(
-                text("order_id").alias("order_id"),
-                text("customer_id").alias("customer_id"),
-                F.concat(F.lit(" "), "status", F.lit(" ")).alias("order_status"),
-                moment("purchased_at").alias("order_purchase_timestamp"),
-                F.coalesce(F.nullif(moment("approved_at"), F.lit("")), F.lit("None")).alias(
-                    "order_approved_at"
-                ),
-                moment("shipped_at").alias("order_delivered_carrier_date"),
-                moment("delivered_at").alias("order_delivered_customer_date"),
-                moment("estimated_delivery_at").alias("order_estimated_delivery_date"),
-            ),
-            "order_items_dataset": items.unionByName(repeated).drop("l_returnflag"),
-            "order_payments_dataset": self.order_payments.select(
-                text("order_id").alias("order_id"),
-                F.col("payment_sequence").alias("payment_sequential"),
-                F.col("payment_type"),
-                text("installments").alias("payment_installments"),
-                text("payment_value").alias("payment_value"),
-            ),
-            "order_reviews_dataset": self.order_reviews.select(
-                F.col("review_id"),
-                text("order_id").alias("order_id"),
-                text("score").alias("review_score"),
-                F.lit("").alias("review_comment_title"),
-                F.col("comment").alias("review_comment_message"),
-                moment("reviewed_at").alias("review_creation_date"),
-                moment("answered_at").alias("review_answer_timestamp"),
-            ),
-            "geolocation_dataset": self.table("nation").select(
-                F.lpad(text("n_nationkey"), 5, "0").alias("geolocation_zip_code_prefix"),
-                text("n_nationkey").alias("geolocation_lat"),
-                F.when(F.col("n_regionkey") == 0, F.lit("east"))
-                .otherwise(text("n_regionkey"))
-                .alias("geolocation_lng"),
-                F.col("n_name").alias("geolocation_city"),
-                F.col("n_name").alias("geolocation_state"),
-            ),
-            # One row per product type that has a translation, read off the part table.
-            "product_category_name_translation": part.select(F.lower("p_type").alias("kind"))
+
+    def _raw_product_category_name_translation(self) -> DataFrame:
+        """One row per product type that has a translation, read off the part table."""
+        return (
+            self.table("part")
+            .select(F.lower("p_type").alias("product_category_name"))
             .distinct()
-            .select(
-                F.col("kind").alias("product_category_name"),
-                _mapped(F.col("kind"), TRANSLATION).alias("product_category_name_english"),
+            .withColumn(
+                "product_category_name_english",
+                _mapped(F.col("product_category_name"), TRANSLATION),
             )
-            .filter(F.col("product_category_name_english").isNotNull()),
-        }
+            .filter(F.col("product_category_name_english").isNotNull())
+        )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwright.functions.dates import elapsed_days
 from cartwright.operators import quality
-from cartwright.plans import cohorts, enriched, marts, reports, staging
+from cartwright.plans import cohorts, enriched, marts, recommend, reports, staging
 from cartwright.session import materialize
 from cartwright.sources.star import AS_OF, Star
 
@@ -62,8 +62,8 @@ def _metrics(s: Star) -> DataFrame:
     return marts.customer_metrics(_dim(s))
 
 
-def _staged(s: Star) -> dict[str, DataFrame]:
-    return staging.all_staged(quality.clean_all(s.raw_tables))
+def _clean(s: Star, table: str) -> DataFrame:
+    return quality.clean(s.raw(table), table)
 
 
 # ---- staging, enrichment, marts -------------------------------------------------------------
@@ -71,37 +71,39 @@ def _staged(s: Star) -> dict[str, DataFrame]:
 
 @query
 def stg_orders(s: Star) -> DataFrame:
-    return _staged(s)["stg_orders"]
+    return staging.orders(_clean(s, "orders_dataset"))
 
 
 @query
 def stg_customers(s: Star) -> DataFrame:
-    return _staged(s)["stg_customers"]
+    return staging.customers(_clean(s, "customers_dataset"))
 
 
 @query
 def stg_sellers(s: Star) -> DataFrame:
-    return _staged(s)["stg_sellers"]
+    return staging.sellers(_clean(s, "sellers_dataset"))
 
 
 @query
 def stg_products(s: Star) -> DataFrame:
-    return _staged(s)["stg_products"]
+    return staging.products(
+        _clean(s, "products_dataset"), _clean(s, "product_category_name_translation")
+    )
 
 
 @query
 def stg_order_items(s: Star) -> DataFrame:
-    return _as_double(_staged(s)["stg_order_items"])
+    return _as_double(staging.order_items(_clean(s, "order_items_dataset")))
 
 
 @query
 def stg_order_payments(s: Star) -> DataFrame:
-    return _as_double(_staged(s)["stg_order_payments"])
+    return _as_double(staging.order_payments(_clean(s, "order_payments_dataset")))
 
 
 @query
 def stg_order_reviews(s: Star) -> DataFrame:
-    return _staged(s)["stg_order_reviews"]
+    return staging.order_reviews(_clean(s, "order_reviews_dataset"))
 
 
 @query
@@ -305,4 +307,61 @@ def quality_report(s: Star) -> DataFrame:
 
 @query
 def constraint_violations(s: Star) -> DataFrame:
-    return quality.constraint_violations(_staged(s))
+    return quality.constraint_violations(staging.all_staged(quality.clean_all(s.raw_tables)))
+
+
+# ---- recommender ----------------------------------------------------------------------------
+
+
+def _purchases(s: Star) -> DataFrame:
+    items = enriched.order_items_enriched(s.order_items, s.products_by_brand, s.sellers)
+    return recommend.category_purchases(items, _facts(s))
+
+
+@query
+def category_purchases(s: Star) -> DataFrame:
+    return _as_double(_purchases(s))
+
+
+@query
+def user_item_matrix(s: Star) -> DataFrame:
+    stored = materialize(_purchases(s), "purchases")
+    return recommend.user_item_matrix(stored, recommend.category_names(stored))
+
+
+@query
+def category_popularity(s: Star) -> DataFrame:
+    return recommend.category_popularity(_purchases(s))
+
+
+@query
+def top_category_popularity(s: Star) -> DataFrame:
+    return recommend.category_popularity(_purchases(s), 15)
+
+
+@query
+def matrix_stats(s: Star) -> DataFrame:
+    return recommend.matrix_stats(_purchases(s))
+
+
+@query
+def similar_customers(s: Star) -> DataFrame:
+    vectors, _ = recommend.prepared(_purchases(s))
+    return recommend.similar_customers(recommend.neighbour_lists(vectors))
+
+
+@query
+def recommendations(s: Star) -> DataFrame:
+    vectors, categories = recommend.prepared(_purchases(s))
+    return recommend.recommendations(recommend.neighbour_lists(vectors), categories)
+
+
+@query
+def recommendation_text(s: Star) -> DataFrame:
+    vectors, categories = recommend.prepared(_purchases(s))
+    return recommend.recommendation_text(recommend.neighbour_lists(vectors), categories)
+
+
+@query
+def already_purchased(s: Star) -> DataFrame:
+    return recommend.already_purchased(_purchases(s))

@@ -76,6 +76,30 @@ CTES: dict[str, str] = {
                l_shipdate + to_days(5) as reviewed_at, l_shipdate + to_days(6) as answered_at,
                1 + cast(l_quantity as integer) % 5 >= 4 as is_positive
         from lineitem where l_linenumber = 1""",
+    "clean_orders": """
+        select * replace (cast(order_id as varchar) as order_id,
+                          cast(customer_id as varchar) as customer_id) from stg_orders""",
+    "clean_customers": """
+        select * replace (cast(customer_id as varchar) as customer_id,
+                          cast(unique_id as varchar) as unique_id)
+        from stg_customers
+        where customer_id in (select c_custkey from customer where c_acctbal >= 0)""",
+    "clean_items": """
+        select *, price + freight_value as total_amount from (
+            select distinct cast(order_id as varchar) as order_id, item_sequence,
+                   cast(product_id as varchar) as product_id,
+                   cast(seller_id as varchar) as seller_id, shipping_limit_at, price,
+                   case when l_quantity > 2 then freight_value end as freight_value
+            from stg_order_items)""",
+    "clean_payments": """
+        select distinct * replace (cast(order_id as varchar) as order_id)
+        from stg_order_payments""",
+    "clean_reviews": """
+        select distinct * replace (cast(order_id as varchar) as order_id)
+        from stg_order_reviews""",
+    "translated": """
+        select distinct lower(p_type) from part
+        where lower(p_type) in ('economy', 'medium', 'promo', 'standard')""",
     # ---- intermediate frames -----------------------------------------------------------------
     "payment_totals": """
         select order_id, sum(payment_value) as total_payment, max(installments) as max_installments,
@@ -180,6 +204,44 @@ CTES: dict[str, str] = {
         select a.cohort_month, strftime(a.cohort_month, '%Y-%m') as cohort, a.period,
                round(round(a.customers / cast(z.customers as double), 4) * 100, 2) as retention_pct
         from activity a join activity z on a.cohort_month = z.cohort_month and z.period = 0""",
+    # ---- recommender ---------------------------------------------------------------------------
+    "purchases": """
+        select f.customer_unique_id, i.product_brand as product_category,
+               count(*) as purchase_count, sum(i.total_amount) as total_spent
+        from int_items i join fct f on i.order_id = f.order_id
+        where f.status = 'delivered' and i.product_brand is not null
+        group by f.customer_unique_id, i.product_brand""",
+    "norms": """
+        select customer_unique_id as id, cast(sum(purchase_count * purchase_count) as double) as nn
+        from purchases group by customer_unique_id""",
+    "dots": """
+        select a.customer_unique_id as x, b.customer_unique_id as y,
+               cast(sum(a.purchase_count * b.purchase_count) as double) as dot
+        from purchases a join purchases b on a.product_category = b.product_category
+        group by 1, 2""",
+    "neighbours": """
+        select *, row_number() over (partition by x order by similarity desc, y) as place
+        from (select a.id as x, b.id as y,
+                     round(coalesce(d.dot, 0) / sqrt(a.nn * b.nn), 10) as similarity
+              from norms a join norms b on a.id <> b.id
+              left join dots d on d.x = a.id and d.y = b.id)
+        qualify place <= 10""",
+    "recs": """
+        select *, row_number() over (partition by customer_unique_id
+                                     order by score desc, category) as place
+        from (
+            select n.id as customer_unique_id, c.category,
+                   coalesce(round(w.score, 6), 0) as score
+            from norms n cross join (select distinct product_category as category from purchases) c
+            left join (
+                select x, product_category,
+                       sum(similarity * purchase_count) as score
+                from neighbours join purchases on y = customer_unique_id
+                group by x, product_category
+            ) w on w.x = n.id and w.product_category = c.category
+            where not exists (select 1 from purchases b where b.customer_unique_id = n.id
+                              and b.product_category = c.category))
+        qualify place <= 3""",
     "histogram": """
         select delivery_days, count(*) as orders from fct
         where status = 'delivered' and delivery_days between 1 and 60 group by delivery_days""",
@@ -198,6 +260,8 @@ def sql(text: str) -> str:
                     needed.append(name)
 
     visit(text)
+    if text.startswith("with_total"):
+        text = ", " + text
     if not needed:
         return text
     return "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in needed) + "\n" + text
@@ -211,6 +275,67 @@ def _avg(column: str, digits: int = 2) -> str:
     return f"round(cast(sum({column}) as double) / nullif(count({column}), 0), {digits})"
 
 
+PERIODS = 79  # months between the first and the last order month of the star tables, plus one
+
+
+def _report(
+    table: str, before: str, after: str, rows: str = "count(*)", dropped: str = "max(0)",
+    blanks: str = "max(0)", invalid: str = "max(0)",
+) -> str:
+    """Lines of the quality report; issue counts other than drops are taken after cleaning."""
+    n, kept = f"(select {rows} from {before})", f"(select count(*) from {after})"
+    lost = f"(select {dropped} from {before})"
+    counts = {
+        "rows before": n,
+        "duplicate rows removed": f"{n} - {kept} - {lost}"
+        if before != after else "0",
+        "null required rows dropped": lost,
+        "empty timestamps fixed": f"(select {blanks} from {after})",
+        "invalid numeric values": f"(select {invalid} from {after})",
+        "rows after": f"{kept} - {lost}" if before == after else kept,
+    }
+    lines = [
+        f"select '{table}' as \"table\", '{m}' as measure, cast({c} as bigint) as count"
+        for m, c in counts.items()
+    ]
+    return " union all ".join(lines)
+
+
+def _with_total(reports: str) -> str:
+    return (
+        f"with_total as (select * from ({reports}))\n"
+        "select * from with_total union all select 'all tables', 'total issues fixed', "
+        "cast(sum(count) as bigint) from with_total where measure not in ('rows before', "
+        "'rows after')"
+    )
+
+
+def _violations(model: str, column: str, rule: str, count: str) -> str:
+    return (
+        f"select '{model}' as model, '{column}' as column_name, '{rule}' as rule, "
+        f"({count}) as failures"
+    )
+
+
+def _unique(model: str, frame: str, column: str) -> str:
+    repeats = f"select {column} from {frame} group by {column} having count(*) > 1"
+    return _violations(model, column, "unique", f"select count(*) from ({repeats})")
+
+
+def _not_null(model: str, frame: str, column: str) -> str:
+    return _violations(
+        model, column, "not_null", f"select count(*) from {frame} where {column} is null"
+    )
+
+
+def _accepted(model: str, frame: str, column: str, values: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values.split())
+    return _violations(
+        model, column, "accepted_values",
+        f"select count(distinct {column}) from {frame} where {column} not in ({listed})",
+    )
+
+
 FCT_COLUMNS = """order_id, customer_id, customer_unique_id, status, primary_payment_type,
     max_installments, item_count, cast(order_value as double) as order_value,
     cast(total_payment as double) as total_payment, purchased_at, approved_at, shipped_at,
@@ -258,7 +383,7 @@ QUERIES: dict[str, str] = {
         from fct where status = 'delivered' group by customer_state
         order by orders desc, customer_state limit 10""",
     "state_labels": f"""
-        select customer_state, revenue, '$' || format('{{:,}}', cast(round(revenue) as bigint)) as label
+        select customer_state, revenue, '$' || format('{{:,}}', cast(round_even(revenue, 0) as bigint)) as label
         from (select customer_state, {_money('sum(order_value)')} as revenue
               from fct where status = 'delivered' group by customer_state
               order by revenue desc, customer_state limit 10)""",
@@ -363,16 +488,102 @@ QUERIES: dict[str, str] = {
         select user_id, min(ts) as first_at, max(ts) as last_at,
                datesub('day', min(ts), max(ts)) as days_between, count(*) as events
         from events group by user_id""",
-    "stg_orders": "select * from stg_orders",
-    "stg_customers": "select * from stg_customers",
-    "stg_sellers": "select * from stg_sellers",
-    "stg_products": "select * exclude (brand) from stg_products",
+    "cohort_matrix": "select cohort_month, "
+    + ", ".join(f"max(case when period = {p} then customers end) as m{p}" for p in range(PERIODS))
+    + " from activity group by cohort_month",
+    # The staged frames start from text tables, blemished and cleaned again.
+    "stg_orders": "select * from clean_orders",
+    "stg_customers": "select * from clean_customers",
+    "stg_sellers": "select * replace (cast(seller_id as varchar) as seller_id) from stg_sellers",
+    "stg_products": """
+        select * exclude (brand) replace (cast(product_id as varchar) as product_id)
+        from stg_products""",
     "stg_order_items": """
-        select order_id, item_sequence, product_id, seller_id, shipping_limit_at,
-               cast(price as double) as price, cast(freight_value as double) as freight_value,
-               cast(total_amount as double) as total_amount from stg_order_items""",
+        select * replace (cast(price as double) as price,
+                          cast(freight_value as double) as freight_value,
+                          cast(total_amount as double) as total_amount) from clean_items""",
     "stg_order_payments": """
-        select * replace (cast(payment_value as double) as payment_value)
-        from stg_order_payments""",
-    "stg_order_reviews": "select * from stg_order_reviews",
+        select * replace (cast(payment_value as double) as payment_value) from clean_payments""",
+    "stg_order_reviews": "select * from clean_reviews",
+    "quality_report": _with_total(" union all ".join(
+        [
+            _report("customers_dataset", "customer", "customer",
+                    dropped="count(*) filter (c_acctbal < 0)"),
+            _report("sellers_dataset", "supplier", "supplier"),
+            _report("products_dataset", "part", "part"),
+            _report("orders_dataset", "stg_orders", "stg_orders",
+                    blanks="sum(cast(approved_at is null as int) + cast(shipped_at is null as int)"
+                           " + cast(delivered_at is null as int))"),
+            _report("order_items_dataset", "stg_order_items", "clean_items",
+                    rows="sum(case l_returnflag when 'R' then 2 else 1 end)",
+                    invalid="count(*) filter (freight_value is null)"),
+            _report("order_payments_dataset", "stg_order_payments", "clean_payments"),
+            _report("order_reviews_dataset", "stg_order_reviews", "clean_reviews"),
+            _report("geolocation_dataset", "nation", "nation",
+                    invalid="count(*) filter (n_regionkey = 0)"),
+            _report("product_category_name_translation", "translated", "translated"),
+        ]
+    )),
+    "constraint_violations": " union all ".join(
+        [
+            _unique("stg_orders", "clean_orders", "order_id"),
+            _unique("stg_customers", "clean_customers", "customer_id"),
+            _unique("stg_order_reviews", "clean_reviews", "review_id"),
+            _unique("stg_products", "stg_products", "product_id"),
+            _unique("stg_sellers", "stg_sellers", "seller_id"),
+            _not_null("stg_orders", "clean_orders", "order_id"),
+            _not_null("stg_orders", "clean_orders", "customer_id"),
+            _not_null("stg_customers", "clean_customers", "customer_id"),
+            _not_null("stg_order_items", "clean_items", "order_id"),
+            _not_null("stg_order_items", "clean_items", "price"),
+            _not_null("stg_order_payments", "clean_payments", "order_id"),
+            _not_null("stg_order_reviews", "clean_reviews", "review_id"),
+            _not_null("stg_products", "stg_products", "product_id"),
+            _not_null("stg_sellers", "stg_sellers", "seller_id"),
+            _accepted("stg_orders", "clean_orders", "status",
+                      "delivered shipped canceled processing invoiced approved"),
+            _accepted("stg_order_payments", "clean_payments", "payment_type",
+                      "credit_card boleto voucher debit_card"),
+        ]
+    ),
+    "category_purchases": """
+        select customer_unique_id, product_category, purchase_count,
+               cast(total_spent as double) as total_spent from purchases""",
+    "user_item_matrix": "select customer_unique_id, "
+    + ", ".join(
+        f"cast(coalesce(sum(purchase_count) filter (product_category = 'Brand#{b}'), 0) as bigint)"
+        f' as "Brand#{b}"' for b in range(1, 26)
+    )
+    + " from purchases group by customer_unique_id",
+    "category_popularity": """
+        select product_category, cast(sum(purchase_count) as bigint) as purchases
+        from purchases group by product_category""",
+    "top_category_popularity": """
+        select product_category, cast(sum(purchase_count) as bigint) as purchases
+        from purchases group by product_category
+        order by purchases desc, product_category limit 15""",
+    "matrix_stats": """
+        select customers, categories,
+               round(1 - filled / cast(customers * categories as double), 6) as sparsity
+        from (select count(distinct customer_unique_id) as customers,
+                     count(distinct product_category) as categories, count(*) as filled
+              from purchases)""",
+    "similar_customers": """
+        select x as customer_unique_id, cast(place as integer) as place, y as neighbour, similarity
+        from neighbours""",
+    "recommendations": """
+        select customer_unique_id, cast(place as integer) as place, category, category as label,
+               score from recs""",
+    "recommendation_text": """
+        select substr(cast(n.id as varchar), 1, 12) || '...' as customer_id,
+               (select string_agg(c, ', ' order by c) from (
+                    select product_category as c from purchases
+                    where customer_unique_id = n.id order by c limit 3)) as bought,
+               coalesce((select string_agg(category, ', ' order by place) from recs
+                         where customer_unique_id = n.id), 'none') as recommendations
+        from (select id from norms order by id limit 5) n""",
+    "already_purchased": """
+        select customer_unique_id,
+               string_agg(product_category, ', ' order by product_category) as already_purchased
+        from purchases group by customer_unique_id""",
 }
