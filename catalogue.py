@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwright.functions.dates import elapsed_days
 from cartwright.operators import quality
-from cartwright.plans import cohorts, enriched, marts, recommend, reports, staging
+from cartwright.plans import cohorts, enriched, insights, marts, recommend, reports, staging
 from cartwright.session import materialize
 from cartwright.sources.star import AS_OF, Star
 
@@ -359,9 +359,68 @@ def recommendations(s: Star) -> DataFrame:
 @query
 def recommendation_text(s: Star) -> DataFrame:
     vectors, categories = recommend.prepared(_purchases(s))
-    return recommend.recommendation_text(recommend.neighbour_lists(vectors), categories)
+    shown = recommend.first_customers(vectors)
+    return recommend.recommendation_text(
+        recommend.neighbour_lists(vectors, wanted=shown), categories
+    )
 
 
 @query
 def already_purchased(s: Star) -> DataFrame:
     return recommend.already_purchased(_purchases(s))
+
+
+# ---- insight documents and retrieval --------------------------------------------------------
+
+
+@query
+def insight_documents(s: Star) -> DataFrame:
+    facts, customers = _facts(s), _dim(s)
+    return insights.insight_documents(
+        facts, customers, _items(s), marts.customer_metrics(customers)
+    )
+
+
+@query
+def hash_embedding(s: Star) -> DataFrame:
+    """Embedding of every document, one row per component."""
+    docs = insights.embedded(s.table("documents").select(F.col("doc_id").alias("id"), "text"))
+    return docs.select(
+        F.col("id").alias("doc_id"), F.posexplode("embedding").alias("component", "value")
+    )
+
+
+@query
+def vector_topk(s: Star) -> DataFrame:
+    """The three nearest other vectors of every stored vector."""
+    vectors = materialize(
+        s.table("embeddings").select(
+            F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")
+        ),
+        "vectors",
+    )
+    return insights.nearest_others(vectors, 3)
+
+
+def _retrieved(s: Star) -> DataFrame:
+    documents = s.table("documents").select(F.col("doc_id").alias("id"), "text")
+    questions = s.table("benchmark").select(F.col("item_id").alias("id"), "text")
+    store = materialize(insights.embedded(documents), "document_embeddings")
+    asked = materialize(insights.embedded(questions), "question_embeddings")
+    return insights.retrieve(asked, store, 3)
+
+
+@query
+def question_matches(s: Star) -> DataFrame:
+    """For each benchmark text as a question, the three closest documents."""
+    return insights.matches(_retrieved(s))
+
+
+@query
+def question_context(s: Star) -> DataFrame:
+    """The text handed on per question: its matches joined by blank lines."""
+    documents = s.table("documents").select(F.col("doc_id").alias("id"), "text")
+    context = insights.context(insights.matches(_retrieved(s)), documents)
+    return context.select(
+        "question_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5")
+    )

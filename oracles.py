@@ -7,6 +7,15 @@ from __future__ import annotations
 
 import re
 
+# A 128-bit digest modulo 10000, folded from its four 32-bit parts (2**32 mod 10000 = 7296).
+_EMBEDDING = """list_transform(
+            list_transform(range(64), lambda i: md5(text || cast(i as varchar))),
+            lambda h: cast(list_reduce(
+                list_transform([1, 9, 17, 25],
+                               lambda p: cast('0x' || substr(h, p, 8) as bigint)),
+                lambda acc, part: (acc * 7296 + part % 10000) % 10000, cast(0 as bigint)) as double)
+                / 10000.0)"""
+
 CTES: dict[str, str] = {
     # ---- canonical frames bound to the star tables -------------------------------------------
     "stg_orders": """
@@ -204,6 +213,16 @@ CTES: dict[str, str] = {
         select a.cohort_month, strftime(a.cohort_month, '%Y-%m') as cohort, a.period,
                round(round(a.customers / cast(z.customers as double), 4) * 100, 2) as retention_pct
         from activity a join activity z on a.cohort_month = z.cohort_month and z.period = 0""",
+    # ---- retrieval -----------------------------------------------------------------------------
+    "document_vectors": f"select doc_id as id, text, {_EMBEDDING} as vec from documents",
+    "question_vectors": f"select item_id as id, {_EMBEDDING} as vec from benchmark",
+    "question_top": """
+        select *, row_number() over (partition by question_id
+                                     order by round(cosine, 10) desc, document_id) as place
+        from (select q.id as question_id, d.id as document_id, d.text,
+                     list_cosine_similarity(q.vec, d.vec) as cosine
+              from question_vectors q cross join document_vectors d)
+        qualify place <= 3""",
     # ---- recommender ---------------------------------------------------------------------------
     "purchases": """
         select f.customer_unique_id, i.product_brand as product_category,
@@ -336,6 +355,10 @@ def _accepted(model: str, frame: str, column: str, values: str) -> str:
     )
 
 
+def _two(column: str) -> str:
+    return f"cast(cast({column} as decimal(38,2)) as varchar)"
+
+
 FCT_COLUMNS = """order_id, customer_id, customer_unique_id, status, primary_payment_type,
     max_installments, item_count, cast(order_value as double) as order_value,
     cast(total_payment as double) as total_payment, purchased_at, approved_at, shipped_at,
@@ -586,4 +609,77 @@ QUERIES: dict[str, str] = {
         select customer_unique_id,
                string_agg(product_category, ', ' order by product_category) as already_purchased
         from purchases group by customer_unique_id""",
+    "hash_embedding": """
+        select id as doc_id, cast(i as integer) as component, vec[i + 1] as value
+        from document_vectors, range(64) t(i)""",
+    "vector_topk": """
+        select vec_id, cast(place as integer) as place, neighbour_id,
+               round(cosine, 10) as similarity
+        from (select *, row_number() over (partition by vec_id
+                                           order by round(cosine, 10) desc, neighbour_id) as place
+              from (select a.vec_id, b.vec_id as neighbour_id,
+                           list_cosine_similarity(cast(a.embedding as double[]),
+                                                  cast(b.embedding as double[])) as cosine
+                    from embeddings a join embeddings b on a.vec_id <> b.vec_id))
+        where place <= 3""",
+    "question_matches": """
+        select question_id, cast(place as integer) as place, document_id,
+               round(cosine, 10) as similarity from question_top""",
+    "question_context": """
+        select question_id, cast(length(context) as integer) as n_chars,
+               md5(context) as context_md5
+        from (select question_id, string_agg(text, chr(10) || chr(10) order by place) as context
+              from question_top group by question_id)""",
+    "insight_documents": f"""
+        select 'kpi_overview' as id,
+               concat_ws(chr(10) || '        ', 'Overall Business KPIs:',
+                   'Total delivered orders: ' || orders, 'Total unique customers: ' || customers,
+                   'Total revenue: R$ ' || {_two('revenue')},
+                   'Average order value: R$ ' || {_two('value')},
+                   'Average review score: ' || {_two('score')} || ' out of 5',
+                   'On-time delivery rate: ' || {_two('on_time')} || '%') as text
+        from (select count(distinct order_id) as orders,
+                     count(distinct customer_unique_id) as customers,
+                     sum(order_value) as revenue, {_avg('order_value')} as value,
+                     {_avg('review_score')} as score,
+                     round(sum(case when delivered_on_time then 1 else 0 end) * 100.0::double
+                           / count(*), 2) as on_time
+              from fct where status = 'delivered')
+        union all
+        select 'customer_segments', 'Customer Segments:' || chr(10) || string_agg(
+                   '  ' || customer_segment || ': ' || n || ' customers, avg revenue R$ '
+                   || {_two('revenue')} || ', avg ' || {_two('orders')} || ' orders' || chr(10), ''
+                   order by revenue desc, customer_segment)
+        from (select customer_segment, count(*) as n, {_avg('total_revenue')} as revenue,
+                     round(avg(total_orders), 2) as orders from dim group by customer_segment)
+        union all
+        select 'top_categories', 'Top 10 Product Categories by Revenue:' || chr(10) || string_agg(
+                   '  ' || product_category || ': R$ ' || {_two('revenue')} || ' from ' || orders
+                   || ' orders' || chr(10), '' order by revenue desc, product_category)
+        from (select product_category, sum(total_amount) as revenue,
+                     count(distinct order_id) as orders
+              from int_items group by product_category
+              order by revenue desc, product_category limit 10)
+        union all
+        select 'payment_types', 'Payment Type Breakdown:' || chr(10) || string_agg(
+                   '  ' || coalesce(primary_payment_type, 'None') || ': ' || n || ' orders, avg R$ '
+                   || coalesce({_two('value')}, 'None') || chr(10), ''
+                   order by n desc, primary_payment_type)
+        from (select primary_payment_type, count(*) as n, {_avg('order_value')} as value
+              from fct group by primary_payment_type)
+        union all
+        select 'state_performance', 'Top 10 States by Revenue:' || chr(10) || string_agg(
+                   '  ' || customer_state || ': R$ ' || {_two('revenue')} || ' from ' || orders
+                   || ' orders' || chr(10), '' order by revenue desc, customer_state)
+        from (select customer_state, sum(order_value) as revenue,
+                     count(distinct order_id) as orders
+              from fct where status = 'delivered' group by customer_state
+              order by revenue desc, customer_state limit 10)
+        union all
+        select 'churn_stats', 'Churn Analysis:' || chr(10) || string_agg(
+                   '  ' || case when is_churned = 1 then 'Churned' else 'Active' end || ': ' || n
+                   || ' customers, avg revenue R$ ' || {_two('revenue')} || chr(10), ''
+                   order by is_churned)
+        from (select is_churned, count(*) as n, {_avg('total_revenue')} as revenue
+              from metrics group by is_churned)""",
 }
