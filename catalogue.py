@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from cartwright.functions.dates import elapsed_days
 from cartwright.operators import quality
-from cartwright.plans import cohorts, enriched, insights, marts, recommend, reports, staging
+from cartwright.plans import (
+    cohorts,
+    enriched,
+    features,
+    insights,
+    marts,
+    models,
+    recommend,
+    reports,
+    staging,
+)
 from cartwright.session import materialize
 from cartwright.sources.star import AS_OF, Star
 
@@ -424,3 +434,111 @@ def question_context(s: Star) -> DataFrame:
     return context.select(
         "question_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5")
     )
+
+
+# ---- features and models --------------------------------------------------------------------
+
+# The library defaults are the full settings; these keep a registered run short.
+TREES = 10
+
+
+def _churn_frame(s: Star) -> DataFrame:
+    return materialize(features.churn_frame(_metrics(s)), "churn_frame")
+
+
+@query
+def numeric_summary(s: Star) -> DataFrame:
+    return features.numeric_summary(_churn_frame(s), features.CHURN_FEATURES)
+
+
+@query
+def imputed_features(s: Star) -> DataFrame:
+    return features.impute_medians(_churn_frame(s), features.CHURN_FEATURES)
+
+
+@query
+def one_hot(s: Star) -> DataFrame:
+    frame = _churn_frame(s).select("customer_unique_id", features.CATEGORY)
+    return features.one_hot(frame, features.levels(frame))
+
+
+@query
+def stratified_split(s: Star) -> DataFrame:
+    frame = _churn_frame(s).select("customer_unique_id", features.CHURN_TARGET)
+    return features.folds(features.split(frame, features.CHURN_TARGET), features.CHURN_TARGET)
+
+
+@query
+def base_rates(s: Star) -> DataFrame:
+    return features.base_rates(features.split(_churn_frame(s), features.CHURN_TARGET))
+
+
+@query
+def revenue_stats(s: Star) -> DataFrame:
+    return features.revenue_stats(materialize(features.clv_frame(_metrics(s)), "clv_frame"))
+
+
+def _rule_scores(s: Star) -> DataFrame:
+    """Fixed rules in place of a model, so that the measures can be checked by SQL."""
+    return _metrics(s).select(
+        "is_churned",
+        (1 - F.col("active_last_180d")).alias("inactive"),
+        "recency_days",
+        F.col("total_revenue").cast("double").alias("total_revenue"),
+        F.col("max_order_value").cast("double").alias("max_order_value"),
+    )
+
+
+@query
+def confusion_matrix(s: Star) -> DataFrame:
+    return models.confusion_matrix(_rule_scores(s), "is_churned", "inactive")
+
+
+@query
+def classification_report(s: Star) -> DataFrame:
+    return models.classification_report(_rule_scores(s), "is_churned", "inactive")
+
+
+@query
+def roc_auc(s: Star) -> DataFrame:
+    scores = _rule_scores(s)
+    auc = models.roc_auc(scores, "is_churned", "recency_days")
+    return models.report_row({"auc": round(auc, 6)}, scores)
+
+
+@query
+def regression_report(s: Star) -> DataFrame:
+    known = _rule_scores(s).filter(F.col("total_revenue").isNotNull())
+    return models.regression_report(known, "total_revenue", "max_order_value")
+
+
+@query
+def churn_model_scores(s: Star) -> DataFrame:
+    return models.churn_scores(models.train_churn(_metrics(s), models.CHURN.with_trees(TREES)))
+
+
+@query
+def churn_model_importances(s: Star) -> DataFrame:
+    return models.top_importances(models.train_churn(_metrics(s), models.CHURN.with_trees(TREES)))
+
+
+@query
+def churn_feature_effects(s: Star) -> DataFrame:
+    return models.feature_effects(models.train_churn(_metrics(s), models.CHURN.with_trees(TREES)))
+
+
+@query
+def churn_cross_validation(s: Star) -> DataFrame:
+    rows, _ = models.churn_matrix(_metrics(s))
+    return models.cross_validate(rows, models.CHURN.with_trees(TREES))
+
+
+@query
+def clv_model_scores(s: Star) -> DataFrame:
+    return models.clv_scores(models.train_clv(_metrics(s), models.CLV.with_trees(TREES)))
+
+
+@query
+def clv_model_report(s: Star) -> DataFrame:
+    scores = models.clv_scores(models.train_clv(_metrics(s), models.CLV.with_trees(TREES)))
+    return models.regression_report(scores, "actual_revenue", "predicted_revenue")

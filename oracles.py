@@ -16,6 +16,12 @@ _EMBEDDING = """list_transform(
                 lambda acc, part: (acc * 7296 + part % 10000) % 10000, cast(0 as bigint)) as double)
                 / 10000.0)"""
 
+FEATURES = (
+    "recency_days total_orders total_items total_revenue avg_order_value max_order_value "
+    "orders_per_month avg_review_score positive_review_rate avg_delivery_days on_time_rate "
+    "recency_score frequency_score monetary_score"
+).split()
+
 CTES: dict[str, str] = {
     # ---- canonical frames bound to the star tables -------------------------------------------
     "stg_orders": """
@@ -223,6 +229,16 @@ CTES: dict[str, str] = {
                      list_cosine_similarity(q.vec, d.vec) as cosine
               from question_vectors q cross join document_vectors d)
         qualify place <= 3""",
+    # ---- features ------------------------------------------------------------------------------
+    "churn_frame": f"""
+        select customer_unique_id,
+               {', '.join(f'cast({c} as double) as {c}' for c in FEATURES)},
+               customer_state, is_churned from metrics""",
+    "marked": """
+        select customer_unique_id, is_churned, md5(cast(customer_unique_id as varchar) || '#42') as d,
+               row_number() over (partition by is_churned order by d) as rn,
+               count(*) over (partition by is_churned) as n
+        from metrics""",
     # ---- recommender ---------------------------------------------------------------------------
     "purchases": """
         select f.customer_unique_id, i.product_brand as product_category,
@@ -682,4 +698,62 @@ QUERIES: dict[str, str] = {
                    order by is_churned)
         from (select is_churned, count(*) as n, {_avg('total_revenue')} as revenue
               from metrics group by is_churned)""",
+    "numeric_summary": " union all ".join(
+        f"""select '{c}' as feature, count({c}) as count, round(avg({c}), 2) as mean,
+                   round(stddev_samp({c}), 2) as std, round(min({c}), 2) as min,
+                   round(quantile_cont({c}, 0.25), 2) as q25, round(median({c}), 2) as median,
+                   round(quantile_cont({c}, 0.75), 2) as q75, round(max({c}), 2) as max
+            from churn_frame"""
+        for c in FEATURES
+    ),
+    "imputed_features": "select * replace ("
+    + ", ".join(f"coalesce({c}, (select median({c}) from churn_frame)) as {c}" for c in FEATURES)
+    + ") from churn_frame",
+    "one_hot": "select customer_unique_id, "
+    + ", ".join(
+        f"cast(customer_state = 'NATION_{n}' as double) as \"customer_state_NATION_{n}\""
+        for n in range(1, 25)
+    )
+    + " from churn_frame",
+    "stratified_split": """
+        select customer_unique_id, is_churned, rn <= floor(n * 0.2 + 0.5) as is_test,
+               cast(cast(rn > floor(n * 0.2 + 0.5) as int) + cast(rn > floor(n * 0.4 + 0.5) as int)
+                    + cast(rn > floor(n * 0.6 + 0.5) as int)
+                    + cast(rn > floor(n * 0.8 + 0.5) as int) as integer) as fold
+        from marked""",
+    "base_rates": """
+        select round(avg(is_churned), 6) as overall,
+               round(avg(is_churned) filter (not t), 6) as train,
+               round(avg(is_churned) filter (t), 6) as test, count(*) filter (t) as test_rows
+        from (select *, rn <= floor(n * 0.2 + 0.5) as t from marked)""",
+    "revenue_stats": """
+        select round(avg(v), 2) as mean_revenue, round(median(v), 2) as median_revenue,
+               round(max(v), 2) as max_revenue
+        from (select cast(total_revenue as double) as v from metrics where total_revenue > 0)""",
+    "confusion_matrix": """
+        select actual, predicted, count(is_churned) as rows
+        from (select unnest([0, 0, 1, 1]) as actual, unnest([0, 1, 0, 1]) as predicted)
+        left join metrics on is_churned = actual and 1 - active_last_180d = predicted
+        group by actual, predicted""",
+    "classification_report": """
+        select round(tp / nullif(cast(claimed as double), 0), 6) as precision,
+               round(tp / nullif(cast(real as double), 0), 6) as recall,
+               round(2 * tp / nullif(cast(claimed + real as double), 0), 6) as f1
+        from (select count(*) filter (is_churned = 1 and active_last_180d = 0) as tp,
+                     count(*) filter (active_last_180d = 0) as claimed,
+                     count(*) filter (is_churned = 1) as real from metrics)""",
+    "roc_auc": """
+        select round((sum(place) filter (is_churned = 1) - p * (p + 1) / 2.0) / (p * (c - p)), 6)
+                   as auc
+        from (select is_churned,
+                     avg(r) over (partition by recency_days) as place,
+                     count(*) filter (is_churned = 1) over () as p, count(*) over () as c
+              from (select is_churned, recency_days,
+                           row_number() over (order by recency_days) as r from metrics))
+        group by p, c""",
+    "regression_report": """
+        select round(avg(abs(p - a)), 2) as mae, round(sqrt(avg((p - a) * (p - a))), 2) as rmse,
+               round(1 - avg((p - a) * (p - a)) / var_pop(a), 4) as r2
+        from (select cast(total_revenue as double) as a, cast(max_order_value as double) as p
+              from metrics where total_revenue is not null)""",
 }
