@@ -10,11 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def local_session(cores: int | str = "*", memory: str = "8g", app: str = "cartwright") -> SparkSession:
-    """A single-machine session for tests and benchmarks; a cluster brings its own."""
+def local_session(
+    cores: int | str = "*", memory: str = "8g", app: str = "cartwright", **settings: str
+) -> SparkSession:
+    """A single-machine session for tests and benchmarks; a cluster brings its own.
+
+    Further ``settings`` are given with ``_`` for ``.`` (``spark_sql_ansi_enabled="true"``).
+    """
     n = "8" if cores == "*" else str(cores)
+    builder = SparkSession.builder
+    for name, value in settings.items():
+        builder = builder.config(name.replace("_", "."), value)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", n)
         .config("spark.sql.session.timeZone", "UTC")
@@ -33,14 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder; on a cluster a
     machine-local folder would vanish with its executor, so a missing setting is an error.
     """
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="cartwright-")
-    spark.conf.set(CHECKPOINT_SETTING, made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="cartwright-"))
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -11,10 +11,9 @@ from cartwright.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     warehouse = tmp_path_factory.mktemp("warehouse")
-    from pyspark.sql import SparkSession
-
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(warehouse))
-    session = local_session(4, memory="4g", app="cartwright-tests")
+    session = local_session(
+        4, memory="4g", app="cartwright-tests", spark_sql_warehouse_dir=str(warehouse)
+    )
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
