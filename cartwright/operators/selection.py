@@ -14,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -134,34 +134,65 @@ def _choose_pivots(keyed, keys, kinds, probes, sample, turn) -> None:
 
 
 def _narrow(keyed, keys, kinds, probes) -> None:
-    """Count the rows around both pivots of every open probe in one scan, then shrink."""
-    counts = []
-    for n, p in enumerate(probes):
-        if p.pivots[0] is None:  # an unlucky empty sample: try again with another seed
-            continue
-        key, kind = keys[p.ordering], kinds[p.ordering]
-        for side, pivot in zip("ab", p.pivots):
-            at = _literal(pivot, kind)
-            counts.append(F.count_if(key < at).alias(f"{side}{n}lt"))
-            counts.append(F.count_if(key <= at).alias(f"{side}{n}le"))
-    if not counts:
+    """Count the rows around the pivots of all open probes in one scan, then shrink them.
+
+    The pivots of an ordering cut it into cells: before the first, equal to it, between it and
+    the next, and so on. One row per (ordering, cell) comes back.
+    """
+    pivots: dict[int, list] = {}
+    for p in probes:
+        if p.pivots[0] is not None:  # an empty sample: this probe tries again with a new seed
+            pivots.setdefault(p.ordering, []).extend(p.pivots)
+    if not pivots:
         return
-    row: Row = keyed.agg(*counts).first()
-    for n, p in enumerate(probes):
-        if p.pivots[0] is None:
-            continue
-        end = p.below + p.size
-        marks = [(p.low, None, p.below)]
-        for side, pivot in zip("ab", p.pivots):
-            marks.append((pivot, row[f"{side}{n}lt"], row[f"{side}{n}le"]))
-        marks.append((p.high, end, None))
-        for (low, _, before), (high, until, _) in zip(marks, marks[1:]):
-            if before < p.rank <= until:
-                p.low, p.high, p.below, p.size = low, high, before, until - before
-                break
-        else:
-            p.done = True
-            p.answer = next(v for v, lt, le in marks[1:3] if lt < p.rank <= le)
+    located = []
+    for i, values in pivots.items():
+        values[:] = sorted(set(values), key=_python_order)
+        cell = F.lit(0)
+        for v in values:
+            at = _literal(v, kinds[i])
+            cell = cell + (keys[i] >= at).cast("int") + (keys[i] > at).cast("int")
+        located.append(F.struct(F.lit(i).alias("ordering"), cell.alias("cell")))
+    counted = (
+        keyed.select(F.inline(F.array(*located)))
+        .filter(F.col("cell").isNotNull())
+        .groupBy("ordering", "cell")
+        .agg(F.count("*").alias("n"))
+        .collect()
+    )
+    cells = {(row["ordering"], row["cell"]): row["n"] for row in counted}
+    around: dict[tuple, tuple[int, int]] = {}
+    for i, values in pivots.items():
+        before = 0
+        for j, v in enumerate(values):
+            before += cells.get((i, 2 * j), 0)
+            equal = cells.get((i, 2 * j + 1), 0)
+            around[i, v] = (before, before + equal)
+            before += equal
+    for p in probes:
+        if p.pivots[0] is not None:
+            _shrink(p, [(v, *around[p.ordering, v]) for v in p.pivots])
+
+
+def _python_order(value: object) -> tuple:
+    """Python's order of sort keys made equal to Spark's: NULL first."""
+    parts = value if isinstance(value, tuple) else (value,)
+    return tuple((x is not None, x) for x in parts)
+
+
+def _shrink(p: Probe, marks: list[tuple]) -> None:
+    """Keep the part of the open interval with the wanted rank, or the pivot that has it."""
+    for pivot, less, upto in marks:
+        if less < p.rank <= upto:
+            p.done, p.answer = True, pivot
+            return
+    end = p.below + p.size
+    starts = [(p.low, p.below), *[(pivot, upto) for pivot, _, upto in marks]]
+    stops = [*[(pivot, less) for pivot, less, _ in marks], (p.high, end)]
+    for (low, before), (high, until) in zip(starts, stops):
+        if before < p.rank <= until:
+            p.low, p.high, p.below, p.size = low, high, before, until - before
+            return
 
 
 def with_ntiles(

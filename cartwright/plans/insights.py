@@ -12,9 +12,29 @@ from cartwright.functions.embedding import hash_embedding
 from cartwright.functions.text import fixed_digits
 from cartwright.operators.similarity import nearest_lists
 from cartwright.plans import reports
-from cartwright.session import materialize
 from cartwright.sources.tables import read_or_build
 
+# What the documents and the customer figures behind them need of the order fact.
+FACT_COLUMNS = (
+    "order_id",
+    "customer_unique_id",
+    "customer_city",
+    "customer_state",
+    "status",
+    "purchased_at",
+    "primary_payment_type",
+    "max_installments",
+    "item_count",
+    "order_value",
+    "delivery_days",
+    "delivered_on_time",
+    "fan_out",
+    "review_count",
+    "scored_reviews",
+    "score_sum",
+    "positive_reviews",
+)
+
 
 def _line(*parts: str | Column) -> Column:
     """Text pieces and values side by side; a missing value reads ``None``."""
@@ -56,15 +76,10 @@ def _kpis(facts: DataFrame) -> DataFrame:
 def insight_documents(
     facts: DataFrame, customers: DataFrame, items: DataFrame, metrics: DataFrame
 ) -> DataFrame:
-    """Six documents ``(id, text)``; every list in them is short by nature or a top ten."""
-    facts = materialize(
-        facts.select(
-            "order_id", "customer_unique_id", "status", "order_value", "fan_out", "score_sum",
-            "scored_reviews", "delivered_on_time", "primary_payment_type", "max_installments",
-            "customer_state",
-        ),
-        "insight_facts",
-    )
+    """Six documents ``(id, text)``; every list in them is short by nature or a top ten.
+
+    ``facts`` and ``customers`` feed several documents each; pass stored frames.
+    """
     customer_word = F.when(F.col("is_churned") == 1, "Churned").otherwise("Active")
     documents = [
         _kpis(facts),

@@ -61,7 +61,7 @@ def _items(s: Star) -> DataFrame:
 
 
 def _rollup(s: Star) -> DataFrame:
-    return enriched.customer_rollup(_enriched(s), s.order_items, s.order_reviews, AS_OF)
+    return enriched.customer_rollup(_facts(s), AS_OF)
 
 
 def _dim(s: Star) -> DataFrame:
@@ -385,7 +385,8 @@ def already_purchased(s: Star) -> DataFrame:
 
 @query
 def insight_documents(s: Star) -> DataFrame:
-    facts, customers = _facts(s), _dim(s)
+    facts = materialize(_facts(s).select(*insights.FACT_COLUMNS), "order_facts")
+    customers = marts.dim_customers(enriched.customer_rollup(facts, AS_OF))
     return insights.insight_documents(
         facts, customers, _items(s), marts.customer_metrics(customers)
     )

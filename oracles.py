@@ -266,11 +266,12 @@ CTES: dict[str, str] = {
                                      order by score desc, category) as place
         from (
             select n.id as customer_unique_id, c.category,
-                   coalesce(round(w.score, 6), 0) as score
+                   cast(coalesce(w.score, 0) as double) as score
             from norms n cross join (select distinct product_category as category from purchases) c
             left join (
                 select x, product_category,
-                       sum(similarity * purchase_count) as score
+                       sum(cast(similarity as decimal(12,10))
+                           * cast(purchase_count as decimal(20,0))) as score
                 from neighbours join purchases on y = customer_unique_id
                 group by x, product_category
             ) w on w.x = n.id and w.product_category = c.category

@@ -82,10 +82,8 @@ def facts(staged, orders):
 
 
 @pytest.fixture(scope="module")
-def rollup(staged, orders):
-    return enriched.customer_rollup(
-        orders, staged["stg_order_items"], staged["stg_order_reviews"], AS_OF
-    ).cache()
+def rollup(facts):
+    return enriched.customer_rollup(facts, AS_OF).cache()
 
 
 def by(df, key, *columns):
