@@ -166,7 +166,7 @@ def revenue_by_month(s: Star) -> DataFrame:
 
 @query
 def top_categories(s: Star) -> DataFrame:
-    return reports.top_categories(_items(s))
+    return reports.top_categories(enriched.items_with_category(s.order_items, s.products))
 
 
 @query
@@ -324,7 +324,7 @@ def constraint_violations(s: Star) -> DataFrame:
 
 
 def _purchases(s: Star) -> DataFrame:
-    items = enriched.order_items_enriched(s.order_items, s.products_by_brand, s.sellers)
+    items = enriched.items_with_category(s.order_items, s.products_by_brand)
     return recommend.category_purchases(items, _facts(s))
 
 
@@ -388,7 +388,10 @@ def insight_documents(s: Star) -> DataFrame:
     facts = materialize(_facts(s).select(*insights.FACT_COLUMNS), "order_facts")
     customers = marts.dim_customers(enriched.customer_rollup(facts, AS_OF))
     return insights.insight_documents(
-        facts, customers, _items(s), marts.customer_metrics(customers)
+        facts,
+        customers,
+        enriched.items_with_category(s.order_items, s.products),
+        marts.customer_metrics(customers),
     )
 
 
