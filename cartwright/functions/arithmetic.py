@@ -25,6 +25,15 @@ def mean(value: Column, weight: Column) -> Column:
     return ratio(total(value, weight), rows_with(value, weight))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Round half up at the decimal value a double stands for.
+
+    Ten decimal places are kept first, so that 0.05625 computed as 0.056249999999999994 still
+    counts as the half it is.
+    """
+    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
+
+
 def money(c: Column) -> Column:
     """Report form of an exact decimal amount."""
     return F.round(c, 2).cast("double")

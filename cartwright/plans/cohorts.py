@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwright.functions.arithmetic import rounded
 from cartwright.functions.dates import month_label, month_start, months_apart
 
 
@@ -35,12 +36,12 @@ def retention(activity: DataFrame) -> DataFrame:
     size = F.max(F.when(F.col("period") == 0, F.col("customers"))).over(
         Window.partitionBy("cohort_month")
     )
-    share = F.round(F.col("customers") / size, 4) * 100
+    share = rounded(F.col("customers") / size, 4) * 100
     return activity.select(
         "cohort_month",
         month_label(F.col("cohort_month")).alias("cohort"),
         "period",
-        F.round(share, 2).alias("retention_pct"),
+        rounded(share, 2).alias("retention_pct"),
     )
 
 
@@ -65,7 +66,7 @@ def retention_insight(rates: DataFrame) -> DataFrame:
     after = {p: F.when(F.col("period") == p, F.col("retention_pct")) for p in (1, 3)}
     best = F.min_by("cohort", F.when(F.col("period") == 1, F.struct(-F.col("retention_pct"), "cohort")))
     return rates.agg(
-        F.round(F.coalesce(F.avg(after[1]), F.lit(0.0)), 1).alias("avg_month_1"),
-        F.round(F.coalesce(F.avg(after[3]), F.lit(0.0)), 1).alias("avg_month_3"),
+        rounded(F.coalesce(F.avg(after[1]), F.lit(0.0)), 1).alias("avg_month_1"),
+        rounded(F.coalesce(F.avg(after[3]), F.lit(0.0)), 1).alias("avg_month_3"),
         F.coalesce(best, F.lit("N/A")).alias("best_cohort"),
     )

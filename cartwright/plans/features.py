@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwright.functions.arithmetic import rounded
 from cartwright.operators.selection import exact_medians, exact_quantiles, select_ranks
 from cartwright.session import materialize
 
@@ -158,13 +159,13 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], digits: int = 2) -> D
             F.struct(
                 F.lit(c).alias("feature"),
                 F.count(c).alias("count"),
-                F.round(F.avg(c), digits).alias("mean"),
-                F.round(F.stddev_samp(c), digits).alias("std"),
-                F.round(F.min(c), digits).alias("min"),
-                F.round(low, digits).alias("q25"),
-                F.round(middle, digits).alias("median"),
-                F.round(high, digits).alias("q75"),
-                F.round(F.max(c), digits).alias("max"),
+                rounded(F.avg(c), digits).alias("mean"),
+                rounded(F.stddev_samp(c), digits).alias("std"),
+                rounded(F.min(c), digits).alias("min"),
+                rounded(low, digits).alias("q25"),
+                rounded(middle, digits).alias("median"),
+                rounded(high, digits).alias("q75"),
+                rounded(F.max(c), digits).alias("max"),
             )
         )
     return df.agg(F.array(*measures).alias("rows")).select(F.inline("rows"))
@@ -173,9 +174,9 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], digits: int = 2) -> D
 def revenue_stats(clv: DataFrame) -> DataFrame:
     median = exact_medians(clv, [CLV_TARGET])[CLV_TARGET]
     return clv.agg(
-        F.round(F.avg(CLV_TARGET), 2).alias("mean_revenue"),
-        F.round(F.lit(median).cast("double"), 2).alias("median_revenue"),
-        F.round(F.max(CLV_TARGET), 2).alias("max_revenue"),
+        rounded(F.avg(CLV_TARGET), 2).alias("mean_revenue"),
+        rounded(F.lit(median).cast("double"), 2).alias("median_revenue"),
+        rounded(F.max(CLV_TARGET), 2).alias("max_revenue"),
     )
 
 
@@ -183,7 +184,7 @@ def base_rates(marked: DataFrame, label: str = CHURN_TARGET) -> DataFrame:
     """Share of positives overall and on each side of the split, in one pass."""
 
     def rate(side: Column) -> Column:
-        return F.round(F.avg(F.when(side, F.col(label))), 6)
+        return rounded(F.avg(F.when(side, F.col(label))), 6)
 
     return marked.agg(
         rate(F.lit(True)).alias("overall"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.functions.arithmetic import ratio
+from cartwright.functions.arithmetic import ratio, rounded
 from cartwright.functions.dates import iso_weekday
 from cartwright.operators.selection import with_ntiles
 from cartwright.plans.enriched import item_totals, with_children
@@ -127,16 +127,16 @@ def customer_metrics(customers: DataFrame) -> DataFrame:
         "total_orders",
         "frequency_score",
         "total_items",
-        F.round(ratio(orders, F.col("customer_age_days")) * 30, 4).alias("orders_per_month"),
+        rounded(ratio(orders * 30, F.col("customer_age_days")), 4).alias("orders_per_month"),
         "total_revenue",
         "monetary_score",
         "avg_order_value",
         "max_order_value",
         "avg_review_score",
         "total_reviews",
-        F.round(ratio(F.col("positive_reviews"), reviews), 4).alias("positive_review_rate"),
+        rounded(ratio(F.col("positive_reviews"), reviews), 4).alias("positive_review_rate"),
         "avg_delivery_days",
-        F.round(ratio(F.col("on_time_deliveries"), orders), 4).alias("on_time_rate"),
+        rounded(ratio(F.col("on_time_deliveries"), orders), 4).alias("on_time_rate"),
         "customer_state",
         "customer_segment",
         F.when(orders == 1, 1).otherwise(0).alias("is_churned"),

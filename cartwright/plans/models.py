@@ -12,7 +12,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.functions.arithmetic import ratio
+from cartwright.functions.arithmetic import ratio, rounded
 from cartwright.plans import features
 from cartwright.session import materialize
 
@@ -95,7 +95,7 @@ def churn_scores(trained: Trained) -> DataFrame:
             "customer_unique_id",
             F.col(trained.target).alias("actual_churned"),
             F.col("prediction").cast("int").alias("predicted_churned"),
-            F.round(vector_to_array("probability")[1], 4).alias("churn_probability"),
+            rounded(vector_to_array("probability")[1], 4).alias("churn_probability"),
         )
         .orderBy(F.desc("churn_probability"), "customer_unique_id")
     )
@@ -107,9 +107,9 @@ def clv_scores(trained: Trained) -> DataFrame:
         trained.model.transform(trained.test)
         .select(
             "customer_unique_id",
-            F.round(actual, 2).alias("actual_revenue"),
-            F.round(predicted, 2).alias("predicted_revenue"),
-            F.round(predicted - actual, 2).alias("error"),
+            rounded(actual, 2).alias("actual_revenue"),
+            rounded(predicted, 2).alias("predicted_revenue"),
+            rounded(predicted - actual, 2).alias("error"),
         )
         .orderBy(F.desc("predicted_revenue"), "customer_unique_id")
     )
@@ -134,9 +134,9 @@ def classification_report(scores: DataFrame, actual: str, predicted: str) -> Dat
     a, p = F.col(actual) == 1, F.col(predicted) == 1
     hits, claimed, real = F.count_if(a & p), F.count_if(p), F.count_if(a)
     return scores.agg(
-        F.round(ratio(hits, claimed), 6).alias("precision"),
-        F.round(ratio(hits, real), 6).alias("recall"),
-        F.round(ratio(2 * hits, claimed + real), 6).alias("f1"),
+        rounded(ratio(hits, claimed), 6).alias("precision"),
+        rounded(ratio(hits, real), 6).alias("recall"),
+        rounded(ratio(2 * hits, claimed + real), 6).alias("f1"),
     )
 
 
@@ -151,9 +151,9 @@ def regression_report(scores: DataFrame, actual: str, predicted: str) -> DataFra
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     gap = p - a
     return scores.agg(
-        F.round(F.avg(F.abs(gap)), 2).alias("mae"),
-        F.round(F.sqrt(F.avg(gap * gap)), 2).alias("rmse"),
-        F.round(1 - F.try_divide(F.avg(gap * gap), F.var_pop(a)), 4).alias("r2"),
+        rounded(F.avg(F.abs(gap)), 2).alias("mae"),
+        rounded(F.sqrt(F.avg(gap * gap)), 2).alias("rmse"),
+        rounded(1 - F.try_divide(F.avg(gap * gap), F.var_pop(a)), 4).alias("r2"),
     )
 
 
@@ -217,8 +217,8 @@ def feature_effects(trained: Trained) -> DataFrame:
         _score(trained, tried)
         .groupBy(names[F.col("j")].alias("feature"))
         .agg(
-            F.round(F.avg(F.abs(effect)), 6).alias("mean_effect"),
-            F.round(direction, 4).alias("direction"),
+            rounded(F.avg(F.abs(effect)), 6).alias("mean_effect"),
+            rounded(direction, 4).alias("direction"),
         )
         .orderBy(F.desc("mean_effect"), "feature")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwright.functions.arithmetic import mean, money, ratio, total
+from cartwright.functions.arithmetic import mean, money, ratio, rounded, total
 from cartwright.functions.dates import period_label
 from cartwright.functions.text import money_label
 
@@ -27,7 +27,7 @@ def _delivered(facts: DataFrame) -> DataFrame:
 
 
 def _avg(c: Column, digits: int = 2) -> Column:
-    return F.round(F.avg(c.cast("double")), digits)
+    return rounded(F.avg(c.cast("double")), digits)
 
 
 def kpi_overview(facts: DataFrame) -> DataFrame:
@@ -37,9 +37,9 @@ def kpi_overview(facts: DataFrame) -> DataFrame:
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("customer_unique_id").alias("total_customers"),
         money(total(value, _w())).alias("total_revenue"),
-        F.round(mean(value, _w()), 2).alias("avg_order_value"),
-        F.round(ratio(F.sum("score_sum"), F.sum("scored_reviews")), 2).alias("avg_review_score"),
-        F.round(ratio(on_time * 100, F.sum(_w())), 2).alias("on_time_pct"),
+        rounded(mean(value, _w()), 2).alias("avg_order_value"),
+        rounded(ratio(F.sum("score_sum"), F.sum("scored_reviews")), 2).alias("avg_review_score"),
+        rounded(ratio(on_time * 100, F.sum(_w())), 2).alias("on_time_pct"),
     )
 
 
@@ -120,7 +120,7 @@ def segment_summary(customers: DataFrame) -> DataFrame:
         .groupBy("customer_segment")
         .agg(
             F.count("customer_unique_id").alias("customers"),
-            F.round(ratio(F.sum("total_revenue"), F.count("total_revenue")), 2).alias(
+            rounded(ratio(F.sum("total_revenue"), F.count("total_revenue")), 2).alias(
                 "avg_revenue"
             ),
             _avg(F.col("total_orders")).alias("avg_orders"),
@@ -138,13 +138,13 @@ def segment_share(customers: DataFrame) -> DataFrame:
         .groupBy("customer_segment")
         .agg(
             F.count("*").alias("customers"),
-            F.round(ratio(F.sum("total_revenue"), F.count("total_revenue")), 2).alias(
+            rounded(ratio(F.sum("total_revenue"), F.count("total_revenue")), 2).alias(
                 "mean_revenue"
             ),
         )
     )
     everyone = F.sum("customers").over(Window.partitionBy())
-    return sized.withColumn("share_pct", F.round(F.col("customers") * 100 / everyone, 1)).orderBy(
+    return sized.withColumn("share_pct", rounded(F.col("customers") * 100 / everyone, 1)).orderBy(
         F.desc("mean_revenue"), "customer_segment"
     )
 
@@ -169,7 +169,7 @@ def churn_summary(metrics: DataFrame) -> DataFrame:
         metrics.groupBy("is_churned")
         .agg(
             F.count("*").alias("customers"),
-            F.round(ratio(F.sum("total_revenue"), F.count("total_revenue")), 2).alias(
+            rounded(ratio(F.sum("total_revenue"), F.count("total_revenue")), 2).alias(
                 "avg_revenue"
             ),
             _avg(F.col("total_orders")).alias("avg_orders"),
@@ -207,7 +207,7 @@ def clv_by_segment(metrics: DataFrame) -> DataFrame:
     return (
         metrics.groupBy("customer_segment")
         .agg(
-            F.round(ratio(F.sum(revenue), F.count(revenue)), 2).alias("avg_clv"),
+            rounded(ratio(F.sum(revenue), F.count(revenue)), 2).alias("avg_clv"),
             money(F.min(revenue)).alias("min_clv"),
             money(F.max(revenue)).alias("max_clv"),
             F.count("*").alias("customers"),
@@ -226,8 +226,8 @@ def status_funnel(facts: DataFrame) -> DataFrame:
         facts.groupBy("status")
         .agg(
             F.sum(_w()).alias("orders"),
-            F.round(mean(F.col("order_value"), _w()), 2).alias("avg_order_value"),
-            F.round(mean(F.col("delivery_days"), _w()), 2).alias("avg_delivery_days"),
+            rounded(mean(F.col("order_value"), _w()), 2).alias("avg_order_value"),
+            rounded(mean(F.col("delivery_days"), _w()), 2).alias("avg_delivery_days"),
         )
         .withColumn("order_rank", stage)
         .filter(F.col("order_rank").isNotNull())
@@ -257,7 +257,7 @@ def delivery_mean_median(histogram: DataFrame) -> DataFrame:
         day, n, F.sum(n).over(upto).alias("reached"), F.sum(n).over(Window.partitionBy()).alias("all")
     )
     return running.agg(
-        F.round(ratio(F.sum(day * n), F.sum(n)), 1).alias("mean_days"),
+        rounded(ratio(F.sum(day * n), F.sum(n)), 1).alias("mean_days"),
         F.min(F.when(F.col("reached") >= F.col("all") / 2, day)).alias("median_days"),
     )
 
@@ -268,8 +268,8 @@ def payment_breakdown(facts: DataFrame) -> DataFrame:
         .agg(
             F.sum(_w()).alias("orders"),
             money(total(F.col("order_value"), _w())).alias("total_revenue"),
-            F.round(mean(F.col("max_installments"), _w()), 1).alias("avg_installments"),
-            F.round(mean(F.col("order_value"), _w()), 2).alias("avg_order_value"),
+            rounded(mean(F.col("max_installments"), _w()), 1).alias("avg_installments"),
+            rounded(mean(F.col("order_value"), _w()), 2).alias("avg_order_value"),
         )
         .orderBy(F.desc("orders"), F.asc_nulls_last("payment_type"))
     )

@@ -189,7 +189,7 @@ CTES: dict[str, str] = {
                cast(case when recency_days <= 90 then 1 else 0 end as integer) as active_last_90d,
                cast(case when recency_days <= 180 then 1 else 0 end as integer) as active_last_180d,
                total_orders, frequency_score, total_items,
-               round(cast(total_orders as double) / nullif(customer_age_days, 0) * 30, 4)
+               round(cast(total_orders * 30 as double) / nullif(customer_age_days, 0), 4)
                    as orders_per_month,
                total_revenue, monetary_score, avg_order_value, max_order_value, avg_review_score,
                total_reviews,
@@ -284,6 +284,30 @@ CTES: dict[str, str] = {
 }
 
 
+def _round_decimals(text: str) -> str:
+    """Let ``round(x, n)`` work on ten decimal places, where halves are exact, not on doubles."""
+    out, at = [], 0
+    for found in re.finditer(r"\bround\(", text):
+        if found.start() < at:
+            continue
+        depth, end, comma = 1, found.end(), 0
+        while depth:
+            char = text[end]
+            depth += (char == "(") - (char == ")")
+            if char == "," and depth == 1:
+                comma = end
+            end += 1
+        digits = text[comma + 1 : end - 1].strip()
+        inner = _round_decimals(text[found.end() : comma])
+        out.append(text[at : found.start()])
+        if digits == "10":
+            out.append(f"round({inner}, 10)")
+        else:
+            out.append(f"cast(round(cast({inner} as decimal(38,10)), {digits}) as double)")
+        at = end
+    return "".join(out) + text[at:]
+
+
 def sql(text: str) -> str:
     """Prefix a query with the named frames it uses, in dependency order."""
     needed: list[str] = []
@@ -298,9 +322,9 @@ def sql(text: str) -> str:
     visit(text)
     if text.startswith("with_total"):
         text = ", " + text
-    if not needed:
-        return text
-    return "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in needed) + "\n" + text
+    if needed:
+        text = "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in needed) + "\n" + text
+    return _round_decimals(text)
 
 
 def _money(column: str) -> str:
@@ -311,7 +335,7 @@ def _avg(column: str, digits: int = 2) -> str:
     return f"round(cast(sum({column}) as double) / nullif(count({column}), 0), {digits})"
 
 
-PERIODS = 79  # months between the first and the last order month of the star tables, plus one
+PERIODS = 80  # months between the first and the last order month of the star tables, plus one
 
 
 def _report(
