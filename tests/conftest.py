@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         4, memory="4g", app="cartwright-tests", spark_sql_warehouse_dir=str(warehouse)
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
 
