@@ -42,47 +42,55 @@ def review_totals(reviews: DataFrame) -> DataFrame:
     )
 
 
-def orders_enriched(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
-    """Orders with customer, payment and delivery facts.
+def orders_with_payments(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Orders with payment and delivery facts, partitioned as the orders' key joins need it."""
+    bought, delivered, due = (
+        F.col("purchased_at"),
+        F.col("delivered_at"),
+        F.col("estimated_delivery_at"),
+    )
+    return orders.join(payment_totals(payments), "order_id", "left").withColumns(
+        {
+            "delivery_days": elapsed_days(bought, delivered),
+            "delivery_delay_days": elapsed_days(due, delivered),
+            "delivered_on_time": F.coalesce(delivered <= due, F.lit(False)),
+        }
+    )
 
-    Customers join first: the remaining joins, here and in the marts, all use ``order_id`` and
-    share one shuffle of the orders.
-    """
+
+def with_customers(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Add who bought and where. Done last: all joins on the order key then share one
+    partitioning, and stored tables bucketed by order reach this point without any shuffle."""
     who = customers.select(
-        F.col("customer_id").alias("who"),
+        "customer_id",
         F.col("unique_id").alias("customer_unique_id"),
         F.col("city").alias("customer_city"),
         F.col("state").alias("customer_state"),
     )
-    bought, delivered, due = (
-        F.col("purchased_at"),
-        F.col("delivered_at"),
-        F.col("estimated_delivery_at"),
-    )
-    return (
-        orders.join(who, F.col("customer_id") == F.col("who"), "left")
-        .drop("who")
-        .join(payment_totals(payments), "order_id", "left")
-        .select(
-            "order_id",
-            "customer_id",
-            "status",
-            "purchased_at",
-            "approved_at",
-            "shipped_at",
-            "delivered_at",
-            "estimated_delivery_at",
-            "customer_unique_id",
-            "customer_city",
-            "customer_state",
-            "total_payment",
-            "max_installments",
-            "payment_count",
-            "primary_payment_type",
-            elapsed_days(bought, delivered).alias("delivery_days"),
-            elapsed_days(due, delivered).alias("delivery_delay_days"),
-            F.coalesce(delivered <= due, F.lit(False)).alias("delivered_on_time"),
-        )
+    return orders.join(who, "customer_id", "left")
+
+
+def orders_enriched(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+    """Orders with customer, payment and delivery facts, one row per order."""
+    return with_customers(orders_with_payments(orders, payments), customers).select(
+        "order_id",
+        "customer_id",
+        "status",
+        "purchased_at",
+        "approved_at",
+        "shipped_at",
+        "delivered_at",
+        "estimated_delivery_at",
+        "customer_unique_id",
+        "customer_city",
+        "customer_state",
+        "total_payment",
+        "max_installments",
+        "payment_count",
+        "primary_payment_type",
+        "delivery_days",
+        "delivery_delay_days",
+        "delivered_on_time",
     )
 
 
@@ -130,14 +138,14 @@ def order_items_enriched(items: DataFrame, products: DataFrame, sellers: DataFra
     )
 
 
-def with_children(enriched: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
+def with_children(orders: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row per order with item totals, review totals and its multiplicity ``fan_out``.
 
     The order fact repeats an order once per review. Carrying that number as a weight gives
     the same sums and averages without repeating any row.
     """
     return (
-        enriched.join(item_totals(items), "order_id", "left")
+        orders.join(item_totals(items), "order_id", "left")
         .join(review_totals(reviews), "order_id", "left")
         .withColumn("fan_out", F.coalesce(F.col("review_count"), F.lit(1)).cast("int"))
     )

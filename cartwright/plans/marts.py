@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from cartwright.functions.arithmetic import ratio, rounded
 from cartwright.functions.dates import iso_weekday
 from cartwright.operators.selection import with_ntiles
-from cartwright.plans.enriched import item_totals, with_children
+from cartwright.plans.enriched import item_totals, with_children, with_customers
 from cartwright.session import materialize
 
 CUSTOMER_GRAIN = ("customer_unique_id", "customer_city", "customer_state")
 _REPEAT_CHUNK = 10_000
 
 
-def order_facts(enriched: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
-    """The order fact at order grain, with the weight ``fan_out`` (see ``with_children``)."""
-    return with_children(enriched, items, reviews).withColumns(_date_parts())
+def order_facts(
+    paid: DataFrame, items: DataFrame, reviews: DataFrame, customers: DataFrame | None = None
+) -> DataFrame:
+    """The order fact at order grain, with the weight ``fan_out`` (see ``with_children``).
+
+    ``paid`` are orders with payments. Without ``customers`` the customer columns are left out:
+    reports that do not need them spare a shuffle of all orders. Customer keys are declared
+    unique, so that join neither adds nor drops rows.
+    """
+    facts = with_children(paid, items, reviews).withColumns(_date_parts())
+    return facts if customers is None else with_customers(facts, customers)
 
 
 def _date_parts() -> dict[str, Column]:
@@ -29,7 +37,9 @@ def _date_parts() -> dict[str, Column]:
     }
 
 
-def fct_orders(enriched: DataFrame, items: DataFrame, reviews: DataFrame) -> DataFrame:
+def fct_orders(
+    paid: DataFrame, items: DataFrame, reviews: DataFrame, customers: DataFrame
+) -> DataFrame:
     """The order fact as published: one row per order and review.
 
     Reviews meet the order grouped by score, so an order with very many reviews stays a handful
@@ -42,9 +52,9 @@ def fct_orders(enriched: DataFrame, items: DataFrame, reviews: DataFrame) -> Dat
     ).agg(F.count("*").alias("copies"))
     copies = F.coalesce(F.col("copies"), F.lit(1).cast("bigint"))
     chunk = F.lit(_REPEAT_CHUNK)
+    scored = paid.join(item_totals(items), "order_id", "left").join(scores, "order_id", "left")
     return (
-        enriched.join(item_totals(items), "order_id", "left")
-        .join(scores, "order_id", "left")
+        with_customers(scored, customers)
         .withColumns(_date_parts())
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((copies - 1) / chunk))))
         .withColumn(

@@ -31,12 +31,14 @@ def build(
         key = "order_id" if name in _BY_ORDER else None
         staged[name] = tables.save_mart(df, name, database, buckets if key else None, key)
     items, reviews = staged["stg_order_items"], staged["stg_order_reviews"]
-    orders = enriched.orders_enriched(
-        staged["stg_orders"], staged["stg_customers"], staged["stg_order_payments"]
+    orders, customers = staged["stg_orders"], staged["stg_customers"]
+    payments = staged["stg_order_payments"]
+    paid = enriched.orders_with_payments(orders, payments)
+    facts = tables.save_mart(
+        marts.order_facts(paid, items, reviews, customers), "order_facts", database
     )
-    facts = tables.save_mart(marts.order_facts(orders, items, reviews), "order_facts", database)
     views = {
-        "int_orders_enriched": orders,
+        "int_orders_enriched": enriched.orders_enriched(orders, customers, payments),
         "int_order_items_enriched": enriched.order_items_enriched(
             items, staged["stg_products"], staged["stg_sellers"]
         ),
@@ -49,7 +51,7 @@ def build(
     stored = {
         "order_facts": facts,
         "fct_orders": tables.save_mart(
-            marts.fct_orders(orders, items, reviews), "fct_orders", database
+            marts.fct_orders(paid, items, reviews, customers), "fct_orders", database
         ),
         "dim_customers": dim,
         "mart_customer_metrics": tables.save_mart(

@@ -48,12 +48,17 @@ def _as_double(df: DataFrame) -> DataFrame:
 # ---- shared frames --------------------------------------------------------------------------
 
 
-def _enriched(s: Star) -> DataFrame:
-    return enriched.orders_enriched(s.orders, s.customers, s.order_payments)
+def _paid(s: Star) -> DataFrame:
+    return enriched.orders_with_payments(s.orders, s.order_payments)
 
 
 def _facts(s: Star) -> DataFrame:
-    return marts.order_facts(_enriched(s), s.order_items, s.order_reviews)
+    return marts.order_facts(_paid(s), s.order_items, s.order_reviews, s.customers)
+
+
+def _facts_only(s: Star) -> DataFrame:
+    """Without customer columns, for reports that need none."""
+    return marts.order_facts(_paid(s), s.order_items, s.order_reviews)
 
 
 def _items(s: Star) -> DataFrame:
@@ -118,7 +123,7 @@ def stg_order_reviews(s: Star) -> DataFrame:
 
 @query
 def orders_enriched(s: Star) -> DataFrame:
-    return _as_double(_enriched(s))
+    return _as_double(enriched.orders_enriched(s.orders, s.customers, s.order_payments))
 
 
 @query
@@ -128,7 +133,7 @@ def order_items_enriched(s: Star) -> DataFrame:
 
 @query
 def fct_orders(s: Star) -> DataFrame:
-    return _as_double(marts.fct_orders(_enriched(s), s.order_items, s.order_reviews))
+    return _as_double(marts.fct_orders(_paid(s), s.order_items, s.order_reviews, s.customers))
 
 
 @query
@@ -156,12 +161,12 @@ def kpi_overview(s: Star) -> DataFrame:
 
 @query
 def orders_by_status(s: Star) -> DataFrame:
-    return reports.orders_by_status(_facts(s))
+    return reports.orders_by_status(_facts_only(s))
 
 
 @query
 def revenue_by_month(s: Star) -> DataFrame:
-    return reports.revenue_by_month(_facts(s))
+    return reports.revenue_by_month(_facts_only(s))
 
 
 @query
@@ -238,22 +243,22 @@ def clv_by_segment(s: Star) -> DataFrame:
 
 @query
 def status_funnel(s: Star) -> DataFrame:
-    return reports.status_funnel(_facts(s))
+    return reports.status_funnel(_facts_only(s))
 
 
 @query
 def delivery_histogram(s: Star) -> DataFrame:
-    return reports.delivery_histogram(_facts(s))
+    return reports.delivery_histogram(_facts_only(s))
 
 
 @query
 def delivery_mean_median(s: Star) -> DataFrame:
-    return reports.delivery_mean_median(reports.delivery_histogram(_facts(s)))
+    return reports.delivery_mean_median(reports.delivery_histogram(_facts_only(s)))
 
 
 @query
 def payment_breakdown(s: Star) -> DataFrame:
-    return reports.payment_breakdown(_facts(s))
+    return reports.payment_breakdown(_facts_only(s))
 
 
 @query

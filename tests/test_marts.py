@@ -77,8 +77,24 @@ def orders(staged):
 
 
 @pytest.fixture(scope="module")
-def facts(staged, orders):
-    return marts.order_facts(orders, staged["stg_order_items"], staged["stg_order_reviews"]).cache()
+def paid(staged):
+    return enriched.orders_with_payments(staged["stg_orders"], staged["stg_order_payments"])
+
+
+@pytest.fixture(scope="module")
+def facts(staged, paid):
+    return marts.order_facts(
+        paid, staged["stg_order_items"], staged["stg_order_reviews"], staged["stg_customers"]
+    ).cache()
+
+
+def published(staged, paid, reviews=None):
+    return marts.fct_orders(
+        paid,
+        staged["stg_order_items"],
+        staged["stg_order_reviews"] if reviews is None else reviews,
+        staged["stg_customers"],
+    )
 
 
 @pytest.fixture(scope="module")
@@ -129,8 +145,8 @@ def test_freight_share_is_null_for_a_zero_total(staged):
     assert by_order["o4", "1"]["seller_city"] is None
 
 
-def test_order_fact_repeats_an_order_per_review(staged, orders):
-    fact = marts.fct_orders(orders, staged["stg_order_items"], staged["stg_order_reviews"])
+def test_order_fact_repeats_an_order_per_review(staged, paid):
+    fact = published(staged, paid)
     assert len(fact.columns) == 24
     got = sorted((r["order_id"], r["review_score"] or 0, r["order_value"]) for r in fact.collect())
     assert [g[:2] for g in got] == [("o1", 1), ("o1", 5), ("o2", 0), ("o3", 0), ("o4", 0), ("o5", 0)]
@@ -138,16 +154,16 @@ def test_order_fact_repeats_an_order_per_review(staged, orders):
     assert by(fact, "order_id", "purchase_dow")["o4"] == (7,)
 
 
-def test_order_fact_restores_very_many_reviews(spark, orders, staged, monkeypatch):
+def test_order_fact_restores_very_many_reviews(spark, paid, staged, monkeypatch):
     monkeypatch.setattr(marts, "_REPEAT_CHUNK", 7)
     many = staged["stg_order_reviews"].filter("review_id = 'r1'").crossJoin(spark.range(50)).drop("id")
-    fact = marts.fct_orders(orders, staged["stg_order_items"], many)
+    fact = published(staged, paid, many)
     assert fact.filter("order_id = 'o1'").count() == 50
     assert fact.count() == 54
 
 
-def test_weighted_facts_agree_with_the_repeated_ones(staged, orders, facts):
-    fact = marts.fct_orders(orders, staged["stg_order_items"], staged["stg_order_reviews"])
+def test_weighted_facts_agree_with_the_repeated_ones(staged, paid, facts):
+    fact = published(staged, paid)
     plain = fact.groupBy("status").agg(F.count("*"), F.sum("order_value"))
     weighted = facts.groupBy("status").agg(
         F.sum("fan_out"), F.sum(F.col("order_value") * F.col("fan_out"))

@@ -47,23 +47,21 @@ def test_marts_are_tables_open_to_sql(spark, built):
     assert spark.table("shop.mart_customer_metrics").columns[-1] == "is_churned"
 
 
-def test_bucketed_order_tables_join_without_a_shuffle(spark, built):
+def test_bucketed_order_tables_meet_without_a_shuffle(spark, built):
+    paid = enriched.orders_with_payments(built["stg_orders"], built["stg_order_payments"])
+    facts = marts.order_facts(paid, built["stg_order_items"], built["stg_order_reviews"])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = built["stg_orders"].join(enriched.item_totals(built["stg_order_items"]), "order_id")
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        plan = facts._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
 
 
 def test_unused_children_are_not_joined(spark, built):
+    paid = enriched.orders_with_payments(built["stg_orders"], built["stg_order_payments"])
     facts = marts.order_facts(
-        enriched.orders_enriched(
-            built["stg_orders"], built["stg_customers"], built["stg_order_payments"]
-        ),
-        built["stg_order_items"],
-        built["stg_order_reviews"],
+        paid, built["stg_order_items"], built["stg_order_reviews"], built["stg_customers"]
     )
     plan = facts.select("order_id", "order_value")._jdf.queryExecution().optimizedPlan().toString()
     assert "payment_value" not in plan and "score" not in plan
