@@ -111,6 +111,9 @@ def _choose_pivots(keyed, keys, kinds, probes, sample, turn) -> None:
         count = F.size(got)
         for m, p in enumerate(group):
             wanted = p.rank - p.below
+            if share < 1.0 and m and 0 <= p.rank - group[m - 1].rank <= 1:
+                p.pivots = group[m - 1].pivots  # next-door ranks lie between the same pivots
+                continue
             if share == 1.0:
                 places = (F.lit(wanted), F.lit(wanted))
             else:
