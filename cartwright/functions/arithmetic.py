@@ -28,10 +28,10 @@ def mean(value: Column, weight: Column) -> Column:
 def rounded(c: Column, digits: int) -> Column:
     """Round half up at the decimal value a double stands for.
 
-    Ten decimal places are kept first, so that 0.05625 computed as 0.056249999999999994 still
-    counts as the half it is.
+    Four more decimal places are settled first, so that 0.05625 computed as
+    0.056249999999999994 still counts as the half it is.
     """
-    return F.round(c.cast("decimal(38,10)"), digits).cast("double")
+    return F.round(c.cast(f"decimal(38,{digits + 4})"), digits).cast("double")
 
 
 def money(c: Column) -> Column:

@@ -285,7 +285,7 @@ CTES: dict[str, str] = {
 
 
 def _round_decimals(text: str) -> str:
-    """Let ``round(x, n)`` work on ten decimal places, where halves are exact, not on doubles."""
+    """Let ``round(x, n)`` work on n + 4 decimal places, where halves are exact, not on doubles."""
     out, at = [], 0
     for found in re.finditer(r"\bround\(", text):
         if found.start() < at:
@@ -303,7 +303,8 @@ def _round_decimals(text: str) -> str:
         if digits == "10":
             out.append(f"round({inner}, 10)")
         else:
-            out.append(f"cast(round(cast({inner} as decimal(38,10)), {digits}) as double)")
+            places = int(digits) + 4
+            out.append(f"cast(round(cast({inner} as decimal(38,{places})), {digits}) as double)")
         at = end
     return "".join(out) + text[at:]
 
