@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import bpe_transducer, token_counts
-from cartwright.llm.words import id_and_text
+from cartwright.llm import bpe_transducer, language_id, quality_knn, rule_ledger, token_counts
+from cartwright.llm.words import id_and_text, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +51,32 @@ def op1_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    network = language_id.fit(docs.where(~held_out))
+    return docs.select(
+        "doc_id", held_out.alias("held_out"), language_id.predictions(network, "text").alias("p")
+    ).select("doc_id", "held_out", "p.*")
+
+
+#: Documents scored below this are rejected.
+QUALITY_THRESHOLD = 0.3
+
+
+@query
+def op6_quality_knn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(remainder("doc_id", 5) != 0)
+    model = quality_knn.fit(docs, labels)
+    return docs.select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        quality_knn.score(model, "text").alias("score"),
+    ).withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
 #: Documents of more tokens than this don't fit into one training sequence.
 TOKEN_LIMIT = 4096
 
@@ -64,3 +90,57 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         token_counts.token_count("text", vocabulary("piece_bpe_32k.model")).alias("n_tokens"),
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    entries = rule_ledger.ledger(table(spark, folder, "documents"))
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        rule_ledger.fails("base").alias("base_failed"),
+        (~rule_ledger.fails(rule_ledger.CURRENT)).alias("kept"),
+        "failures",
+    )
+
+
+ORACLES["op10_rule_ledger"] = r"""
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), listed as (
+    select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+        list_filter(string_split(text, chr(10)),
+                    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    from docs
+), placed as (
+    select r, i, list_slice(words, i, i + 4) as w
+    from (select r, words, unnest(generate_series(1, len(words) - 4)) as i from listed)
+), covered as (
+    select r, count(distinct i + k) as n
+    from (select r, i, count(*) over (partition by r, w) as c from placed), range(5) as s(k)
+    where c > 1
+    group by r
+), measured as (
+    select doc_id,
+        len(words) as n_words,
+        coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) as n_symbols,
+        length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g')) as n_upper,
+        len(lines) as n_lines,
+        len(lines) - len(list_distinct(lines)) as n_dup_lines,
+        coalesce(n, 0) as n_repeat_words,
+        len(list_filter(generate_series(2, len(words)), lambda i: words[i] = words[i - 1])) as n_echoes
+    from listed left join covered using (r)
+), judged as (
+    select *,
+        (n_words < 10)::bigint
+        | ((100 * n_repeat_words > 20 * n_words)::bigint << 1)
+        | ((100 * n_symbols > 5 * word_chars)::bigint << 2)
+        | ((100 * n_dup_lines > 50 * n_lines)::bigint << 3)
+        | ((100 * n_upper > 40 * word_chars)::bigint << 4)
+        | ((100 * n_echoes > 30 * n_words)::bigint << 5) as failures
+    from measured
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    failures & 3 != 0 as base_failed, failures = 0 as kept, failures
+from judged
+"""
