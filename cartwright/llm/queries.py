@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import bpe_transducer, language_id, quality_knn, rule_ledger, token_counts
+from cartwright.llm import (
+    bpe_transducer,
+    language_id,
+    quality_knn,
+    rule_ledger,
+    secret_scan,
+    token_counts,
+)
 from cartwright.llm.words import id_and_text, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +58,24 @@ def op1_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+
+    def number(kind: str) -> Column:
+        place = secret_scan.KINDS.index(kind)
+        return F.size(F.filter("base", lambda s: s["kind"] == place)).cast("long")
+
+    return found.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
