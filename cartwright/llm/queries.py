@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartwright.llm import (
     bpe_transducer,
     language_id,
+    ngram_join,
     quality_knn,
     rule_ledger,
     secret_scan,
@@ -86,6 +87,11 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "held_out", "p.*")
 
 
+@query
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked(table(spark, folder, "documents"))
+
+
 #: Documents scored below this are rejected.
 QUALITY_THRESHOLD = 0.3
 
