@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartwright.llm import (
     bpe_transducer,
     language_id,
+    mixture,
     ngram_join,
     quality_knn,
     rule_ledger,
@@ -87,6 +88,11 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "held_out", "p.*")
 
 
+@query
+def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(table(spark, folder, "documents")).taken()
+
+
 @query
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked(table(spark, folder, "documents"))
