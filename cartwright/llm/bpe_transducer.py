@@ -3,11 +3,12 @@
 **Encoding.** Applying merges in rank order gives every byte string exactly one token sequence,
 and a sequence is that one if and only if every two adjacent tokens stay apart when the bytes of
 the two are merged on their own. That makes the encoder a finite-state transducer over bytes: a
-configuration is a place in the prefix tree of the vocabulary plus the tokens completed but not
-yet emitted. :class:`Transducer` determinises it lazily: a deterministic state is the set of live
-configurations, made when it is first reached, and a transition emits the tokens on which all of
-them agree. A configuration dies within the longest token, so the lookahead is bounded. The
-tables are emptied when they reach ``MAX_TRANSITIONS``.
+configuration is a place in the prefix tree of the vocabulary plus the token before it.
+:class:`Transducer` determinises it lazily: a deterministic state is the set of live
+configurations, made when it is first reached; a transition yields the token that ends at the
+byte in the encoding of everything up to it. Tokens are emitted once all live configurations
+agree on them; as a configuration dies within the longest token, that is after a bounded
+lookahead. The tables are emptied when they reach ``MAX_TRANSITIONS``.
 
 **Decoding.** :class:`Utf8Stream` takes tokens in any portions and yields text at once, holding
 back at most three bytes of an unfinished character; malformed bytes become U+FFFD, one for each
@@ -20,23 +21,27 @@ an empty table an empty one. Long texts take memory in proportion to themselves.
 from __future__ import annotations
 
 import base64
+import gc
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TRANSITIONS = 150_000
+MAX_TRANSITIONS = 300_000
 MAX_PAIRS = 200_000
-CACHED_PIECES = 250_000
+CACHED_PIECES = 200_000
 CACHED_LENGTH = 64
 ROOT = 0
 NEVER = 1 << 60
 
-State = tuple  # (last emitted token or None, ((pending tokens, tree node), ...))
+NONE = -1
+LONG_PIECE = 4096
+State = tuple  # ((token before, tree node), ...): live configurations, the oldest first
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,13 +122,6 @@ class Merges:
         return False
 
 
-def _common(a: tuple, b: tuple) -> tuple:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return a[:n]
-
-
 class Transducer:
     """Bytes in, tokens out; deterministic states are made as they are reached."""
 
@@ -131,7 +129,7 @@ class Transducer:
         self.merges = Merges(ranks)
         self.child: dict[int, int] = {}  # by node << 8 | byte
         self.token_at: dict[int, int] = {}
-        nodes = 1
+        self.depth = [0]  # of each node
         for token, rank in ranks.items():
             if not self.merges.reachable(rank):
                 continue
@@ -139,18 +137,20 @@ class Transducer:
             for byte in token:
                 following = self.child.get(node << 8 | byte)
                 if following is None:
-                    following = self.child[node << 8 | byte] = nodes
-                    nodes += 1
+                    following = self.child[node << 8 | byte] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
                 node = following
             self.token_at[node] = rank
         self.inner = {at >> 8 for at in self.child}  # nodes that lead on
+        self.lookahead = max(self.depth)
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self._begin()
 
     def _begin(self) -> None:
         self.states: list[State] = []
         self.number: dict[State, int] = {}
-        self.table: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._numbered((None, (((), ROOT),)))
+        self.table: dict[int, tuple[int, int]] = {}
+        self.start = self._numbered(((NONE, ROOT),))
 
     def _numbered(self, state: State) -> int:
         n = self.number.get(state)
@@ -159,81 +159,94 @@ class Transducer:
             self.states.append(state)
         return n
 
-    def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        last, configurations = state
-        child, token_at, inner = self.child.get, self.token_at.get, self.inner
-        known_apart = self.merges.known_apart.get
-        live = []
-        for pending, node in configurations:
-            node = child(node << 8 | byte)
+    def _step(self, state: State, byte: int) -> tuple[State, int]:
+        """The next state, and the token that ends here in the encoding of all bytes so far."""
+        live, ended = [], NONE
+        for before, node in state:
+            node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
-            if node in inner:
-                live.append((pending, node))
-            token = token_at(node)
-            if token is not None:
-                before = pending[-1] if pending else last
-                if before is not None:
-                    fits = known_apart(before << 32 | token)
-                    if fits is None:
-                        fits = self.merges.apart(before, token)
-                    if not fits:
-                        continue
-                live.append(((*pending, token), ROOT))
-        agreed = live[0][0]
-        for pending, _ in live:
-            if not pending or not agreed:
-                return (last, tuple(live)), ()
-            if pending[: len(agreed)] != agreed:
-                agreed = _common(agreed, pending)
-        if not agreed:
-            return (last, tuple(live)), ()
-        n = len(agreed)
-        return (agreed[-1], tuple([(p[n:], node) for p, node in live])), agreed
+            if node in self.inner:
+                live.append((before, node))
+            token = self.token_at.get(node)
+            if token is not None and ended == NONE:
+                if before == NONE or self.merges.apart(before, token):
+                    ended = token
+        live.append((ended, ROOT))
+        return tuple(live), ended
+
+    def _moved(self, state: int, byte: int) -> tuple[int, int]:
+        full = self.states[state]
+        if len(self.table) >= MAX_TRANSITIONS:
+            self._begin()
+            state = self._numbered(full)
+        following, ended = self._step(full, byte)
+        move = self.table[state << 8 | byte] = (self._numbered(following), ended)
+        return move
+
+    def _path(self, ends: list[int], stop: int) -> list[int]:
+        """Tokens of the first ``stop`` bytes, given the token that ends at each byte."""
+        path = []
+        while stop > 0:
+            path.append(ends[stop - 1])
+            stop -= self.length[path[-1]]
+        path.reverse()
+        return path
 
     def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Tokens of the bytes, each as soon as it is certain."""
-        state = self.start
-        table = self.table
+        """Tokens of the bytes, each once it is certain; holds a few lookaheads of bytes."""
+        state, ends = self.start, []
         for byte in data:
-            move = table.get(state << 8 | byte)
-            if move is None:
-                full = self.states[state]
-                if len(table) >= MAX_TRANSITIONS:
-                    self._begin()
-                    table, state = self.table, self._numbered(full)
-                following, out = self._step(full, byte)
-                move = table[state << 8 | byte] = (self._numbered(following), out)
-            state, out = move
-            if out:
-                yield from out
-        for pending, node in self.states[state][1]:
-            if node == ROOT:
-                yield from pending
-                return
-
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+            state, ended = self.table.get(state << 8 | byte) or self._moved(state, byte)
+            ends.append(ended)
+            if len(ends) >= 4 * self.lookahead:
+                paths = [
+                    self._path(ends, len(ends) - self.depth[node])
+                    for _, node in self.states[state]
+                ]
+                sure = []
+                for tokens in zip(*paths, strict=False):
+                    if len(set(tokens)) > 1:
+                        break
+                    sure.append(tokens[0])
+                yield from sure
+                del ends[: sum(self.length[t] for t in sure)]
+        yield from self._path(ends, len(ends))
+
+    def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the splitting pattern; a piece that is a token is that token."""
         whole = self.merges.ranks.get(piece)
-        return tuple(self.stream(piece)) if whole is None else (whole,)
+        if whole is not None:
+            return [whole]
+        if len(piece) > LONG_PIECE:
+            return list(self.stream(piece))
+        state, table, ends = self.start, self.table, []
+        for byte in piece:
+            move = table.get(state << 8 | byte)
+            if move is None:
+                move = self._moved(state, byte)
+                table = self.table
+            state, ended = move
+            ends.append(ended)
+        return self._path(ends, len(ends))
 
 
 class Encoder(dict):
-    """Ids by piece, for pieces met lately: a full table becomes the older one, which is asked
-    before the transducer and then forgotten."""
+    """Ids by piece (as bytes of 32-bit integers), for pieces met lately: a full table becomes
+    the older one, which is asked before the transducer and then forgotten."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         super().__init__()
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.transducer.encode(piece.encode())
+            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
                 self.older = dict(self)
@@ -241,8 +254,8 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.pieces(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), np.int32)
 
 
 def _character(lead: int) -> tuple[int, int, int]:
@@ -302,15 +315,18 @@ class Utf8Stream:
 
     def feed(self, tokens: list[int]) -> str:
         """Text that is certain after these tokens."""
-        if not self.held:
-            parts = list(map(self.whole.get, tokens))
-            if None not in parts:
+        parts = list(map(self.whole.get, tokens))
+        at = 0
+        while True:
+            if not self.held:  # on to the next token that isn't known to be whole characters
+                try:
+                    at = parts.index(None, at)
+                except ValueError:
+                    return "".join(parts)
+            if at == len(tokens):
                 return "".join(parts)
-        out = []
-        for token in tokens:
-            text, self.held = self._move(self.held, token)
-            out.append(text)
-        return "".join(out)
+            parts[at], self.held = self._move(self.held, tokens[at])
+            at += 1
 
     def end(self) -> str:
         """What an unfinished character becomes at the end."""
@@ -320,7 +336,9 @@ class Utf8Stream:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(read_ranks(path), pattern)
+    encoder = Encoder(read_ranks(path), pattern)
+    gc.freeze()  # the vocabulary stays: the collector need not walk it again
+    return encoder
 
 
 @lru_cache(maxsize=2)
@@ -338,34 +356,47 @@ def token_ids(text: str | Column, ranks_path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
-            rows, lengths = [], []
-            for text in batch:
-                ids = np.array(encoder.encode(text.as_py() or ""), np.int32)
-                rows.append(ids)
-                lengths.append(len(ids))
-            flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            offsets = np.fromiter(accumulate(lengths, initial=0), np.int32, len(lengths) + 1)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield _ids([encoder.encode(t.as_py() or "") for t in batch])
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
 
+def _ids(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.fromiter(accumulate(map(len, rows), initial=0), np.int32, len(rows) + 1)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def _decoded(ids: np.ndarray, vocabulary: dict[int, bytes], tables: tuple[dict, dict]) -> str:
+    stream = Utf8Stream(vocabulary, tables)
+    out = [stream.feed(ids[i : i + PORTION].tolist()) for i in range(0, len(ids), PORTION)]
+    return "".join([*out, stream.end()])
+
+
 def decoded_text(ids: str | Column, ranks_path: str) -> Column:
     """Text of an array of ids, taken in portions; a missing array is empty text."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, tables = _vocabulary(ranks_path)
+        none = np.empty(0, np.int32)
         for batch in batches:
-            texts = []
-            for row in batch:
-                ids = [] if row.values is None else row.values.to_numpy(zero_copy_only=False)
-                stream = Utf8Stream(vocabulary, tables)
-                out = [
-                    stream.feed(ids[i : i + PORTION].tolist())
-                    for i in range(0, len(ids), PORTION)
-                ]
-                texts.append("".join([*out, stream.end()]))
-            yield pa.array(texts, pa.string())
+            rows = [none if r.values is None else r.values.to_numpy() for r in batch]
+            yield pa.array([_decoded(r, vocabulary, tables) for r in rows], pa.string())
 
     return decode(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def round_trip(text: str | Column, ranks_path: str, pattern: str) -> Column:
+    """``struct<ids array<int>, decoded string>``: both directions in one visit to Python."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(ranks_path, pattern)
+        vocabulary, tables = _vocabulary(ranks_path)
+        for batch in batches:
+            rows = [encoder.encode(t.as_py() or "") for t in batch]
+            texts = pa.array([_decoded(r, vocabulary, tables) for r in rows], pa.string())
+            yield pa.StructArray.from_arrays([_ids(rows), texts], ["ids", "decoded"])
+
+    return both(F.col(text) if isinstance(text, str) else text)

@@ -48,10 +48,8 @@ def splitting_pattern() -> str:
 def op1_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_50k.tiktoken")
     docs = id_and_text(table(spark, folder, "documents"))
-    coded = docs.select(
-        "doc_id", bpe_transducer.token_ids("text", ranks, splitting_pattern()).alias("ids")
-    )
-    decoded = coded.withColumn("decoded", bpe_transducer.decoded_text("ids", ranks))
+    trip = bpe_transducer.round_trip("text", ranks, splitting_pattern())
+    decoded = docs.select("doc_id", trip.alias("trip")).select("doc_id", "trip.*")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
