@@ -12,6 +12,7 @@ from cartwright.llm import (
     language_id,
     mixture,
     ngram_join,
+    projection_forest,
     quality_knn,
     rule_ledger,
     secret_scan,
@@ -127,6 +128,13 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op8_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return projection_forest.neighbours(
+        table(spark, folder, "embeddings"), F.pmod("id", F.lit(20)) == 0, k=20
+    )
+
+
 @query
 def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     entries = rule_ledger.ledger(table(spark, folder, "documents"))
