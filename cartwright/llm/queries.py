@@ -17,6 +17,7 @@ from cartwright.llm import (
     rule_ledger,
     secret_scan,
     token_counts,
+    warc,
 )
 from cartwright.llm.words import id_and_text, remainder
 
@@ -135,6 +136,11 @@ def op8_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derived_records(table(spark, folder, "pages"))
+
+
 @query
 def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     entries = rule_ledger.ledger(table(spark, folder, "documents"))
