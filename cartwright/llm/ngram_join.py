@@ -357,22 +357,63 @@ def class_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return components(led.union(crossing)).select(F.col("node").alias("class"), "component")
 
 
+def _heads(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """``class, head``: the smallest id in the component of each class."""
+    grouped = signed.where("class is not null").join(found, "class", "left")
+    smallest = grouped.groupBy("class", F.coalesce("component", "class").alias("group")).agg(
+        F.min("doc_id").alias("own")
+    )
+    heads = smallest.groupBy("group").agg(F.min("own").alias("head"))
+    return materialize(smallest.join(heads, "group").select("class", "head"), "heads")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    named = rows.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*")
+    return materialize(named, "signed")
+
+
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row."""
     rows = id_and_text(docs, doc_id, text)
-    signed = materialize(
-        rows.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*"), "signed"
-    )
-    found = class_components(rows, signed)
-    grouped = signed.where("class is not null").join(found, "class", "left")
-    smallest = (
-        grouped.groupBy("class", F.coalesce("component", "class").alias("group"))
-        .agg(F.min("doc_id").alias("own"))
-    )
-    heads = smallest.groupBy("group").agg(F.min("own").alias("head"))
-    by_class = materialize(smallest.join(heads, "group").select("class", "head"), "heads")
+    signed = _signed(rows)
+    by_class = _heads(signed, class_components(rows, signed))
     return signed.join(by_class, "class", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("head")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay when one row of each component does: that of the smallest id (a null
+    id is the greatest). Of several rows with that id in the component, one stays. Rows without
+    words all stay."""
+    rows = id_and_text(docs, doc_id, text)
+    signed = _signed(rows)
+    found = class_components(rows, signed)
+    # the class that holds the smallest id; of several, the one of smallest number
+    per_class = (
+        signed.where("class is not null")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("own"), F.count(F.lit(1)).alias("rows"))
+        .join(found, "class", "left")
+        .withColumn("group", F.coalesce("component", "class"))
+    )
+    order = F.struct(F.col("own").isNull(), F.col("own"), F.col("class"), F.col("rows"))
+    kept = materialize(
+        per_class.groupBy("group").agg(F.min(order).alias("best")).select("best.class", "best.own", "best.rows"),
+        "kept",
+    )
+    few = kept.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    repeated = not kept.where("rows > 1").isEmpty()
+    kept = kept.select(
+        F.col("class").alias("__kept"), F.col("own").alias("__own"), F.col("rows").alias("__rows")
+    )
+    named = docs.withColumn("__class", signature(text)["class"])
+    joined = named.join(F.broadcast(kept) if few else kept, F.col("__class") == F.col("__kept"), "left")
+    head = F.col("__kept").isNotNull() & F.col(doc_id).eqNullSafe(F.col("__own"))
+    out = joined.where(F.col("__class").isNull() | (head & (F.col("__rows") == 1)))
+    if repeated:  # several rows of one word sequence: any of those with the smallest id
+        several = joined.where(head & (F.col("__rows") > 1)).dropDuplicates(["__class"])
+        out = out.unionByName(several)
+    return out.select(docs.columns)
