@@ -6,18 +6,20 @@ link when their similarity is at least ``PERCENT``; the result is the partition
 
 Candidates come from prefix filtering under several global token orders. Similar sets share so
 many tokens that, however tokens are ordered, the first few tokens of the one hold a token among the first few
-of the other. Hence, of two similar sets,
+of the other. Hence, of two similar
+sets,
 
-1. with rare tokens first: each must have at least 75 % of its tokens in some other class. Tokens go, packed,
-   to buckets by hash; a token met twice within one batch is counted there and sent once, so a
-   token of a third of all documents costs one entry per batch;
+1. with rare tokens first: each must have at least 75 % of its tokens in other classes. Tokens
+   go, packed, to buckets by hash; a token met twice within one slice of rows is counted there
+   and sent once, so a token of a third of all documents costs one entry per slice;
 2. with tokens by hash: both must stand under a common token of the prefix index of what is left;
 3. with tokens by their count among the classes still in question, the prefixes must meet again.
 
 Groups are never paired off. Under order 2 every class is first verified against one leader, the
 class whose tokens are the commonest among those it shares an index entry with, which joins dense
-groups by as many pairs as they have members. Only entries that still span two components go on to
-order 3, and only pairs across components are verified, which loses no component.
+groups by as many pairs as they have members. What still spans two components passes order 1 once
+more, counting only tokens that other components have, and then order 3; only pairs across
+components are verified, which loses no component.
 
 Tokens and classes are 64-bit hashes. Nulls, empty texts and texts without a word have no shingle and stay alone. Rows with
 the same or no id are rows of their own; a class's component is the smallest id in it, null only
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm.graph import components
-from cartwright.llm.words import id_and_text, whole_text
+from cartwright.llm.words import id_and_text, unused, whole_text
 from cartwright.session import materialize
 
 SHINGLE = 5
@@ -43,7 +45,7 @@ PERCENT = 75
 BUCKET_TOKENS = 2_000_000  # about so many tokens are compared in one task
 BYTES_PER_TOKEN = 7
 SENT_ROWS = 2_000_000  # ids (16 bytes each) go to every task up to here, else they are joined
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
     np.uint64,
@@ -115,50 +117,55 @@ def signature(text: str | Column) -> Column:
     return sign(whole_text(text))
 
 
-def _sets(text: Column) -> Column:
+def _sets(text: Column, name: Column) -> Column:
+    """Shingle hashes of the texts whose class is ``name``, null for others."""
+
     @F.arrow_udf("array<bigint>")
-    def spread(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([shingles(t.as_py() or "")[1] for t in batch], pa.list_(pa.int64()))
+    def spread(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, wanted in texts:
+            found = [shingles(t.as_py() or "") for t in text]
+            rows = [s if k == w else None for (k, s), w in zip(found, wanted.to_pylist(), strict=True)]
+            yield pa.array(rows, pa.list_(pa.int64()))
 
-    return spread(text)
+    return spread(text, name)
 
 
 # ---- order 1: classes most of whose tokens stand elsewhere too --------------------------------
 
-_PACKED = "bucket int, classes binary, counts binary, tokens binary, repeated binary"
-_FLAGGED = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("copies", pa.int64())])
+_PACKED = "bucket int, classes binary, groups binary, counts binary, tokens binary, repeated binary"
+_FLAGGED = pa.schema(
+    [("class", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("copies", pa.int64())]
+)
+SLICE = 2000  # rows packed together
 
 
-def _packed(n_buckets: int):
-    """Per batch: tokens of its distinct classes by bucket. ``bucket`` -1 - b holds, of classes
-    that hash to b, the set sizes and how many tokens the batch alone showed to be shared."""
+def _texts_packed(n_buckets: int):
+    """Packs the distinct classes of each slice of texts; every class is a group of its own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
-            for text in batch.column(0):
-                name, tokens = shingles(text.as_py() or "")
-                if name:
-                    known.setdefault(name, tokens)
-            if not known:
-                continue
-            classes = np.fromiter(known, np.int64, len(known))
-            sizes = np.array([len(t) for t in known.values()])
-            tokens = np.concatenate(list(known.values())).view(np.uint64)
-            owner = np.repeat(np.arange(len(classes)), sizes)
-            order = np.argsort(tokens)
-            ranked = tokens[order]
-            same = ranked[1:] == ranked[:-1]
-            twice = np.zeros(len(tokens), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            local = np.bincount(owner[twice], minlength=len(classes))
-            repeated = np.unique(tokens[twice])
-            single = ~twice
-            yield from _rows(
-                classes, sizes, local, tokens[single], owner[single], repeated, n_buckets
-            )
+            for at in range(0, batch.num_rows, SLICE):
+                known: dict[int, np.ndarray] = {}
+                for text in batch.column(0).slice(at, SLICE):
+                    name, tokens = shingles(text.as_py() or "")
+                    if name:
+                        known.setdefault(name, tokens)
+                if known:
+                    classes = np.fromiter(known, np.int64, len(known))
+                    yield _rows(classes, classes, list(known.values()), n_buckets)
+
+    return pack
+
+
+def _sets_packed(n_buckets: int):
+    """Packs ``class, component, tokens``; the classes of a component are one group."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                tokens = [row.values.to_numpy() for row in part.column(2)]
+                yield _rows(part.column(0).to_numpy(), part.column(1).to_numpy(), tokens, n_buckets)
 
     return pack
 
@@ -167,33 +174,58 @@ def _bucket_of(tokens: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def _rows(classes, sizes, local, tokens, owner, repeated, n_buckets) -> Iterator[pa.RecordBatch]:
-    columns: list[list] = [[], [], [], [], []]
+def _spanning(tokens: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token whether it stands in several groups, and those tokens, each once."""
+    order = np.argsort(tokens)
+    ranked, owner = tokens[order], groups[order]
+    begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    several = np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins)
+    hit = np.empty(len(tokens), bool)
+    hit[order] = np.repeat(several, np.diff(np.append(begins, len(tokens))))
+    return hit, ranked[begins[several]]
+
+
+def _rows(
+    classes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], n_buckets: int
+) -> pa.RecordBatch:
+    """Tokens of a slice by bucket, those that several of its groups have only once, unowned.
 
-    def put(bucket: int, *parts: np.ndarray) -> None:
-        for column, value in zip(columns, (bucket, *[p.tobytes() for p in parts]), strict=True):
+    Bucket -1 - b holds, of the classes that hash to b, the set sizes and how many tokens the
+    slice alone showed to be shared.
+    """
+    sizes = np.array([len(t) for t in sets], np.int64)
+    tokens = np.concatenate(sets).view(np.uint64)
+    owner = np.repeat(np.arange(len(classes)), sizes)
+    hit, repeated = _spanning(tokens, groups[owner])
+    local = np.bincount(owner[hit], minlength=len(classes)).astype(np.int64)
+    tokens, owner = tokens[~hit], owner[~hit]
+    own_groups = groups is not classes
+    columns: list[list] = [[] for _ in range(6)]
+
+    def put(bucket: int, rows: np.ndarray, *parts: np.ndarray) -> None:
+        held = [classes[rows], groups[rows] if own_groups else classes[:0], *parts]
+        for column, value in zip(columns, (bucket, *[p.tobytes() for p in held]), strict=True):
             column.append(value)
 
-    none = np.empty(0, np.uint32)
     home = _bucket_of(classes.view(np.uint64), n_buckets)
     for b in np.unique(home):
-        own = home == b
-        put(-1 - int(b), classes[own], sizes[own].astype(np.int64), local[own].astype(np.int64), none)
+        own = np.flatnonzero(home == b)
+        put(-1 - int(b), own, sizes[own], local[own], classes[:0])
     bucket, rep_bucket = _bucket_of(tokens, n_buckets), _bucket_of(repeated, n_buckets)
     order = np.argsort(bucket, kind="stable")  # owners stay ascending
     bucket, tokens, owner = bucket[order], tokens[order].astype(np.uint32), owner[order]
-    repeated = repeated.astype(np.uint32)
-    rep_order = np.argsort(rep_bucket, kind="stable")
-    rep_bucket, repeated = rep_bucket[rep_order], repeated[rep_order]
+    order = np.argsort(rep_bucket, kind="stable")
+    rep_bucket, repeated = rep_bucket[order], repeated[order].astype(np.uint32)
+    edges = np.arange(n_buckets + 1)
+    cuts, rep_cuts = np.searchsorted(bucket, edges), np.searchsorted(rep_bucket, edges)
     for b in range(n_buckets):
-        lo, hi = np.searchsorted(bucket, [b, b + 1])
-        rlo, rhi = np.searchsorted(rep_bucket, [b, b + 1])
+        lo, hi, rlo, rhi = cuts[b], cuts[b + 1], rep_cuts[b], rep_cuts[b + 1]
         if lo < hi or rlo < rhi:
             own, counts = np.unique(owner[lo:hi], return_counts=True)
-            put(b, classes[own], counts.astype(np.uint32), tokens[lo:hi], repeated[rlo:rhi])
-    yield pa.RecordBatch.from_arrays(
+            put(b, own, counts.astype(np.uint32), tokens[lo:hi], repeated[rlo:rhi])
+    return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-        names=["bucket", "classes", "counts", "tokens", "repeated"],
+        names=["bucket", "classes", "groups", "counts", "tokens", "repeated"],
     )
 
 
@@ -202,38 +234,29 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each class, how many of its tokens a different class has too."""
+    """Of one bucket: for each class, how many of its tokens another group has too."""
     classes = _joined(table["classes"], np.int64)
     if table["bucket"][0].as_py() < 0:
         sizes, local = _joined(table["counts"], np.int64), _joined(table["tokens"], np.int64)
         return pa.table([classes, sizes, local, np.ones(len(classes), np.int64)], schema=_FLAGGED)
+    groups = _joined(table["groups"], np.int64)
     counts = _joined(table["counts"], np.uint32)
     tokens = _joined(table["tokens"], np.uint32)
-    owner = np.repeat(classes, counts)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
     if not len(tokens):
         return _FLAGGED.empty_table()
-    begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    several = np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins)
-    several |= np.isin(tokens[begins], _joined(table["repeated"], np.uint32))
-    hit = np.repeat(several, np.diff(np.append(begins, len(tokens))))
-    names, found = np.unique(owner[hit], return_counts=True)
+    hit, _ = _spanning(tokens, np.repeat(groups if len(groups) else classes, counts))
+    hit |= np.isin(tokens, _joined(table["repeated"], np.uint32))
+    names, found = np.unique(np.repeat(classes, counts)[hit], return_counts=True)
     zero = np.zeros(len(names), np.int64)
     return pa.table([names, zero, found.astype(np.int64), zero], schema=_FLAGGED)
 
 
-def _questionable(docs: DataFrame) -> DataFrame:
-    """Classes that have enough tokens in common with other classes to be similar to any."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(16, size // BYTES_PER_TOKEN // BUCKET_TOKENS)
-    shared = (
-        docs.select("text")
-        .mapInArrow(_packed(n_buckets), _PACKED)
-        .groupBy("bucket")
-        .applyInArrow(_shared, "class bigint, n bigint, shared bigint, copies bigint")
+def _questionable(packed: DataFrame) -> DataFrame:
+    """``class, n`` of classes with enough tokens in common with other groups to be similar."""
+    shared = packed.groupBy("bucket").applyInArrow(
+        _shared, "class bigint, n bigint, shared bigint, copies bigint"
     )
-    # a class met in several batches was counted in each of them alike
+    # a class met in several slices was counted in each of them alike
     return (
         shared.groupBy("class")
         .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.sum("copies").alias("copies"))
@@ -242,6 +265,10 @@ def _questionable(docs: DataFrame) -> DataFrame:
     )
 
 
+def _buckets(tokens: int) -> int:
+    return max(16, tokens // BUCKET_TOKENS)
+
+
 # ---- orders 2 and 3 -------------------------------------------------------------------------
 
 
@@ -294,10 +321,14 @@ def _cross_pairs(index: DataFrame, sets: DataFrame, found: DataFrame) -> DataFra
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low != high")
     )
-    open_classes = placed.join(spanning, "token").select("class", "component").distinct()
-    open_classes = materialize(open_classes, "open")
-    tokens = sets.join(open_classes, "class").select(
-        "class", "component", "n", F.explode("tokens").alias("token")
+    near = placed.join(spanning, "token").select("class", "component").distinct()
+    near_sets = materialize(near.join(sets, "class").select("class", "component", "tokens"), "near")
+    # order 1 again, now against the classes of other components
+    total = near_sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    packed = near_sets.mapInArrow(_sets_packed(_buckets(total)), _PACKED)
+    open_sets = near_sets.join(_questionable(packed), "class")
+    tokens = materialize(
+        open_sets.select("class", "component", "n", F.explode("tokens").alias("token")), "tokens"
     )
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = (
@@ -336,15 +367,16 @@ def class_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
     ``docs(doc_id, text)`` are the documents, ``signed(doc_id, class, n)`` their signatures.
     """
-    asked = materialize(_questionable(docs), "questionable")
-    holders = signed.join(asked.select("class"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = docs.select("text").mapInArrow(_texts_packed(_buckets(size // BYTES_PER_TOKEN)), _PACKED)
+    asked = materialize(_questionable(packed), "questionable")
+    holders = signed.join(asked, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     texts = _chosen(docs, materialize(holders, "holders"))
     sets = materialize(
-        texts.select(signature("text").alias("s"), "text", "__class")
-        .where(F.col("s.class") == F.col("__class"))
-        .select(F.col("s.class").alias("class"), F.col("s.n").alias("n"), _sets(F.col("text")).alias("tokens"))
+        texts.select(F.col("__class").alias("class"), _sets(F.col("text"), F.col("__class")).alias("tokens"))
         .groupBy("class")
-        .agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")),
+        .agg(F.first("tokens", ignorenulls=True).alias("tokens"))
+        .select("class", F.size("tokens").cast("long").alias("n"), "tokens"),
         "sets",
     )
     entries = sets.select(
@@ -406,14 +438,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     few = kept.limit(SENT_ROWS + 1).count() <= SENT_ROWS
     repeated = not kept.where("rows > 1").isEmpty()
-    kept = kept.select(
-        F.col("class").alias("__kept"), F.col("own").alias("__own"), F.col("rows").alias("__rows")
-    )
-    named = docs.withColumn("__class", signature(text)["class"])
-    joined = named.join(F.broadcast(kept) if few else kept, F.col("__class") == F.col("__kept"), "left")
-    head = F.col("__kept").isNotNull() & F.col(doc_id).eqNullSafe(F.col("__own"))
-    out = joined.where(F.col("__class").isNull() | (head & (F.col("__rows") == 1)))
+    name, kept_name, own, n = unused(docs, "class", "kept", "own", "rows")
+    kept = kept.toDF(kept_name, own, n)
+    named = docs.withColumn(name, signature(text)["class"])
+    joined = named.join(F.broadcast(kept) if few else kept, F.col(name) == F.col(kept_name), "left")
+    head = F.col(kept_name).isNotNull() & F.col(doc_id).eqNullSafe(F.col(own))
+    out = joined.where(F.col(name).isNull() | (head & (F.col(n) == 1)))
     if repeated:  # several rows of one word sequence: any of those with the smallest id
-        several = joined.where(head & (F.col("__rows") > 1)).dropDuplicates(["__class"])
-        out = out.unionByName(several)
+        out = out.unionByName(joined.where(head & (F.col(n) > 1)).dropDuplicates([name]))
     return out.select(docs.columns)
