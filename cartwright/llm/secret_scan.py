@@ -1,12 +1,13 @@
 """Secret scan: known forms, and strings that read like random characters.
 
-Known forms (``base``) are found by pattern. Beyond them, every run of the characters keys are made of is scored by two
-first-order Markov chains over characters, one trained on random strings and one on ordinary identifiers: the
-logarithm of the likelihood ratio decides. The labelled samples come from the documents
-themselves: values that a known form marks as secret are the random strings, other runs of at
-least ``SAMPLE_LENGTH`` characters the ordinary ones, both from about ``TRAINING_DOCUMENTS`` documents
-chosen by a hash of the id. Transitions are interpolated with those between character classes, so few
-samples, even none, suffice.
+Known forms (``base``) are found by pattern. Beyond them, every long run of the characters keys
+are made of is scored by two first-order Markov chains over characters, one trained on random
+strings and one on ordinary identifiers: the logarithm of their likelihood ratio decides. The labelled samples come from the documents
+themselves: values that a known form marks as secret are the random strings; in documents without
+any, runs of ``SAMPLE_LENGTH`` characters up to the length of a candidate, and numbers, are the
+ordinary ones. Both come from about ``TRAINING_DOCUMENTS`` documents chosen by a hash of the id.
+Transitions are interpolated with those between character classes, so few samples, even none,
+suffice.
 
 Everything is built-in expressions. Positions are code points, ends exclusive. A null or empty
 text has no spans; long texts are searched whole; rows are treated on their own, so repeated rows
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm import sampling
-from cartwright.llm.words import id_and_text, whole_text
+from cartwright.llm.words import id_and_text, unused, whole_text
 
 # Fixed: the known forms, in the order in which spans of equal start are listed.
 ASSIGN = (
@@ -142,13 +143,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents:
     chosen = rows.where(sampling.share(key, 3) * max(total, 1) < documents)
     marked = chosen.select("text", base_spans(F.col("text")).alias("base"))
     secret = F.transform("base", lambda s: F.regexp_replace(s["value"], r"[^A-Za-z0-9+/_=-]", ""))
+    # longer runs are candidates themselves, but numbers are ordinary at any length
     runs = F.filter(
-        F.regexp_extract_all("text", F.lit(RUN), F.lit(0)), lambda r: F.length(r) >= SAMPLE_LENGTH
+        F.regexp_extract_all("text", F.lit(RUN), F.lit(0)),
+        lambda r: (F.length(r) >= SAMPLE_LENGTH)
+        & ((F.length(r) < RUN_LENGTH) | ~r.rlike("[^0-9]")),
     )
     samples = marked.select(
         (F.size("base") > 0).alias("random"),
         F.explode(F.array_distinct(F.when(F.size("base") > 0, secret).otherwise(runs))).alias("run"),
-    )
+    ).distinct()  # a string that stands often says no more than once
     counted = (
         samples.select("random", F.explode(_transitions(_codes(F.col("run")))).alias("pair"))
         .groupBy("random", "pair")
@@ -227,9 +231,9 @@ def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows with secrets masked in the text column; a null text stays null."""
     ratios = fit(docs, doc_id, text)
     whole = whole_text(text)
-    spans = docs.withColumn("__base", base_spans(whole))
-    spans = spans.withColumn("__spans", all_spans(whole, F.col("__base"), ratios))
-    return spans.withColumn(
-        text, F.when(F.col(text).isNotNull(), masked(F.col(text), F.col("__spans")))
-    ).drop("__base", "__spans")
-
+    base, spans = unused(docs, "base", "spans")
+    found = docs.withColumn(base, base_spans(whole))
+    found = found.withColumn(spans, all_spans(whole, F.col(base), ratios))
+    return found.withColumn(
+        text, F.when(F.col(text).isNotNull(), masked(F.col(text), F.col(spans)))
+    ).drop(base, spans)
