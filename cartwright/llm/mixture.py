@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartwright.llm.words import WORD, whole_text
+from cartwright.llm.words import WORD, unused, whole_text
 from cartwright.session import materialize
 
 GROUP_ROWS = 4096  # documents of one source that are numbered together, about
@@ -331,30 +331,32 @@ def mixed_documents(
         .join(plan.slots.select("number", "block", "pass"), ["number", "block"])
         .groupBy("number", "begin", "__place", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("__parts"))
-        .join(plan.documents.select("number", "begin", "__size"), ["number", "begin"])
+        .join(
+            plan.documents.where("__size > 0").select("number", "begin", "__size"),
+            ["number", "begin"],  # a row without words begins where the next one does
+        )
     )
     # equal rows take turns, so that each has its own pieces
     turn = Window.partitionBy("__place").orderBy("number", "begin")
+    key, row, place, nth, parts, size = unused(docs, "key", "row", "place", "nth", "parts", "size")
     chosen = chosen.select(
-        "__place", "__parts", "__size", F.dense_rank().over(turn).alias("__nth"),
+        F.col("__place").alias(place), F.dense_rank().over(turn).alias(nth),
+        F.col("__parts").alias(parts), F.col("__size").alias(size),
     )
-    rows = docs.withColumn("__key", _row_key(doc_id, text)).withColumn(
-        "__row", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    )
-    both = rows.join(
-        chosen, (F.col("__key") == F.col("__place")) & (F.col("__row") - F.col("__nth") == 0)
-    )
+    rows = docs.withColumn(key, _row_key(doc_id, text))
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    # the difference keeps the join on the key alone, as the rows are dealt out already
+    both = rows.join(chosen, (F.col(key) == F.col(place)) & (F.col(row) - F.col(nth) == 0))
     words = F.regexp_extract_all(text, F.lit(WORD_AND_BLANKS), F.lit(0))
-    taken = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["n_words"])
+    taken = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["n_words"])
     cut = F.array_join(
         F.flatten(
             F.transform(
-                "__parts",
+                parts,
                 lambda p: F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")),
             )
         ),
         "",
     )
-    return both.withColumn(
-        text, F.when(taken == F.col("__size"), F.col(text)).otherwise(cut)
-    ).select(*docs.columns)
+    whole = taken == F.col(size)
+    return both.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).select(*docs.columns)

@@ -24,3 +24,14 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a missing id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % n
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that the rows don't have."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

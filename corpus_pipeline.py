@@ -24,7 +24,7 @@ from cartwright.llm.queries import (
     table,
     vocabulary,
 )
-from cartwright.llm.words import remainder, whole_text
+from cartwright.llm.words import remainder, unused, whole_text
 from cartwright.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,8 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier keeps; it learns from the labels that aren't held out."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
     model = quality_knn.fit(docs, labels)
-    scored = docs.withColumn("__score", quality_knn.score(model, "text"))
-    return scored.where(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    (score,) = unused(docs, "score")
+    scored = docs.withColumn(score, quality_knn.score(model, "text"))
+    return scored.where(F.col(score) >= QUALITY_THRESHOLD).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +59,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids, exact`` of each row."""
     ranks = vocabulary("byte_bpe_50k.tiktoken")
-    trip = bpe_transducer.round_trip(whole_text("text"), ranks, splitting_pattern())
-    return docs.withColumn("trip", trip).select(
+    trip = bpe_transducer.round_trip("text", ranks, splitting_pattern())
+    read = docs.select("doc_id", "source", whole_text("text").alias("text"))
+    return read.withColumn("trip", trip).select(
         "doc_id",
         "source",
         F.size("trip.ids").cast("long").alias("n_tokens"),
         F.col("trip.ids").alias("ids"),
-        (F.col("trip.decoded") == whole_text("text")).alias("exact"),
+        (F.col("trip.decoded") == F.col("text")).alias("exact"),
     )
 
 
