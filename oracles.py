@@ -636,6 +636,9 @@ QUERIES: dict[str, str] = {
     "similar_customers": """
         select x as customer_unique_id, cast(place as integer) as place, y as neighbour, similarity
         from neighbours""",
+    "similar_customers_pruned": """
+        select x as customer_unique_id, cast(place as integer) as place, y as neighbour, similarity
+        from neighbours""",
     "recommendations": """
         select customer_unique_id, cast(place as integer) as place, category, category as label,
                score from recs""",
