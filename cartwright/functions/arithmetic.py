@@ -25,13 +25,21 @@ def mean(value: Column, weight: Column) -> Column:
     return ratio(total(value, weight), rows_with(value, weight))
 
 
+#: A quotient of exact numbers that is a half differs from it by less than this share in double.
+HALF_SLACK = 2.0**-50
+
+
 def rounded(c: Column, digits: int) -> Column:
-    """Round half up at the decimal value a double stands for.
+    """Round half up, once, to so many decimal places.
 
-    Four more decimal places are settled first, so that 0.05625 computed as
-    0.056249999999999994 still counts as the half it is.
+    A quotient in double lies within half a unit of its last place of the true one. The slack of
+    two units brings true halves back (0.05625 computed as 0.056249999999999994) and reaches no
+    other quotient of numbers below 2**49.
     """
-    return F.round(c.cast(f"decimal(38,{digits + 4})"), digits).cast("double")
+    unit = 10.0**digits
+    number = c.cast("double")
+    steps = F.floor(F.abs(number) * unit * (1 + HALF_SLACK) + 0.5)
+    return F.signum(number) * (steps / unit) + F.lit(0.0)
 
 
 def money(c: Column) -> Column:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 # Characters stripped from both ends, and texts that mean "missing".
 WHITESPACE = " \t\n\r\f\v"
-NULL_TOKENS = ("", "None", "nan", "NaT", "NA", "NULL", "null", "N/A", "n/a")
+NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "NaT",
+)
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def stripped(c: Column) -> Column:
@@ -38,8 +42,13 @@ def as_int(c: Column) -> Column:
 
 
 def as_number(c: Column) -> Column:
-    """Lenient numeric coercion: text that is no number becomes NULL."""
-    return c.try_cast("double")
+    """Lenient numeric coercion: text that is no finite decimal number becomes NULL.
+
+    Spark's own cast also takes type suffixes (``12d``), ``NaN`` and ``Infinity``.
+    """
+    number = F.when(stripped(c.cast("string")).rlike(NUMBER), stripped(c.cast("string")))
+    value = number.try_cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def title_label(c: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwright.functions.arithmetic import rounded
-from cartwright.operators.selection import exact_medians, exact_quantiles, select_ranks
+from cartwright.operators.selection import exact_medians, exact_quantiles
 from cartwright.session import materialize
 
 # Feature lists and targets of the two models.
@@ -47,7 +47,7 @@ CLV_TARGET = "total_revenue"
 CATEGORY = "customer_state"
 SEED = 42
 TEST_SHARE = 0.2
-MAX_LEVELS = 1_000
+DRAW_BUCKETS = 4096  # three hexadecimal digits of a draw
 
 
 def churn_frame(metrics: DataFrame) -> DataFrame:
@@ -73,12 +73,9 @@ def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def levels(df: DataFrame, column: str = CATEGORY) -> list[str]:
-    """Distinct values, alphabetical; indicator columns need a bounded number of them."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1)
-    values = sorted(row[0] for row in found.collect())
-    if len(values) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} values")
-    return values
+    """Distinct values, alphabetical: the columns of the wide indicator form."""
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return sorted(row[0] for row in found.collect())
 
 
 def one_hot(df: DataFrame, values: Sequence[str], column: str = CATEGORY) -> DataFrame:
@@ -91,13 +88,35 @@ def one_hot(df: DataFrame, values: Sequence[str], column: str = CATEGORY) -> Dat
 
 
 def model_matrix(frame: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Stored frame with a ``features`` vector, and the vector's column names in order."""
+    """Stored frame with a ``features`` vector, and the vector's column names in order.
+
+    Indicators are sparse; the alphabetically first value has none, nor has a missing one.
+    """
     stored = materialize(frame, "features")
-    values = levels(stored)
-    encoded = one_hot(impute_medians(stored, features), values)
-    names = [*features, *[f"{CATEGORY}_{v}" for v in values[1:]]]
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(encoded)
-    return assembled, names
+    imputed = impute_medians(stored, features)
+    if stored.filter(F.col(CATEGORY).isNotNull()).isEmpty():
+        plain = VectorAssembler(inputCols=list(features), outputCol="features")
+        return plain.transform(imputed.drop(CATEGORY)), list(features)
+    indexer = StringIndexer(
+        inputCol=CATEGORY, outputCol="category_index", stringOrderType="alphabetDesc",
+        handleInvalid="keep",
+    ).fit(imputed)
+    values = list(indexer.labels)[:-1]
+    names = [*features, *[f"{CATEGORY}_{v}" for v in values]]
+    parts = list(features)
+    encoded = indexer.transform(imputed)
+    if values:
+        encoder = OneHotEncoder(
+            inputCol="category_index", outputCol="category_flags", dropLast=False
+        ).fit(encoded)
+        # all but the last two: the alphabetically first value, and the missing one
+        kept = VectorSlicer(
+            inputCol="category_flags", outputCol="flags", indices=list(range(len(values)))
+        )
+        encoded = kept.transform(encoder.transform(encoded))
+        parts.append("flags")
+    assembled = VectorAssembler(inputCols=parts, outputCol="features").transform(encoded)
+    return assembled.drop(CATEGORY, "category_index", "category_flags", "flags"), names
 
 
 def _draw(seed: int) -> Column:
@@ -105,20 +124,55 @@ def _draw(seed: int) -> Column:
     return F.md5(F.concat(F.col("customer_unique_id").cast("string"), F.lit(f"#{seed}")))
 
 
-def _strata(df: DataFrame, label: str | None) -> tuple[list[object], list[Column]]:
-    if label is None:
-        return [None], [F.lit(True)]
-    values = sorted(row[0] for row in df.select(label).distinct().limit(MAX_LEVELS).collect())
-    return values, [F.col(label) == F.lit(v) for v in values]
-
+def _with_cuts(
+    df: DataFrame, label: str | None, shares: Sequence[float], seed: int
+) -> DataFrame:
+    """Add ``__cuts``: for the row's label value the draws at the given shares of its rows (NULL
+    where a share comes to no row).
 
-def _cuts(df: DataFrame, inside: list[Column], shares: Sequence[float], seed: int) -> list[list]:
-    """Per stratum the draws at the given shares of it: exact ranks, found without sorting."""
-    sizes = list(df.agg(*[F.count_if(i).alias(f"n{k}") for k, i in enumerate(inside)]).first())
-    ranks = [[int(n * s + 0.5) for s in shares] for n in sizes]
-    wanted = [[r for r in rs if r >= 1] for rs in ranks]
-    orderings = [F.when(i, _draw(seed)) for i in inside]
-    return select_ranks(df, orderings, wanted, sizes)
+    Draws are counted by their first digits within each label value, map-side first; only the
+    bucket that holds a cut is ranked. Any number of label values will do, NULL is one of them.
+    """
+    stratum = F.lit(0) if label is None else F.col(label)
+    drawn = df.select(
+        F.struct(stratum.alias("value")).alias("stratum"), _draw(seed).alias("draw")
+    ).withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    counts = drawn.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("stratum")
+    upto = whole.orderBy("bucket")
+    placed = counts.select(
+        "stratum", "bucket", "n",
+        F.sum("n").over(upto).alias("last"),
+        F.sum("n").over(whole).alias("size"),
+    )
+    ranks = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), F.floor(F.col("size") * s + 0.5).alias("rank"))
+            for k, s in enumerate(shares)
+        ]
+    )
+    wanted = (
+        placed.select("stratum", "bucket", "n", "last", F.inline(ranks))
+        .filter((F.col("rank") >= 1) & (F.col("rank") <= F.col("last")))
+        .filter(F.col("rank") > F.col("last") - F.col("n"))
+        .select("stratum", "bucket", "k", (F.col("rank") - F.col("last") + F.col("n")).alias("place"))
+    )
+    buckets = wanted.groupBy("stratum", "bucket").agg(
+        F.collect_list(F.struct("k", "place")).alias("places")
+    )
+    inside = Window.partitionBy("stratum", "bucket").orderBy("draw")
+    cuts = (
+        drawn.join(buckets, ["stratum", "bucket"])
+        .withColumn("at", F.row_number().over(inside))
+        .select("stratum", "draw", "at", F.explode("places").alias("p"))
+        .filter(F.col("at") == F.col("p.place"))
+        .groupBy("stratum")
+        .agg(F.map_from_entries(F.collect_list(F.struct("p.k", "draw"))).alias("found"))
+        .select("stratum", F.array(*[F.col("found")[k] for k in range(len(shares))]).alias("__cuts"))
+        .withColumnRenamed("stratum", "__stratum")
+    )
+    own = F.struct(stratum.alias("value"))
+    return df.join(cuts, own == F.col("__stratum"), "left").drop("__stratum")
 
 
 def split(
@@ -126,27 +180,19 @@ def split(
 ) -> DataFrame:
     """Add ``is_test`` for a fixed ``share`` of the rows, per label value if one is given.
 
-    Rows of one customer stay on one side. The threshold draw of each stratum is an exact order
-    statistic, so the marking is a projection: no shuffle, same answer on every run.
+    Rows of one customer stay on one side. A row is a test row when its draw is not above the
+    exact order statistic of its stratum, the same on every run.
     """
-    _, inside = _strata(df, label)
-    cuts = _cuts(df, inside, [share], seed)
-    tests = [i & (_draw(seed) <= F.lit(c[0])) for i, c in zip(inside, cuts) if c]
-    is_test = F.lit(False)
-    for t in tests:
-        is_test = is_test | t
-    return df.withColumn("is_test", is_test)
+    marked = _with_cuts(df, label, [share], seed)
+    is_test = F.coalesce(_draw(seed) <= F.col("__cuts")[0], F.lit(False))
+    return marked.withColumn("is_test", is_test).drop("__cuts")
 
 
 def folds(df: DataFrame, label: str, n: int = 5, seed: int = SEED) -> DataFrame:
     """Add ``fold`` (0 ... n-1), equally filled within every label value."""
-    _, inside = _strata(df, label)
-    cuts = _cuts(df, inside, [k / n for k in range(1, n)], seed)
-    fold = F.lit(0)
-    for i, ends in zip(inside, cuts):
-        for end in ends:
-            fold = fold + F.coalesce((i & (_draw(seed) > F.lit(end))).cast("int"), F.lit(0))
-    return df.withColumn("fold", fold)
+    marked = _with_cuts(df, label, [k / n for k in range(1, n)], seed)
+    above = F.filter("__cuts", lambda cut: _draw(seed) > cut)
+    return marked.withColumn("fold", F.coalesce(F.size(above), F.lit(0))).drop("__cuts")
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:

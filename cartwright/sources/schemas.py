@@ -19,6 +19,7 @@ class RawTable:
     required: tuple[str, ...] = ()
     timestamps: tuple[str, ...] = ()
     numbers: tuple[str, ...] = ()
+    line_breaks: bool = False  # texts people type: quoted fields may span lines
 
     @property
     def schema(self) -> StructType:
@@ -54,13 +55,13 @@ RAW_TABLES: dict[str, RawTable] = {
         ),
         required=("product_id",),
         numbers=(
-            "product_name_lenght",
-            "product_description_lenght",
-            "product_photos_qty",
             "product_weight_g",
             "product_length_cm",
             "product_height_cm",
             "product_width_cm",
+            "product_photos_qty",
+            "product_name_lenght",
+            "product_description_lenght",
         ),
     ),
     "orders_dataset": RawTable(
@@ -121,6 +122,7 @@ RAW_TABLES: dict[str, RawTable] = {
         required=("review_id", "order_id", "review_score"),
         timestamps=("review_creation_date", "review_answer_timestamp"),
         numbers=("review_score",),
+        line_breaks=True,
     ),
     "geolocation_dataset": RawTable(
         columns=(

@@ -296,14 +296,10 @@ def cohort_activity(s: Star) -> DataFrame:
     return cohorts.cohort_activity(_facts(s))
 
 
-# Months between the first and the last month in which the star tables have orders.
-LAST_PERIOD = 79
-
-
 @query
 def cohort_matrix(s: Star) -> DataFrame:
-    activity = cohorts.cohort_activity(_facts(s))
-    return cohorts.retention_matrix(activity, LAST_PERIOD, values="customers")
+    activity = materialize(cohorts.cohort_activity(_facts(s)), "activity")
+    return cohorts.retention_matrix(activity, values="customers")
 
 
 @query

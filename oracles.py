@@ -284,8 +284,9 @@ CTES: dict[str, str] = {
 }
 
 
-def _round_decimals(text: str) -> str:
-    """Let ``round(x, n)`` work on n + 4 decimal places, where halves are exact, not on doubles."""
+def _rounds(text: str) -> str:
+    """Spell out ``round(x, n)``: half up, once, where a double within two units in its last
+    place of a half counts as that half. DuckDB's own rounds the binary product instead."""
     out, at = [], 0
     for found in re.finditer(r"\bround\(", text):
         if found.start() < at:
@@ -298,13 +299,16 @@ def _round_decimals(text: str) -> str:
                 comma = end
             end += 1
         digits = text[comma + 1 : end - 1].strip()
-        inner = _round_decimals(text[found.end() : comma])
+        inner = _rounds(text[found.end() : comma])
         out.append(text[at : found.start()])
         if digits == "10":
             out.append(f"round({inner}, 10)")
         else:
-            places = int(digits) + 4
-            out.append(f"cast(round(cast({inner} as decimal(38,{places})), {digits}) as double)")
+            unit = f"1e{digits}"
+            out.append(
+                f"list_transform([cast({inner} as double)], lambda v: sign(v) * (floor("
+                f"abs(v) * {unit} * (1 + pow(2, -50)) + 0.5) / {unit}) + 0.0)[1]"
+            )
         at = end
     return "".join(out) + text[at:]
 
@@ -325,7 +329,7 @@ def sql(text: str) -> str:
         text = ", " + text
     if needed:
         text = "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in needed) + "\n" + text
-    return _round_decimals(text)
+    return _rounds(text)
 
 
 def _money(column: str) -> str:
@@ -336,9 +340,6 @@ def _avg(column: str, digits: int = 2) -> str:
     return f"round(cast(sum({column}) as double) / nullif(count({column}), 0), {digits})"
 
 
-PERIODS = 80  # months between the first and the last order month of the star tables, plus one
-
-
 def _report(
     table: str, before: str, after: str, rows: str = "count(*)", dropped: str = "max(0)",
     blanks: str = "max(0)", invalid: str = "max(0)",
@@ -553,9 +554,9 @@ QUERIES: dict[str, str] = {
         select user_id, min(ts) as first_at, max(ts) as last_at,
                datesub('day', min(ts), max(ts)) as days_between, count(*) as events
         from events group by user_id""",
-    "cohort_matrix": "select cohort_month, "
-    + ", ".join(f"max(case when period = {p} then customers end) as m{p}" for p in range(PERIODS))
-    + " from activity group by cohort_month",
+    "cohort_matrix": """
+        select * from (pivot (select *, 'm' || period as column_name from activity)
+                       on column_name using max(customers) group by cohort_month)""",
     # The staged frames start from text tables, blemished and cleaned again.
     "stg_orders": "select * from clean_orders",
     "stg_customers": "select * from clean_customers",

@@ -88,11 +88,32 @@ def test_reading_foreign_csv(spark, tmp_path):
         tables.read_all_raw(spark, str(tmp_path / "nowhere"))
 
 
-def test_line_breaks_inside_quotes_on_request(spark, tmp_path):
-    header = ",".join(RAW_TABLES["sellers_dataset"].columns)
-    (tmp_path / "sellers_dataset.csv").write_text(f'{header}\ns1,1,"two\nlines",S\n')
-    got = tables.read_raw(spark, str(tmp_path), "sellers_dataset", line_breaks=True)
-    assert got.first()["seller_city"] == "two\nlines"
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    name = "order_reviews_dataset"
+    reviews = raw(spark, name,
+                  ("r1", "o1", "5", None, 'first line\nsecond "line"\n\nlast', "2018-01-01 00:00:00", None),
+                  ("r2", "o2", "4", "t", "one line", "2018-01-01 00:00:00", None))
+    tables.land_csv(reviews, str(tmp_path), name)
+    assert rows(tables.read_all_raw(spark, str(tmp_path))[name]) == rows(reviews)
+    for other in RAW_TABLES:
+        if other != name:
+            tables.land_csv(raw(spark, other), str(tmp_path), other)
+    tables.register_raw(spark, str(tmp_path), "raw_breaks")
+    assert rows(spark.table(f"raw_breaks.{name}")) == rows(reviews)
+    assert quality.clean(spark.table(f"raw_breaks.{name}"), name).count() == 2
+
+
+def test_only_finite_decimal_numbers_are_numbers(spark):
+    name = "order_items_dataset"
+    prices = ["12.5", " 7 ", "-3", "1e3", ".5", "12d", "12f", "NaN", "Infinity", "-inf", "0x10", "<NA>", "1e999"]
+    items = raw(spark, name, *[(f"o{k}", "1", "p", "s", "2018-01-01 00:00:00", p, "1") for k, p in enumerate(prices)])
+    cleaned = {r["order_id"]: r["price"] for r in quality.clean(items, name).collect()}
+    numbers = {f"o{k}": p.strip() for k, p in enumerate(prices[:5])}
+    # NaN and <NA> mean missing, so those rows lack a required column
+    assert cleaned == numbers | {f"o{k}": None for k in (5, 6, 8, 9, 10, 12)}
+    report = {r["measure"]: r["count"] for r in quality.quality_report(items, name).collect()}
+    assert report["invalid numeric values"] == 6 and report["null required rows dropped"] == 2
+    assert staging.order_items(quality.clean(items, name)).agg({"price": "sum"}).first()[0] is not None
 
 
 def test_registration_marts_and_sql(spark, tmp_path):
@@ -112,8 +133,10 @@ def test_registration_marts_and_sql(spark, tmp_path):
     )
     assert bucketed.count() == 1
     assert tables.run_sql(spark, "select count(*) n from marts_test.sellers_mart").first()["n"] == 1
-    shown, note = tables.try_sql(spark, "select id from range(100)")
-    assert note == "20 rows" and len(shown.collect()) == 20
+    shown, note = tables.try_sql(spark, "select id from range(1000)")
+    assert note == "1000 rows" and shown.count() == 1000
+    shown, note = tables.try_sql(spark, "select id from range(1000)", rows=20)
+    assert note == "1000 rows" and shown.count() == 20
     nothing, note = tables.try_sql(spark, "selec nonsense")
     assert nothing is None and note.startswith("error:")
     nothing, note = tables.try_sql(spark, "select 1 / 0 as x")
