@@ -106,6 +106,9 @@ def quality_reports(raw: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+CHECKED_MODELS = tuple(dict.fromkeys([*UNIQUE, *NOT_NULL, *ACCEPTED]))
+
+
 def unique_violations(df: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once, with how often."""
     return (
@@ -128,7 +131,8 @@ def _line(model: str, column: str, rule: str, failures: Column) -> Column:
 def constraint_violations(staged: Mapping[str, DataFrame]) -> DataFrame:
     """One row per declared check: how many values or rows break it (0 = passed).
 
-    Per frame, one pass answers all null and value checks, and one grouping per unique column.
+    Per frame, one pass answers all null and value checks, and one grouping per unique column;
+    pass stored frames.
     """
     checks = []
     for model, columns in UNIQUE.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ from cartwright.plans import (
     reports,
     staging,
 )
-from cartwright.session import materialize
+from cartwright.session import materialize, shared_folder
+from cartwright.sources import tables
 from cartwright.sources.star import AS_OF, Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,6 +238,11 @@ def churn_table(s: Star) -> DataFrame:
     return reports.with_headings(reports.churn_summary(_metrics(s)), reports.CHURN_HEADINGS)
 
 
+@query
+def clv_table(s: Star) -> DataFrame:
+    return reports.with_headings(reports.clv_by_segment(_metrics(s)), reports.CLV_HEADINGS)
+
+
 @query
 def clv_by_segment(s: Star) -> DataFrame:
     return reports.clv_by_segment(_metrics(s))
@@ -322,7 +329,72 @@ def quality_report(s: Star) -> DataFrame:
 
 @query
 def constraint_violations(s: Star) -> DataFrame:
-    return quality.constraint_violations(staging.all_staged(quality.clean_all(s.raw_tables)))
+    staged = staging.all_staged(quality.clean_all(s.raw_tables))
+    # each frame is asked several times over, so its rows are cleaned once and stored
+    checked = {m: materialize(staged[m], m) for m in quality.CHECKED_MODELS}
+    return quality.constraint_violations(checked)
+
+
+# ---- files, tables and SQL text -------------------------------------------------------------
+
+
+def _folder(s: Star, label: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(s.spark)}/{s.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def landed_quality_report(s: Star) -> DataFrame:
+    """All raw tables written as CSV, found and read again, and reported on."""
+    base = _folder(s, "landing")
+    for name, df in s.raw_tables.items():
+        tables.land_csv(df, base, name)
+    return quality.quality_reports(tables.read_all_raw(s.spark, base))
+
+
+@query
+def registered_stg_orders(s: Star) -> DataFrame:
+    """Orders landed as CSV, registered as an external table and read by SQL text."""
+    base, database = _folder(s, "landing"), f"raw_{uuid.uuid4().hex}"
+    tables.land_csv(s.raw("orders_dataset"), base, "orders_dataset")
+    tables.register_raw(s.spark, base, database)
+    raw = tables.run_sql(s.spark, f"select * from {database}.orders_dataset")
+    return staging.orders(quality.clean(raw, "orders_dataset"))
+
+
+@query
+def stored_embedding(s: Star) -> DataFrame:
+    """Embeddings built and stored at the first call, found at the second."""
+    path = _folder(s, "embeddings")
+    documents = s.table("documents").select(F.col("doc_id").alias("id"), "text")
+    for _ in range(2):
+        held = tables.read_or_build(s.spark, path, lambda: insights.embedding_store(documents))
+    return held.select(
+        F.col("id").alias("doc_id"), F.posexplode("embedding").alias("component", "value")
+    )
+
+
+@query
+def stored_recommendations(s: Star) -> DataFrame:
+    """Recommendations written highest score first, and read again."""
+    vectors, categories = recommend.prepared(_purchases(s))
+    lists = recommend.neighbour_lists(vectors)
+    path = tables.save_sorted(
+        recommend.recommendations(lists, categories), _folder(s, "recommendations"), "score"
+    )
+    return s.spark.read.parquet(path)
+
+
+@query
+def segments_by_sql(s: Star) -> DataFrame:
+    """A stored mart, asked by SQL text."""
+    name = f"dim_customers_{uuid.uuid4().hex}"
+    tables.save_mart(_dim(s), name)
+    text = f"select customer_segment, count(*) as customers from {name} group by all"
+    result, note = tables.try_sql(s.spark, text)
+    if result is None:
+        raise RuntimeError(note)
+    return result
 
 
 # ---- recommender ----------------------------------------------------------------------------

@@ -474,7 +474,7 @@ QUERIES: dict[str, str] = {
         select {ROLLUP_COLUMNS}, recency_score, frequency_score, monetary_score, customer_segment
         from dim""",
     "segment_summary": f"""
-        select customer_segment, count(customer_unique_id) as customers,
+        select customer_segment, count(*) as customers, count(customer_unique_id) as identified,
                {_avg('total_revenue')} as avg_revenue, round(avg(total_orders), 2) as avg_orders,
                round(avg(recency_days), 2) as avg_recency,
                round(avg(avg_review_score), 2) as avg_score
@@ -510,6 +510,11 @@ QUERIES: dict[str, str] = {
                {_money('min(total_revenue)')} as min_clv, {_money('max(total_revenue)')} as max_clv,
                count(*) as customers
         from metrics group by customer_segment""",
+    "clv_table": f"""
+        select customer_segment as "Segment", count(*) as "Customers",
+               {_avg('total_revenue')} as "Avg CLV ($)",
+               {_money('min(total_revenue)')} as "Min ($)", {_money('max(total_revenue)')} as "Max ($)"
+        from metrics group by customer_segment""",
     "status_funnel": f"""
         select status, count(*) as orders, {_avg('order_value')} as avg_order_value,
                {_avg('delivery_days')} as avg_delivery_days,
@@ -787,3 +792,12 @@ QUERIES: dict[str, str] = {
         from (select cast(total_revenue as double) as a, cast(max_order_value as double) as p
               from metrics where total_revenue is not null)""",
 }
+
+# The same rows after a way through files or tables.
+QUERIES |= {
+    "landed_quality_report": QUERIES["quality_report"],
+    "registered_stg_orders": QUERIES["stg_orders"],
+    "stored_embedding": QUERIES["hash_embedding"],
+    "stored_recommendations": QUERIES["recommendations"],
+    "segments_by_sql": "select customer_segment, count(*) as customers from dim group by all",
+}
