@@ -140,6 +140,23 @@ def classification_report(scores: DataFrame, actual: str, predicted: str) -> Dat
     )
 
 
+def quality(scores: DataFrame) -> DataFrame:
+    """What a churn model is worth on the customers held out, in one row."""
+    a, p = F.col("actual_churned") == 1, F.col("predicted_churned") == 1
+    hits, claimed, real = F.count_if(a & p), F.count_if(p), F.count_if(a)
+    auc = roc_auc(scores, "actual_churned", "churn_probability")
+    return scores.agg(
+        F.lit(round(auc, 6)).alias("auc"),
+        rounded(ratio(hits, claimed), 6).alias("precision"),
+        rounded(ratio(hits, real), 6).alias("recall"),
+        rounded(ratio(2 * hits, claimed + real), 6).alias("f1"),
+        hits.alias("true_positives"),
+        F.count_if(~a & p).alias("false_positives"),
+        F.count_if(a & ~p).alias("false_negatives"),
+        F.count_if(~a & ~p).alias("true_negatives"),
+    )
+
+
 def roc_auc(scores: DataFrame, actual: str, score: str) -> float:
     """Exact area under the ROC curve over all distinct scores."""
     ready = scores.select(F.col(actual).cast("double").alias("y"), F.col(score).cast("double").alias("s"))

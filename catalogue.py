@@ -529,10 +529,6 @@ def question_context(s: Star) -> DataFrame:
 
 # ---- features and models --------------------------------------------------------------------
 
-# The library defaults are the full settings; these keep a registered run short.
-TREES = 10
-
-
 def _churn_frame(s: Star) -> DataFrame:
     return materialize(features.churn_frame(_metrics(s)), "churn_frame")
 
@@ -603,33 +599,82 @@ def regression_report(s: Star) -> DataFrame:
     return models.regression_report(known, "total_revenue", "max_order_value")
 
 
+_TRAINED: dict[tuple[str, str, str], models.Trained] = {}
+
+
+def _trained(s: Star, kind: str) -> models.Trained:
+    """The fitted model of this session and folder; its queries share it."""
+    key = (s.spark.sparkContext.applicationId, s.folder, kind)
+    if key not in _TRAINED:
+        fit = models.train_churn if kind == "churn" else models.train_clv
+        _TRAINED[key] = fit(_metrics(s))
+    return _TRAINED[key]
+
+
+def _churn_scores(s: Star) -> DataFrame:
+    return models.churn_scores(_trained(s, "churn"))
+
+
 @query
 def churn_model_scores(s: Star) -> DataFrame:
-    return models.churn_scores(models.train_churn(_metrics(s), models.CHURN.with_trees(TREES)))
+    return _churn_scores(s)
+
+
+@query
+def churn_model_heldout(s: Star) -> DataFrame:
+    """Who the model is judged on, and what became of them."""
+    return _churn_scores(s).select("customer_unique_id", "actual_churned")
+
+
+@query
+def churn_model_margins(s: Star) -> DataFrame:
+    """Held-out customers by actual label, summed from the four cells of the model's own matrix."""
+    cells = models.confusion_matrix(
+        _churn_scores(s), "actual_churned", "predicted_churned"
+    )
+    return cells.groupBy("actual").agg(F.sum("rows").alias("rows"), F.count("*").alias("cells"))
+
+
+@query
+def churn_model_quality(s: Star) -> DataFrame:
+    """The model's own area under the curve, precision, recall, F1 and four cells."""
+    return models.quality(_churn_scores(s))
 
 
 @query
 def churn_model_importances(s: Star) -> DataFrame:
-    return models.top_importances(models.train_churn(_metrics(s), models.CHURN.with_trees(TREES)))
+    return models.top_importances(_trained(s, "churn"))
 
 
 @query
 def churn_feature_effects(s: Star) -> DataFrame:
-    return models.feature_effects(models.train_churn(_metrics(s), models.CHURN.with_trees(TREES)))
+    return models.feature_effects(_trained(s, "churn"))
 
 
 @query
 def churn_cross_validation(s: Star) -> DataFrame:
     rows, _ = models.churn_matrix(_metrics(s))
-    return models.cross_validate(rows, models.CHURN.with_trees(TREES))
+    return models.cross_validate(rows)
 
 
 @query
 def clv_model_scores(s: Star) -> DataFrame:
-    return models.clv_scores(models.train_clv(_metrics(s), models.CLV.with_trees(TREES)))
+    return models.clv_scores(_trained(s, "clv"))
+
+
+@query
+def clv_model_heldout(s: Star) -> DataFrame:
+    """Who the amounts are judged on, and the actual ones: a random split."""
+    scores = models.clv_scores(_trained(s, "clv"))
+    return scores.select("customer_unique_id", "actual_revenue")
 
 
 @query
 def clv_model_report(s: Star) -> DataFrame:
-    scores = models.clv_scores(models.train_clv(_metrics(s), models.CLV.with_trees(TREES)))
+    scores = models.clv_scores(_trained(s, "clv"))
     return models.regression_report(scores, "actual_revenue", "predicted_revenue")
+
+
+@query
+def clv_feature_effects(s: Star) -> DataFrame:
+    return models.feature_effects(_trained(s, "clv"))

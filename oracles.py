@@ -801,3 +801,21 @@ QUERIES |= {
     "stored_recommendations": QUERIES["recommendations"],
     "segments_by_sql": "select customer_segment, count(*) as customers from dim group by all",
 }
+
+# Who a model is judged on is exact, whatever the model says.
+QUERIES |= {
+    "churn_model_heldout": """
+        select customer_unique_id, is_churned as actual_churned
+        from marked where rn <= floor(n * 0.2 + 0.5)""",
+    "churn_model_margins": """
+        select cast(is_churned as integer) as actual, cast(count(*) as bigint) as rows,
+               cast(2 as bigint) as cells
+        from marked where rn <= floor(n * 0.2 + 0.5) group by is_churned""",
+    "clv_model_heldout": """
+        select customer_unique_id, round(v, 2) as actual_revenue
+        from (select customer_unique_id, cast(total_revenue as double) as v,
+                     row_number() over (order by md5(customer_unique_id || '#42')) as rn,
+                     count(*) over () as n
+              from metrics where total_revenue > 0)
+        where rn <= floor(n * 0.2 + 0.5)""",
+}

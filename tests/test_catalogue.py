@@ -21,6 +21,8 @@ WITHOUT_SQL = {
     "churn_cross_validation",
     "clv_model_scores",
     "clv_model_report",
+    "churn_model_quality",
+    "clv_feature_effects",
 }
 # One query per plan module; scripts/check_oracles.py compares all of them.
 CHECKED = [
