@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TRANSITIONS = 300_000
-MAX_PAIRS = 200_000
-CACHED_PIECES = 200_000
+MAX_TRANSITIONS = 150_000
+MAX_PAIRS = 150_000
+CACHED_PIECES = 120_000
 CACHED_LENGTH = 64
 ROOT = 0
 NEVER = 1 << 60
@@ -60,6 +60,10 @@ class Merges:
         self._edges: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
         self.known_apart: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        self._edges.clear()
+        self.known_apart.clear()
+
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte or an unreachable token."""
         if token not in self._split:
@@ -144,9 +148,9 @@ class Transducer:
         self.inner = {at >> 8 for at in self.child}  # nodes that lead on
         self.lookahead = max(self.depth)
         self.length = {rank: len(token) for token, rank in ranks.items()}
-        self._begin()
+        self.restart()
 
-    def _begin(self) -> None:
+    def restart(self) -> None:
         self.states: list[State] = []
         self.number: dict[State, int] = {}
         self.table: dict[int, tuple[int, int]] = {}
@@ -178,7 +182,7 @@ class Transducer:
     def _moved(self, state: int, byte: int) -> tuple[int, int]:
         full = self.states[state]
         if len(self.table) >= MAX_TRANSITIONS:
-            self._begin()
+            self.restart()
             state = self._numbered(full)
         following, ended = self._step(full, byte)
         move = self.table[state << 8 | byte] = (self._numbered(following), ended)
@@ -254,6 +258,13 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Give back what texts have taught, so that a waiting worker holds the vocabulary only."""
+        self.clear()
+        self.older = {}
+        self.transducer.merges.forget()
+        self.transducer.restart()
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), np.int32)
 
@@ -346,7 +357,8 @@ def _vocabulary(path: str) -> tuple[dict[int, bytes], tuple[dict, dict]]:
     return {rank: token for token, rank in read_ranks(path).items()}, ({}, {})
 
 
-PORTION = 4096
+PORTION = 4096  # ids decoded at once
+SLICE = 256  # rows held as Python objects at once
 
 
 def token_ids(text: str | Column, ranks_path: str, pattern: str) -> Column:
@@ -357,6 +369,7 @@ def token_ids(text: str | Column, ranks_path: str, pattern: str) -> Column:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             yield _ids([encoder.encode(t.as_py() or "") for t in batch])
+        encoder.forget()
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
@@ -395,8 +408,14 @@ def round_trip(text: str | Column, ranks_path: str, pattern: str) -> Column:
         encoder = _encoder(ranks_path, pattern)
         vocabulary, tables = _vocabulary(ranks_path)
         for batch in batches:
-            rows = [encoder.encode(t.as_py() or "") for t in batch]
-            texts = pa.array([_decoded(r, vocabulary, tables) for r in rows], pa.string())
-            yield pa.StructArray.from_arrays([_ids(rows), texts], ["ids", "decoded"])
+            ids, texts = [_ids([])], [pa.array([], pa.string())]
+            for at in range(0, len(batch), SLICE):
+                rows = [encoder.encode(t.as_py() or "") for t in batch.slice(at, SLICE)]
+                ids.append(_ids(rows))
+                texts.append(pa.array([_decoded(r, vocabulary, tables) for r in rows], pa.string()))
+            yield pa.StructArray.from_arrays(
+                [pa.concat_arrays(ids), pa.concat_arrays(texts)], ["ids", "decoded"]
+            )
+        encoder.forget()
 
     return both(F.col(text) if isinstance(text, str) else text)

@@ -71,6 +71,11 @@ class _Words(dict):
         return value
 
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 _words = _Words()
 
 
@@ -113,6 +118,7 @@ def signature(text: str | Column) -> Column:
                 ],
                 ["class", "n"],
             )
+        _words.forget()
 
     return sign(whole_text(text))
 
@@ -153,6 +159,7 @@ def _texts_packed(n_buckets: int):
                 if known:
                     classes = np.fromiter(known, np.int64, len(known))
                     yield _rows(classes, classes, list(known.values()), n_buckets)
+        _words.forget()
 
     return pack
 
