@@ -98,6 +98,38 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked(table(spark, folder, "documents"))
 
 
+ORACLES["op5_ngram_join"] = r"""
+with recursive read as (
+    select row_number() over () as r, doc_id,
+        regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as w
+    from documents
+), shingles as (
+    select distinct r, array_to_string(list_slice(w, i, i + 4), ' ') as g
+    from (select r, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i
+          from read where len(w) > 0)
+), sizes as (
+    select r, count(*) as n from shingles group by r
+), links as (
+    select x, y
+    from (select a.r as x, b.r as y, count(*) as c
+          from shingles a join shingles b on a.g = b.g and a.r <> b.r group by a.r, b.r)
+    join sizes sx on sx.r = x join sizes sy on sy.r = y
+    where 100 * c >= 75 * (sx.n + sy.n - c)
+), reach as (
+    select r, r as other from read
+    union
+    select reach.r, y from reach join links on other = x
+)
+select read.doc_id, coalesce(n, 0) as n_shingles, component_id
+from read
+join (select reach.r, min(doc_id) as component_id
+      from reach join read on other = read.r group by reach.r) c on c.r = read.r
+left join sizes on sizes.r = read.r
+"""
+
+
 #: Documents scored below this are rejected.
 QUALITY_THRESHOLD = 0.3
 
