@@ -52,6 +52,34 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _app_folder(spark: SparkSession) -> str:
+    """Where this application keeps its copies; deleted when its JVM ends, if not before."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/{app}"
+    if app not in _announced:
+        _announced.add(app)
+        path, system = _path(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+def _path(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_announced: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every copy this application has written; frames that read them are void."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+    _announced.discard(spark.sparkContext.applicationId)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -59,7 +87,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     later passes read only their columns and the planner knows its true size.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_folder(spark)}/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

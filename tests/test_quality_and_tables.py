@@ -206,3 +206,15 @@ def test_predictions_are_saved_sorted(spark, tmp_path):
     assert [r["id"] for r in spark.read.csv(path, header=True).collect()] == ["b", "a"]
     path = tables.save_sorted(df, str(tmp_path / "q"), "p")
     assert spark.read.parquet(path).count() == 2
+
+
+def test_copies_are_deleted_on_release(spark, tmp_path, monkeypatch):
+    from cartwright import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(session, "_announced", set())
+    assert session.materialize(spark.range(5), "copy").count() == 5
+    folder = tmp_path / spark.sparkContext.applicationId
+    assert len(list(folder.glob("copy-*"))) == 1
+    session.release(spark)
+    assert not folder.exists()
