@@ -18,8 +18,9 @@ sets,
 Groups are never paired off. Under order 2 every class is first verified against one leader, the
 class whose tokens are the commonest among those it shares an index entry with, which joins dense
 groups by as many pairs as they have members. What still spans two components passes order 1 once
-more, counting only tokens that other components have, and then order 3; only pairs across
-components are verified, which loses no component.
+more, counting only tokens that other components have. The classes of one leader, linked with it
+or not, are then compared by bounded blocks, and classes of different leaders under order 3; only
+pairs across components are verified, which loses no component.
 
 Tokens and classes are 64-bit hashes. Nulls, empty texts and texts without a word have no shingle and stay alone. Rows with
 the same or no id are rows of their own; a class's component is the smallest id in it, null only
@@ -44,6 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 BUCKET_TOKENS = 2_000_000  # about so many tokens are compared in one task
 BYTES_PER_TOKEN = 7
+CHUNK_TOKENS = 150_000  # of one family that are compared with as many others in one task
+BLOCK_TOKENS = 4096
 SENT_ROWS = 2_000_000  # ids (16 bytes each) go to every task up to here, else they are joined
 CACHED_WORDS = 100_000
 _ODD = np.array(
@@ -319,8 +322,75 @@ def _leader_pairs(index: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(index: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share entries under orders 2 and 3."""
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Of two chunks of a family: links that join its components, no more than it takes."""
+    if table["low"][0].as_py() != table["high"][0].as_py():
+        mine = table["chunk"].to_numpy() == table["low"][0].as_py()
+    else:
+        mine = None
+    classes, groups = table["class"].to_numpy(), table["component"].to_numpy()
+    lists = table["tokens"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(classes)), sizes)
+    _, place, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    common = df[place] > 1
+    owner, place = owner[common], (np.cumsum(df > 1) - 1)[place[common]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    shared = np.zeros((len(classes), len(classes)), np.float32)
+    edges = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else 0) + BLOCK_TOKENS, BLOCK_TOKENS))
+    for lo, hi in zip(edges, [*edges[1:], len(place)], strict=True):
+        part = np.zeros((len(classes), BLOCK_TOKENS), np.float32)
+        part[owner[lo:hi], place[lo:hi] % BLOCK_TOKENS] = 1
+        shared += part @ part.T
+    alike = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+    alike &= groups[:, None] != groups[None, :]
+    if mine is not None:
+        alike &= mine[:, None] != mine[None, :]
+    parent = {g: g for g in groups.tolist()}
+
+    def top(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = g = parent[parent[g]]
+        return g
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(alike)), strict=True):
+        one, two = top(int(groups[i])), top(int(groups[j]))
+        if one != two:
+            parent[one] = two
+            found.append((classes[i], classes[j]))
+    return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+
+def _family_links(rows: DataFrame) -> DataFrame:
+    """Links across components within families ``(family, class, component, n, tokens)``.
+
+    A family is cut into chunks of about ``CHUNK_TOKENS`` tokens; every two chunks meet in a task
+    and are compared by matrix products, so no pair of classes becomes a row.
+    """
+    size = rows.groupBy("family").agg(
+        F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"),
+        F.min("component").alias("first"), F.max("component").alias("last"),
+    )
+    chunked = (
+        rows.join(size.where("first != last"), "family")
+        .withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(
+            "family", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+            "chunk", "class", "component", "tokens",
+        )
+    )
+    return chunked.groupBy("family", "low", "high").applyInArrow(_block_links, "a bigint, b bigint")
+
+
+def _crossing(index: DataFrame, sets: DataFrame, leaders: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between classes in different components that share entries under orders 2 and 3:
+    within a family (the classes of one leader, linked with it or not) and between families."""
     named = found.select(F.col("node").alias("class"), "component")
     placed = index.join(named, "class", "left").withColumn("component", F.coalesce("component", "class"))
     spanning = (
@@ -333,33 +403,48 @@ def _cross_pairs(index: DataFrame, sets: DataFrame, found: DataFrame) -> DataFra
     # order 1 again, now against the classes of other components
     total = near_sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     packed = near_sets.mapInArrow(_sets_packed(_buckets(total)), _PACKED)
-    open_sets = near_sets.join(_questionable(packed), "class")
+    led = leaders.select(F.col("a").alias("class"), F.col("b").alias("leader"))
+    heads = led.select("leader").distinct().withColumn("heads", F.lit(True))
+    open_sets = materialize(
+        near_sets.join(_questionable(packed), "class")
+        .join(led, "class", "left")
+        # a class that leads others is of its own family
+        .join(heads.withColumnRenamed("leader", "class"), "class", "left")
+        .withColumn(
+            "family", F.when(F.col("heads"), F.col("class")).otherwise(F.coalesce("leader", "class"))
+        )
+        .select("family", "class", "component", "n", "tokens"),
+        "open",
+    )
+    within = materialize(_family_links(open_sets), "within")
     tokens = materialize(
-        open_sets.select("class", "component", "n", F.explode("tokens").alias("token")), "tokens"
+        open_sets.select("family", "class", "component", "n", F.explode("tokens").alias("token")),
+        "tokens",
     )
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     listed = (
         tokens.join(df, "token")
-        .groupBy("class", "component", "n")
+        .groupBy("family", "class", "component", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     )
     # tokens that no other class has come first under this order
     room = _prefix_length(F.col("n")) - (F.col("n") - F.size("common"))
     entries = listed.where(room > 0).select(
-        "class", "component", "n",
+        "family", "class", "component", "n",
         F.explode(F.slice(F.col("common")["token"], F.lit(1), room.cast("int"))).alias("token"),
     )
     entries = materialize(entries, "entries")
     other = entries.select(
-        "token", *[F.col(c).alias(f"{c}_2") for c in ("class", "component", "n")]
+        "token", *[F.col(c).alias(f"{c}_2") for c in ("family", "class", "component", "n")]
     )
-    return (
+    pairs = (
         entries.join(other, "token")
-        .where("class < class_2 and component != component_2")
+        .where("class < class_2 and component != component_2 and family != family_2")
         .where(_sizes_fit(F.col("n"), F.col("n_2")))
         .select(F.col("class").alias("a"), F.col("class_2").alias("b"))
         .distinct()
     )
+    return within.union(_verified(pairs, sets))
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -391,8 +476,9 @@ def class_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     )
     df = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     index = materialize(entries.join(df, "token"), "index")
-    led = materialize(_verified(_leader_pairs(index), sets), "led")
-    crossing = _verified(_cross_pairs(index, sets, components(led)), sets)
+    leaders = materialize(_leader_pairs(index), "leaders")
+    led = materialize(_verified(leaders, sets), "led")
+    crossing = _crossing(index, sets, leaders, components(led))
     return components(led.union(crossing)).select(F.col("node").alias("class"), "component")
 
 

@@ -71,6 +71,7 @@ def test_other_ways_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, COLUMNS).repartition(2)
     monkeypatch.setattr(ngram_join, "SENT_ROWS", 0)  # ids are joined, not sent
     monkeypatch.setattr(ngram_join, "BUCKET_TOKENS", 50)  # many buckets
+    monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", 300)  # many chunks of a family
     assert sorted(map(tuple, linked(docs).collect()), key=repr) == brute(rows)
 
 
