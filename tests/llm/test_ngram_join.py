@@ -59,7 +59,7 @@ def corpus(seed, families=12, members=14):
     return [(k * 3 + 1, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_components_equal_brute_force(spark, seed):
     rows = corpus(seed)
     got = linked(spark.createDataFrame(rows, COLUMNS).repartition(3))
