@@ -18,9 +18,10 @@ sets,
 Groups are never paired off. Under order 2 every class is first verified against one leader, the
 class whose tokens are the commonest among those it shares an index entry with, which joins dense
 groups by as many pairs as they have members. What still spans two components passes order 1 once
-more, counting only tokens that other components have. The classes of one leader, linked with it
-or not, are then compared by bounded blocks, and classes of different leaders under order 3; only
-pairs across components are verified, which loses no component.
+more, counting only tokens that other components have. Of the classes of one leader, linked with it
+or not, those that meet under order 3 are then compared by bounded blocks, a large family only where
+the tokens its classes share leave a link possible, and classes of different leaders are paired
+under order 3; only pairs across components are verified, which loses no component.
 
 Tokens and classes are 64-bit hashes. Nulls, empty texts and texts without a word have no shingle and stay alone. Rows with
 the same or no id are rows of their own; a class's component is the smallest id in it, null only
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwright.llm.graph import components
@@ -46,6 +47,8 @@ PERCENT = 75
 BUCKET_TOKENS = 2_000_000  # about so many tokens are compared in one task
 BYTES_PER_TOKEN = 7
 CHUNK_TOKENS = 150_000  # of one family that are compared with as many others in one task
+CHUNK_CLASSES = 4096  # likewise
+TILE = 1024  # classes of a chunk that are compared at once
 BLOCK_TOKENS = 4096
 SENT_ROWS = 2_000_000  # ids (16 bytes each) go to every task up to here, else they are joined
 CACHED_WORDS = 100_000
@@ -168,13 +171,17 @@ def _texts_packed(n_buckets: int):
 
 
 def _sets_packed(n_buckets: int):
-    """Packs ``class, component, tokens``; the classes of a component are one group."""
+    """Packs ``class, component, tokens``; the classes of a component are one group. With a fourth
+    column, tokens of different families differ."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 tokens = [row.values.to_numpy() for row in part.column(2)]
+                if part.num_columns > 3:
+                    keys = _mixed(part.column(3).to_numpy().view(np.uint64)).view(np.int64)
+                    tokens = [t ^ key for t, key in zip(tokens, keys, strict=True)]
                 yield _rows(part.column(0).to_numpy(), part.column(1).to_numpy(), tokens, n_buckets)
 
     return pack
@@ -262,7 +269,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _questionable(packed: DataFrame) -> DataFrame:
-    """``class, n`` of classes with enough tokens in common with other groups to be similar."""
+    """``class, n, shared`` of classes with enough tokens in common with other groups to be similar."""
     shared = packed.groupBy("bucket").applyInArrow(
         _shared, "class bigint, n bigint, shared bigint, copies bigint"
     )
@@ -271,7 +278,7 @@ def _questionable(packed: DataFrame) -> DataFrame:
         shared.groupBy("class")
         .agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.sum("copies").alias("copies"))
         .where(F.col("shared") * 100 >= F.col("n") * F.col("copies") * PERCENT)
-        .select("class", "n")
+        .select("class", "n", "shared")
     )
 
 
@@ -325,67 +332,179 @@ def _leader_pairs(index: DataFrame) -> DataFrame:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _tile_links(
+    rows: np.ndarray, cols: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, groups: np.ndarray
+) -> list[tuple[int, int]]:
+    """Links that join the groups of two tiles; ``groups`` is brought up to date."""
+    apart = groups[rows][:, None] != groups[cols][None, :]
+    if not apart.any():
+        return []
+    places = np.intersect1d(
+        np.concatenate([sets[i] for i in rows]), np.concatenate([sets[i] for i in cols])
+    )
+    total = (sizes[rows][:, None] + sizes[cols][None, :]).astype(np.float64)
+    # whole numbers up to 2**24 are exact in single precision
+    if PERCENT * total.max() < 1 << 24:
+        total = total.astype(np.float32)
+    shared = np.zeros_like(total)
+
+    def entries(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(tile)), [len(sets[i]) for i in tile])
+        place = np.concatenate([sets[i] for i in tile])
+        at = np.minimum(np.searchsorted(places, place), max(len(places) - 1, 0))
+        known = places[at] == place if len(places) else np.zeros(len(place), bool)
+        order = np.argsort(at[known], kind="stable")
+        return owner[known][order], at[known][order]
+
+    sides = [entries(rows), entries(cols)]
+    for lo in range(0, len(places), BLOCK_TOKENS):
+        width = min(BLOCK_TOKENS, len(places) - lo)
+        parts = []
+        for tile, (owner, at) in zip((rows, cols), sides, strict=True):
+            begin, end = np.searchsorted(at, [lo, lo + width])
+            part = np.zeros((len(tile), width), np.float32)
+            part[owner[begin:end], at[begin:end] - lo] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    alike = apart & (100 * shared >= PERCENT * (total - shared))
+    found = []
+    for k in np.flatnonzero(alike.any(axis=1)):
+        i = rows[k]
+        near = cols[alike[k]]
+        _, first = np.unique(groups[near], return_index=True)
+        for j in near[first]:
+            if groups[i] != groups[j]:
+                groups[groups == groups[j]] = groups[i]
+                found.append((i, j))
+    return found
+
+
+def _reach[T: (int, np.ndarray, Column)](shared: T, n_a: T, n_b: T) -> T:
+    """Whether sets of at least ``n_a`` and ``n_b`` tokens can link by ``shared`` tokens."""
+    return shared * 100 >= (n_a + n_b - shared) * PERCENT
+
+
 def _block_links(table: pa.Table) -> pa.Table:
-    """Of two chunks of a family: links that join its components, no more than it takes."""
-    if table["low"][0].as_py() != table["high"][0].as_py():
-        mine = table["chunk"].to_numpy() == table["low"][0].as_py()
-    else:
-        mine = None
-    classes, groups = table["class"].to_numpy(), table["component"].to_numpy()
+    """Of two chunks of a family: links that join its components, no more than it takes.
+
+    Tiles of classes are compared, so memory depends on neither their number nor their links.
+    """
+    low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    classes, chunk = table["class"].to_numpy(), table["chunk"].to_numpy()
+    _, groups = np.unique(table["component"].to_numpy(), return_inverse=True)
     lists = table["tokens"].combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     owner = np.repeat(np.arange(len(classes)), sizes)
-    _, place, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    common = df[place] > 1
-    owner, place = owner[common], (np.cumsum(df > 1) - 1)[place[common]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    shared = np.zeros((len(classes), len(classes)), np.float32)
-    edges = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else 0) + BLOCK_TOKENS, BLOCK_TOKENS))
-    for lo, hi in zip(edges, [*edges[1:], len(place)], strict=True):
-        part = np.zeros((len(classes), BLOCK_TOKENS), np.float32)
-        part[owner[lo:hi], place[lo:hi] % BLOCK_TOKENS] = 1
-        shared += part @ part.T
-    alike = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
-    alike &= groups[:, None] != groups[None, :]
-    if mine is not None:
-        alike &= mine[:, None] != mine[None, :]
-    parent = {g: g for g in groups.tolist()}
-
-    def top(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = g = parent[parent[g]]
-        return g
-
+    tokens = lists.flatten().to_numpy().view(np.uint64)
+    hit, repeated = _spanning(tokens, groups[owner])
+    shared = np.bincount(owner[hit], minlength=len(classes))
+    place = np.searchsorted(repeated, tokens[hit])
+    sets = np.split(place, np.cumsum(shared)[:-1])
+    # of similar size and chance stand together, so whole tiles can be left out
+    order = np.lexsort((shared, sizes))
+    order = order[_reach(shared, sizes, shared)[order]]
+    tiles = [
+        [own[at : at + TILE] for at in range(0, len(own), TILE)]
+        for own in (order[chunk[order] == c] for c in (low, high))
+    ]
     found = []
-    for i, j in zip(*np.nonzero(np.triu(alike)), strict=True):
-        one, two = top(int(groups[i])), top(int(groups[j]))
-        if one != two:
-            parent[one] = two
-            found.append((classes[i], classes[j]))
-    return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=_LINKS)
+    for a, rows in enumerate(tiles[0]):
+        for cols in tiles[1][a if low == high else 0 :]:
+            most = min(shared[rows].max(), shared[cols].max())
+            if _reach(most, sizes[rows[0]], sizes[cols[0]]):
+                found += _tile_links(rows, cols, sets, sizes, groups)
+    return pa.table([pa.array([classes[p[k]] for p in found], pa.int64()) for k in (0, 1)], schema=_LINKS)
 
 
-def _family_links(rows: DataFrame) -> DataFrame:
-    """Links across components within families ``(family, class, component, n, tokens)``.
+def _large_families(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """``low, high, chunk`` and the classes of every two chunks that may link.
 
-    A family is cut into chunks of about ``CHUNK_TOKENS`` tokens; every two chunks meet in a task
-    and are compared by matrix products, so no pair of classes becomes a row.
+    A class of ``n`` tokens, ``shared`` of which another component of its family has, links by no
+    more than ``shared``. Chunks follow (n, shared), rounded so that a family has few such cells,
+    and two chunks meet only if their largest ``shared`` and least ``n`` leave a link possible.
     """
-    size = rows.groupBy("family").agg(
-        F.ceil(F.sum("n") / CHUNK_TOKENS).cast("int").alias("chunks"),
+    members = rows.join(large.select("family"), "family")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    packed = members.select("class", "component", "tokens", "family").mapInArrow(
+        _sets_packed(_buckets(total)), _PACKED
+    )
+    members = materialize(
+        members.join(_questionable(packed).select("class", "shared"), "class")
+        .withColumn("size", F.floor(F.log(F.col("n")) * 20))
+        .withColumn("part", F.floor(F.col("shared") * 20 / F.col("n"))),
+        "members",
+    )
+    cells = members.groupBy("family", "size", "part").agg(F.sum(_weight()).alias("weight"))
+    earlier = Window.partitionBy("family").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = materialize(
+        cells.withColumn("before", F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))), "cells"
+    )
+    within = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / (1 << 20)
+    chunked = members.join(cells, ["family", "size", "part"]).withColumn(
+        "chunk", F.floor(F.col("before") + F.col("weight") * within).cast("int")
+    )
+    chunks = chunked.groupBy("family", "chunk").agg(
+        F.min("n").alias("n"), F.max("shared").alias("shared"),
         F.min("component").alias("first"), F.max("component").alias("last"),
     )
-    chunked = (
-        rows.join(size.where("first != last"), "family")
-        .withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "family", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-            "chunk", "class", "component", "tokens",
+    chunks = materialize(chunks, "chunks")
+    other = chunks.toDF("family", "high", "n_2", "shared_2", "first_2", "last_2")
+    pairs = (
+        chunks.withColumnRenamed("chunk", "low")
+        .join(other, "family")
+        .where("low <= high and least(first, first_2) != greatest(last, last_2)")
+        .where(_reach(F.least("shared", "shared_2"), F.col("n"), F.col("n_2")))
+        .select("family", "low", "high")
+    )
+    met = pairs.withColumn("chunk", F.col("low")).union(
+        pairs.where("low != high").withColumn("chunk", F.col("high"))
+    )
+    return chunked.join(met, ["family", "chunk"]).select(*_BLOCK)
+
+
+_BLOCK = ("family", "low", "high", "chunk", "class", "component", "tokens")
+
+
+def _weight() -> Column:
+    """Share of a chunk that a class takes."""
+    return F.col("n") / CHUNK_TOKENS + F.lit(1 / CHUNK_CLASSES)
+
+
+def _family_links(rows: DataFrame) -> DataFrame:
+    """Links across components within families ``(family, class, component, n, tokens)``.
+
+    A family is cut into chunks of about ``CHUNK_TOKENS`` tokens or ``CHUNK_CLASSES`` classes at
+    most; two chunks meet in a task and are compared by matrix products, so no pair of classes
+    becomes a row.
+    """
+    size = materialize(
+        rows.groupBy("family")
+        .agg(
+            F.sum(_weight()).alias("weight"),
+            F.min("component").alias("first"), F.max("component").alias("last"),
         )
+        .where("first != last"),
+        "families",
     )
-    return chunked.groupBy("family", "low", "high").applyInArrow(_block_links, "a bigint, b bigint")
+    one = F.lit(0)
+    blocks = rows.join(size.where("weight <= 1").select("family"), "family").select(
+        "family", one.alias("low"), one.alias("high"), one.alias("chunk"), "class", "component", "tokens"
+    )
+    large = size.where("weight > 1")
+    if not large.isEmpty():
+        blocks = blocks.union(_large_families(rows, large))
+    return blocks.groupBy("family", "low", "high").applyInArrow(_block_links, "a bigint, b bigint")
+
+
+def _met_again(entries: DataFrame) -> DataFrame:
+    """Classes with a prefix entry that another component of their family has too."""
+    meeting = (
+        entries.groupBy("family", "token")
+        .agg(F.min("component").alias("first"), F.max("component").alias("last"))
+        .where("first != last")
+        .select("family", "token")
+    )
+    return entries.join(meeting, ["family", "token"]).select("class").distinct()
 
 
 def _crossing(index: DataFrame, sets: DataFrame, leaders: DataFrame, found: DataFrame) -> DataFrame:
@@ -406,7 +525,7 @@ def _crossing(index: DataFrame, sets: DataFrame, leaders: DataFrame, found: Data
     led = leaders.select(F.col("a").alias("class"), F.col("b").alias("leader"))
     heads = led.select("leader").distinct().withColumn("heads", F.lit(True))
     open_sets = materialize(
-        near_sets.join(_questionable(packed), "class")
+        near_sets.join(_questionable(packed).drop("shared"), "class")
         .join(led, "class", "left")
         # a class that leads others is of its own family
         .join(heads.withColumnRenamed("leader", "class"), "class", "left")
@@ -416,7 +535,6 @@ def _crossing(index: DataFrame, sets: DataFrame, leaders: DataFrame, found: Data
         .select("family", "class", "component", "n", "tokens"),
         "open",
     )
-    within = materialize(_family_links(open_sets), "within")
     tokens = materialize(
         open_sets.select("family", "class", "component", "n", F.explode("tokens").alias("token")),
         "tokens",
@@ -434,14 +552,29 @@ def _crossing(index: DataFrame, sets: DataFrame, leaders: DataFrame, found: Data
         F.explode(F.slice(F.col("common")["token"], F.lit(1), room.cast("int"))).alias("token"),
     )
     entries = materialize(entries, "entries")
-    other = entries.select(
-        "token", *[F.col(c).alias(f"{c}_2") for c in ("family", "class", "component", "n")]
+    again = materialize(open_sets.join(_met_again(entries), "class"), "again")
+    within = materialize(_family_links(again), "within")
+    # a token's largest family meets the others but is not paired with itself
+    most = (
+        entries.groupBy("token", "family")
+        .count()
+        .groupBy("token")
+        .agg(F.max(F.struct("count", "family")).alias("most"), F.count(F.lit(1)).alias("families"))
+        .where("families > 1")
+        .select("token", F.col("most.family").alias("most"))
+    )
+    ranked = materialize(
+        entries.join(most, "token").withColumn("main", F.col("family") == F.col("most")).drop("most"), "ranked"
+    )
+    other = ranked.select(
+        "token", *[F.col(c).alias(f"{c}_2") for c in ("family", "class", "component", "n", "main")]
     )
     pairs = (
-        entries.join(other, "token")
-        .where("class < class_2 and component != component_2 and family != family_2")
+        ranked.where("not main")
+        .join(other, "token")
+        .where("(main_2 or class < class_2) and component != component_2 and family != family_2")
         .where(_sizes_fit(F.col("n"), F.col("n_2")))
-        .select(F.col("class").alias("a"), F.col("class_2").alias("b"))
+        .select(F.least("class", "class_2").alias("a"), F.greatest("class", "class_2").alias("b"))
         .distinct()
     )
     return within.union(_verified(pairs, sets))
@@ -461,7 +594,7 @@ def class_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = docs.select("text").mapInArrow(_texts_packed(_buckets(size // BYTES_PER_TOKEN)), _PACKED)
-    asked = materialize(_questionable(packed), "questionable")
+    asked = materialize(_questionable(packed).drop("shared"), "questionable")
     holders = signed.join(asked, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     texts = _chosen(docs, materialize(holders, "holders"))
     sets = materialize(

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cartwright.llm import graph, ngram_join
@@ -126,3 +129,58 @@ def test_graph_components(spark):
         parent[b] = a
     found = graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in found} == {x: top(x) for x in parent if any(x in ab and ab[0] != ab[1] for ab in links)}
+
+
+def letters(n, words, place, name="c"):
+    """Form letters that differ in one word: no two link, though most of their shingles are shared."""
+    base = [f"w{k}" for k in range(words)]
+    return [" ".join([*base[:place], f"{name}{k}", *base[place + 1 :]]) for k in range(n)]
+
+
+def block(texts):
+    found = [ngram_join.shingles(t) for t in texts]
+    n, zero = len(found), np.zeros(len(found), np.int32)
+    names = np.array([c for c, _ in found])
+    return pa.table(
+        {
+            "family": np.zeros(n, np.int64), "low": zero, "high": zero, "chunk": zero,
+            "class": names, "component": names, "tokens": pa.array([t for _, t in found], pa.list_(pa.int64())),
+        }
+    )
+
+
+def test_memory_of_a_block_is_bounded():
+    """Letters of 44 words share 35 of 40 shingles, 78 % of two sets: all link."""
+    for texts, links in ((letters(3000, 28, 14), 0), (letters(3000, 44, 22), 2999)):
+        table = block(texts)
+        tracemalloc.start()
+        found = ngram_join._block_links(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.num_rows == links and peak < 120e6
+
+
+def test_families_of_letters_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = letters(150, 28, 14) + letters(80, 16, 14, "d") + letters(60, 44, 22, "e")
+    texts += [edited(rng, t.split(), 0.02) for t in rng.sample(texts, 60)]
+    rows = [(k, t if isinstance(t, str) else " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 20)  # a family over many chunks
+    assert sorted(map(tuple, linked(docs).collect()), key=repr) == brute(rows)
+
+
+def test_many_letters_of_one_form(spark, monkeypatch):
+    met = []
+    wrapped = ngram_join._large_families
+
+    def watched(rows, large):
+        met.append(wrapped(rows, large))
+        return met[-1]
+
+    monkeypatch.setattr(ngram_join, "_large_families", watched)
+    texts = letters(20_000, 28, 14) + letters(40, 44, 22, "e")
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = linked(spark.createDataFrame(rows, COLUMNS).repartition(3)).collect()
+    assert all(r.component_id == min(r.doc_id, 20_000) for r in got) and len(got) == len(rows)
+    assert [m.count() for m in met] == [0]  # no two of its chunks can link
