@@ -580,22 +580,35 @@ def _crossing(index: DataFrame, sets: DataFrame, leaders: DataFrame, found: Data
     return within.union(_verified(pairs, sets))
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one of the ids."""
-    few = ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"))
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")))
+def _chosen(docs: DataFrame, holders: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are the holder ``(class, doc_id, hash)`` of a class; several only if
+    they have one id and one text. The hash keeps apart texts whose ids are null or alike."""
+    few = holders.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    wanted = holders.select(
+        F.col("class").alias("__class"), F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__hash"))
+    return docs.join(F.broadcast(wanted) if few else wanted, same)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def class_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``class, component`` of the classes that link with another one.
 
-    ``docs(doc_id, text)`` are the documents, ``signed(doc_id, class, n)`` their signatures.
+    ``docs(doc_id, text)`` are the documents, ``signed(doc_id, hash, class, n)`` their signatures.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = docs.select("text").mapInArrow(_texts_packed(_buckets(size // BYTES_PER_TOKEN)), _PACKED)
     asked = materialize(_questionable(packed).drop("shared"), "questionable")
-    holders = signed.join(asked, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    holders = (
+        signed.join(asked.select("class"), "class")
+        .groupBy("class")
+        .agg(F.min(F.struct("doc_id", "hash")).alias("held"))
+        .select("class", "held.*")
+    )
     texts = _chosen(docs, materialize(holders, "holders"))
     sets = materialize(
         texts.select(F.col("__class").alias("class"), _sets(F.col("text"), F.col("__class")).alias("tokens"))
@@ -626,7 +639,8 @@ def _heads(signed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    named = rows.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*")
+    named = rows.select("doc_id", _text_hash().alias("hash"), signature("text").alias("s"))
+    named = named.select("doc_id", "hash", "s.*")
     return materialize(named, "signed")
 
 

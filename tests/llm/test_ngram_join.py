@@ -94,6 +94,18 @@ def test_repeated_and_null_ids(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_one_id_for_many_texts(spark, monkeypatch, sent):
+    """Each row meets the class it holds, not every class held by its id."""
+    monkeypatch.setattr(ngram_join, "SENT_ROWS", sent)
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(letters(300, 44, 22))]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    held = ngram_join._signed(docs)
+    assert ngram_join._chosen(docs, held.drop("n")).count() == 300
+    got = linked(docs)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
 def test_one_row_of_each_group_stays(make, awkward):
     docs = make([*awkward, (0, "same words in this row here", "en", "q", 1)], extra=True)
     kept = one_of_each(docs)
