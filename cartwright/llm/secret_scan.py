@@ -5,8 +5,7 @@ are made of is scored by two first-order Markov chains over characters, one trai
 strings and one on ordinary identifiers: the logarithm of their likelihood ratio decides. The labelled samples come from the documents
 themselves: values that a known form marks as secret are the random strings; in documents without
 any, runs of ``SAMPLE_LENGTH`` characters up to the length of a candidate, and numbers, are the
-ordinary ones. Both come from about ``TRAINING_DOCUMENTS`` documents chosen by a hash of the id.
-Transitions are interpolated with those between character classes, so few samples, even none,
+ordinary ones. Both are counted in all documents, each distinct string once. Transitions are interpolated with those between character classes, so few samples, even none,
 suffice.
 
 Everything is built-in expressions. Positions are code points, ends exclusive. A null or empty
@@ -22,7 +21,6 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.llm import sampling
 from cartwright.llm.words import id_and_text, unused, whole_text
 
 # Fixed: the known forms, in the order in which spans of equal start are listed.
@@ -49,7 +47,6 @@ RUN = r"[A-Za-z0-9+/_=-]+"
 RUN_LENGTH = 16
 LONG_RUN = r"[A-Za-z0-9+/_=-]{16,}"
 SAMPLE_LENGTH = 6
-TRAINING_DOCUMENTS = 20_000
 BACKING = 8.0  # weight of the class transitions, in observations
 THRESHOLD = 12.0  # natural logarithm of the likelihood ratio
 
@@ -135,13 +132,10 @@ def likelihood_ratios(random: dict[tuple[str, str], int], ordinary: dict[tuple[s
     return [round(one[a, b] - two[a, b], 4) for a in ALPHABET for b in ALPHABET]
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = TRAINING_DOCUMENTS) -> list[float]:
-    """Log-ratios learnt from about so many documents; the driver gets one count per transition."""
-    total = docs.count()
-    rows = id_and_text(docs, doc_id, text)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    chosen = rows.where(sampling.share(key, 3) * max(total, 1) < documents)
-    marked = chosen.select("text", base_spans(F.col("text")).alias("base"))
+def fit(docs: DataFrame, text: str = "text") -> list[float]:
+    """Log-ratios learnt from all documents; the driver gets one count per transition."""
+    rows = docs.select(whole_text(text).alias("text"))
+    marked = rows.select("text", base_spans(F.col("text")).alias("base"))
     secret = F.transform("base", lambda s: F.regexp_replace(s["value"], r"[^A-Za-z0-9+/_=-]", ""))
     # longer runs are candidates themselves, but numbers are ordinary at any length
     runs = F.filter(
@@ -201,7 +195,7 @@ def listed(spans: Column) -> Column:
 def scan(docs: DataFrame, ratios: list[float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text, base, spans`` of each row."""
     if ratios is None:
-        ratios = fit(docs, doc_id, text)
+        ratios = fit(docs, text)
     based = id_and_text(docs, doc_id, text).withColumn("base", base_spans(F.col("text")))
     return based.withColumn("spans", all_spans(F.col("text"), F.col("base"), ratios))
 
@@ -229,7 +223,7 @@ def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
 def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with secrets masked in the text column; a null text stays null."""
-    ratios = fit(docs, doc_id, text)
+    ratios = fit(docs, text)
     whole = whole_text(text)
     base, spans = unused(docs, "base", "spans")
     found = docs.withColumn(base, base_spans(whole))

@@ -67,6 +67,18 @@ def test_random_strings_are_added_and_words_are_not(make):
         assert [s.kind for s in found[1000 + k].spans if s.kind < 3] == [s.kind for s in found[1000 + k].base]
 
 
+def test_chains_count_all_documents(make):
+    """A secret in the last of 40,000 documents is learnt from, whichever ids the documents have."""
+    texts = [f"common{k}" for k in range(40_000)]
+    none = secret_scan.fit(make([(k, t, "en", "a", 0) for k, t in enumerate(texts)]))
+    learnt = []
+    for seed in range(4):
+        rows = [(seed * 100_000 + k, t, "en", "a", 0) for k, t in enumerate(texts)]
+        rows.append((seed * 100_000 + len(rows), "password=QzXqZkQx", "en", "a", 0))
+        learnt.append(secret_scan.fit(make(rows)))
+    assert all(ratios == learnt[0] for ratios in learnt) and learnt[0] != none
+
+
 def test_model_without_samples_tells_key_from_word(make):
     ratios = secret_scan.likelihood_ratios({}, {})
     assert len(ratios) == len(secret_scan.ALPHABET) ** 2 and max(map(abs, ratios)) < 1e-9
