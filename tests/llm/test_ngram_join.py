@@ -69,6 +69,15 @@ def test_components_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+def test_components_of_another_corpus(spark, monkeypatch):
+    """Whole table against brute force, with letters that don't link and families over chunks."""
+    monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 12)
+    texts = [t for _, t in corpus(2)] + letters(60, 28, 14) + letters(60, 16, 14, "d")
+    rows = [(k * 3 + 1, t) for k, t in enumerate(texts)]
+    got = linked(spark.createDataFrame(rows, COLUMNS).repartition(3))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
 def test_other_ways_give_the_same(spark, monkeypatch):
     rows = corpus(3)
     docs = spark.createDataFrame(rows, COLUMNS).repartition(2)
