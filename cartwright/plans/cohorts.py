@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +47,39 @@ def retention(activity: DataFrame) -> DataFrame:
     )
 
 
+def periods_of(rates: DataFrame) -> list[int]:
+    """The periods that occur in any cohort, ascending: at most one per month the data spans."""
+    return sorted(r[0] for r in rates.select("period").distinct().collect())
+
+
 def retention_matrix(
-    rates: DataFrame, periods: int | None = None, values: str = "retention_pct"
+    rates: DataFrame, periods: Sequence[int] | None = None, values: str = "retention_pct"
 ) -> DataFrame:
-    """Wide form: one row per cohort, columns ``m0`` ... ``m<periods>``; absent cells are NULL.
+    """Wide form: one row per cohort, a column ``m<period>`` for each period; absent cells are NULL.
+
+    Without ``periods`` those that occur are looked up first, so pass a stored frame then.
+    """
+    periods = periods_of(rates) if periods is None else list(periods)
+    wide = rates.groupBy("cohort_month").pivot("period", periods).agg(F.first(values))
+    return wide.withColumnsRenamed({str(p): f"m{p}" for p in periods})
+
+
+def matrix_cells(rates: DataFrame, values: str = "retention_pct") -> DataFrame:
+    """The same matrix with fixed columns, one row per cell, empty ones too.
 
-    Without ``periods`` the largest one is looked up first, so pass a stored frame then.
+    ``place`` is the number of the matrix column, ``period`` its heading.
     """
-    last = rates.agg(F.max("period")).first()[0] or 0 if periods is None else periods
-    wanted = list(range(last + 1))
-    wide = rates.groupBy("cohort_month").pivot("period", wanted).agg(F.first(values))
-    return wide.withColumnsRenamed({str(p): f"m{p}" for p in wanted})
+    periods = periods_of(rates)
+    wide = retention_matrix(rates, periods, values)
+    cells = [
+        F.struct(
+            F.lit(at).alias("place"), F.lit(p).alias("period"), F.col(f"m{p}").alias(values)
+        )
+        for at, p in enumerate(periods)
+    ]
+    if not cells:  # no cohort at all
+        return rates.select("cohort_month", F.lit(0).alias("place"), "period", values)
+    return wide.select("cohort_month", F.inline(F.array(*cells)))
 
 
 def retention_insight(rates: DataFrame) -> DataFrame:

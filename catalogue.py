@@ -306,7 +306,7 @@ def cohort_activity(s: Star) -> DataFrame:
 @query
 def cohort_matrix(s: Star) -> DataFrame:
     activity = materialize(cohorts.cohort_activity(_facts(s)), "activity")
-    return cohorts.retention_matrix(activity, values="customers")
+    return cohorts.matrix_cells(activity, values="customers")
 
 
 @query

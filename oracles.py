@@ -560,8 +560,11 @@ QUERIES: dict[str, str] = {
                datesub('day', min(ts), max(ts)) as days_between, count(*) as events
         from events group by user_id""",
     "cohort_matrix": """
-        select * from (pivot (select *, 'm' || period as column_name from activity)
-                       on column_name using max(customers) group by cohort_month)""",
+        select cohort_month, place, period, customers
+        from (select distinct cohort_month from activity)
+        cross join (select period, cast(row_number() over (order by period) - 1 as integer) as place
+                    from (select distinct period from activity))
+        left join activity using (cohort_month, period)""",
     # The staged frames start from text tables, blemished and cleaned again.
     "stg_orders": "select * from clean_orders",
     "stg_customers": "select * from clean_customers",

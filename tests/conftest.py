@@ -18,8 +18,3 @@ def spark(tmp_path_factory):
     session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()
-
-
-def rows(df):
-    """All rows as plain tuples, in a stable order."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

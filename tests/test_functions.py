@@ -2,7 +2,7 @@ import datetime as dt
 import hashlib
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from cartwright.functions import dates, text

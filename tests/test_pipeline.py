@@ -1,7 +1,7 @@
 import pathlib
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from cartwright.plans import enriched, marts, pipeline, reports
 from cartwright.sources import tables

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from cartwright.operators import quality
 from cartwright.plans import insights, staging
