@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.llm import (
+    bisector_clusters,
     bpe_transducer,
+    fuse_dedup,
     language_id,
     mixture,
     ngram_join,
@@ -16,6 +18,7 @@ from cartwright.llm import (
     quality_knn,
     rule_ledger,
     secret_scan,
+    term_ranking,
     token_counts,
     warc,
 )
@@ -225,3 +228,113 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     failures & 3 != 0 as base_failed, failures = 0 as kept, failures
 from judged
 """
+
+
+@query
+def op11_bisector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found, centroids = bisector_clusters.cluster(table(spark, folder, "embeddings"))
+    return bisector_clusters.with_inertia(found, centroids).withColumnRenamed("key", "vec_id")
+
+
+def _cluster_sql(rounds: int = 3, centroids: int = 16) -> str:
+    """Each round as two steps: the nearest centroid of every vector, then the floored means."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} as (
+    select r, any_value(v) as v, min(d * {centroids} + c) % {centroids} as c,
+        min(d * {centroids} + c) // {centroids} as d
+    from (select r, v, c, cast(list_sum(list_transform(
+              list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d
+          from kept cross join c{n})
+    group by r
+)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} as (
+    select c{n}.c, coalesce(moved.m, c{n}.m) as m
+    from c{n} left join (
+        select c, list(q order by i) as m
+        from (select c, i, cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as q
+              from (select c, unnest(v) as x, unnest(range(1, 65)) as i from a{n}) group by c, i)
+        group by c) moved on moved.c = c{n}.c
+)""")
+    return f"""
+with kept as materialized (
+    select row_number() over () as r, vec_id,
+        list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where len(embedding) = 64
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as (
+    select row_number() over (order by sha256('1:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c, v as m
+    from kept
+    qualify c < {centroids}
+), {", ".join(steps)}
+select vec_id, cast(c as integer) as cluster, cast(d as bigint) as distance,
+    cast(sum(d) over (partition by c) as bigint) as cluster_inertia,
+    cast(sum(d) over () as bigint) as inertia,
+    sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} join kept using (r) join c{rounds} using (c)
+"""
+
+
+ORACLES["op11_bisector_clusters"] = _cluster_sql()
+
+
+@query
+def op12_fuse_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = fuse_dedup.deduplicated(table(spark, folder, "documents"))
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+ORACLES["op12_fuse_dedup"] = r"""
+with read as (
+    select row_number() over () as r, doc_id, length(coalesce(text, '')) as n,
+        regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as body
+    from documents
+)
+select doc_id,
+    first_value(doc_id) over (partition by body order by n desc, doc_id nulls last, r) as keep_id,
+    count(*) over (partition by body) as group_size,
+    row_number() over (partition by body order by n desc, doc_id nulls last, r) = 1 as kept,
+    sha256(body) as text_sha256
+from read
+"""
+
+
+@query
+def op13_term_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return term_ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_term_ranking"] = r"""
+with read as (
+    select row_number() over () as r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+    from documents
+), asked as (
+    select row_number() over () as item, item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+    from benchmark
+), size as (
+    select count(*) filter (len(t) > 0) as n_docs, cast(sum(len(t)) as bigint) as n_terms from read
+), wanted as (
+    select item, term, count(*) as repeats from (select item, unnest(t) as term from asked) group by all
+), postings as (
+    select r, term, count(*) as tf
+    from (select r, unnest(t) as term from read) where term in (select term from wanted) group by all
+), weights as (
+    select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w
+    from postings, size group by term, n_docs
+), scored as (
+    select item, r, cast(sum(repeats * w * ((1000000000 * tf)
+        // (1000 * tf + 12 * (100 - 25 + ((25 * len(t) * n_docs) // n_terms))))) as bigint) as score
+    from wanted join postings using (term) join weights using (term) join read using (r), size
+    group by item, r
+)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank
+      from scored join read using (r) join asked using (item) where score > 0)
+where rank <= 20
+"""
