@@ -10,6 +10,12 @@ byte in the encoding of everything up to it. Tokens are emitted once all live co
 agree on them; as a configuration dies within the longest token, that is after a bounded
 lookahead. The tables are emptied when they reach ``MAX_TRANSITIONS``.
 
+:class:`Lockstep` runs that machine over all distinct pieces of some texts at once, byte place by
+byte place: the states of a place and their moves are arrays, every (state, byte) is moved once for
+all pieces that reach it, and states of equal configurations are one. It keeps nothing between
+calls, so its memory is bounded by the texts given at once. Pieces beyond ``LONG_PIECE`` bytes go
+through :class:`Transducer` one by one.
+
 **Decoding.** :class:`Utf8Stream` takes tokens in any portions and yields text at once, holding
 back at most three bytes of an unfinished character; malformed bytes become U+FFFD, one for each
 maximal ill-formed part.
@@ -22,25 +28,25 @@ from __future__ import annotations
 
 import base64
 import gc
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_TRANSITIONS = 150_000
 MAX_PAIRS = 150_000
-CACHED_PIECES = 120_000
-CACHED_LENGTH = 64
+MAX_KNOWN = 1_000_000  # pairs of tokens, 9 bytes each, that outlast a call
 ROOT = 0
 NEVER = 1 << 60
 
 NONE = -1
-LONG_PIECE = 4096
+LONG_PIECE = 512
+SLICE_BYTES = 1 << 21  # of texts that are encoded together
 State = tuple  # ((token before, tree node), ...): live configurations, the oldest first
 
 
@@ -109,10 +115,10 @@ class Merges:
         if known is None:
             if len(self.known_apart) >= MAX_PAIRS:
                 self.known_apart.clear()
-            known = self.known_apart[pair] = not self._crossed(left, right)
+            known = self.known_apart[pair] = not self.crossed(left, right)
         return known
 
-    def _crossed(self, left: int, right: int) -> bool:
+    def crossed(self, left: int, right: int) -> bool:
         """A crossing merge of two edge tokens happens once both stand there and before either
         is merged within its own side; of equal ranks the left one goes first."""
         rank_of, firsts = self.ranks.get, self.edge(right, 0)
@@ -220,53 +226,168 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the splitting pattern; a piece that is a token is that token."""
         whole = self.merges.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) > LONG_PIECE:
-            return list(self.stream(piece))
-        state, table, ends = self.start, self.table, []
-        for byte in piece:
-            move = table.get(state << 8 | byte)
-            if move is None:
-                move = self._moved(state, byte)
-                table = self.table
-            state, ended = move
-            ends.append(ended)
-        return self._path(ends, len(ends))
-
-
-class Encoder(dict):
-    """Ids by piece (as bytes of 32-bit integers), for pieces met lately: a full table becomes
-    the older one, which is asked before the transducer and then forgotten."""
+        return [whole] if whole is not None else list(self.stream(piece))
+
+
+class Lockstep:
+    """The transducer on many pieces at once; configurations, moves and paths are arrays."""
+
+    def __init__(self, transducer: Transducer):
+        self.merges = transducer.merges
+        at = np.array(sorted(transducer.child), np.int64)
+        self.edges = np.append(at, np.int64(1) << 62)  # by node << 8 | byte, ascending
+        self.kids = np.array([transducer.child[k] for k in at.tolist()] + [NONE], np.int64)
+        self.token_at = np.full(len(transducer.depth), NONE, np.int64)
+        self.token_at[list(transducer.token_at)] = list(transducer.token_at.values())
+        self.inner = np.zeros(len(transducer.depth), bool)
+        self.inner[list(transducer.inner)] = True
+        self.length = np.zeros(max(transducer.length) + 1, np.int64)
+        self.length[list(transducer.length)] = list(transducer.length.values())
+        self._forget_pairs()
+
+    def _apart(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token may follow the one before it (none: it may)."""
+        pairs = before << 32 | token
+        place = np.searchsorted(self.pairs, pairs)
+        out = self.verdicts[place]
+        unknown = np.flatnonzero((self.pairs[place] != pairs) & (before != NONE))
+        if len(unknown):
+            fresh, own = np.unique(pairs[unknown], return_inverse=True)
+            crossed = self.merges.crossed
+            found = np.array([not crossed(p >> 32, p & 0xFFFFFFFF) for p in fresh.tolist()], bool)
+            out[unknown] = found[own]
+            if len(self.pairs) + len(fresh) > MAX_KNOWN:
+                self._forget_pairs()
+            place = np.searchsorted(self.pairs, fresh)
+            self.pairs = np.insert(self.pairs, place, fresh)
+            self.verdicts = np.insert(self.verdicts, place, found)
+        out[before == NONE] = True
+        return out
+
+    def _forget_pairs(self) -> None:
+        """Pairs of tokens met lately, ascending, and whether no merge crosses them; an end mark."""
+        self.pairs = np.array([(1 << 63) - 1], np.int64)
+        self.verdicts = np.zeros(1, bool)
+
+    def ends(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For every byte of the pieces (of ``size`` bytes from ``begin``, the longest first) the
+        token that ends there in the encoding of the piece up to it."""
+        out = np.full(len(data), NONE, np.int64)
+        state = np.zeros(len(begin), np.int64)  # of each piece, among the states of its place
+        first = np.array([0, 1])  # where the configurations of each state begin
+        before, node = np.array([NONE]), np.array([ROOT])
+        active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        for place, n in enumerate(active.tolist()):
+            at = begin[:n] + place
+            moves, own = np.unique(state[:n] << 8 | data[at], return_inverse=True)
+            start = first[moves >> 8]
+            count = first[(moves >> 8) + 1] - start
+            move = np.repeat(np.arange(len(moves)), count)
+            config = np.arange(len(move)) + np.repeat(start - (np.cumsum(count) - count), count)
+            step = node[config] << 8 | (moves & 255)[move]
+            edge = np.searchsorted(self.edges, step)
+            live = np.flatnonzero(self.edges[edge] == step)
+            move, before, node = move[live], before[config[live]], self.kids[edge[live]]
+            token = self.token_at[node]
+            whole = np.flatnonzero(token != NONE)
+            whole = whole[self._apart(before[whole], token[whole])]
+            ended = np.full(len(moves), NONE, np.int64)
+            ended[move[whole]] = token[whole]
+            out[at] = ended[own]
+            on = self.inner[node]
+            move = np.concatenate([move[on], np.arange(len(moves))])
+            order = np.argsort(move, kind="stable")
+            before = np.concatenate([before[on], ended])[order]
+            node = np.concatenate([node[on], np.zeros(len(moves), np.int64)])[order]
+            first = np.searchsorted(move[order], np.arange(len(moves) + 1))
+            state[:n] = own
+        return out
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and how many each has."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")
+        data = np.frombuffer(b"".join([pieces[k] for k in order.tolist()]), np.uint8).astype(np.int64)
+        size = size[order]
+        begin = np.cumsum(size) - size
+        ends = self.ends(data, begin, size)
+        kept = np.zeros(len(data), bool)
+        counts = np.zeros(len(pieces), np.int64)
+        open_, left = np.arange(len(pieces)), size.copy()
+        while len(open_):  # back from the ends, a token of every piece at a time
+            last = begin[open_] + left - 1
+            kept[last] = True
+            counts[open_] += 1
+            left -= self.length[ends[last]]
+            on = left > 0
+            open_, left = open_[on], left[on]
+        ids = ends[kept]
+        # back to the order in which the pieces were given
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return _gathered(ids, np.cumsum(counts) - counts, counts, back), counts[back]
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, count: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The runs ``values[begin : begin + count]`` of the chosen numbers, one after the other."""
+    count, begin = count[chosen], begin[chosen]
+    shift = np.repeat(begin - (np.cumsum(count) - count), count)
+    return values[np.arange(len(shift)) + shift]
+
+
+class _Numbers(dict):
+    """Numbers pieces in the order they are met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
+class Encoder:
+    """Ids of texts, some texts at a time; between calls it holds the vocabulary and little else."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        super().__init__()
-        self.older: dict[str, bytes] = {}
         self.transducer = Transducer(ranks)
-        self.pieces = regex.compile(pattern).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.lockstep = Lockstep(self.transducer)
+        self.pattern = regex.compile(pattern)
 
     def forget(self) -> None:
         """Give back what texts have taught, so that a waiting worker holds the vocabulary only."""
-        self.clear()
-        self.older = {}
         self.transducer.merges.forget()
         self.transducer.restart()
 
+    def _numbered(self, text: str, numbers: _Numbers) -> np.ndarray:
+        if len(text) > SLICE_BYTES:  # its pieces needn't all stand side by side
+            found = (numbers[m.group()] for m in self.pattern.finditer(text))
+            return np.fromiter(found, np.int32)
+        pieces = self.pattern.findall(text)
+        return np.fromiter(map(numbers.__getitem__, pieces), np.int32, len(pieces))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Every distinct piece of the texts is encoded once."""
+        numbers = _Numbers()
+        rows = [self._numbered(text, numbers) for text in texts]
+        pieces = [p.encode() for p in numbers]
+        rank = self.transducer.merges.ranks.get
+        whole = np.fromiter((rank(p, NONE) for p in pieces), np.int64, len(pieces))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        short = np.flatnonzero((whole == NONE) & (size <= LONG_PIECE))
+        long = np.flatnonzero((whole == NONE) & (size > LONG_PIECE))
+        ids, counts = self.lockstep.encode([pieces[k] for k in short.tolist()])
+        spelled = [np.array(self.transducer.encode(pieces[k]), np.int64) for k in long.tolist()]
+        count = np.ones(len(pieces), np.int64)
+        count[short] = counts
+        count[long] = list(map(len, spelled))
+        begin = np.arange(len(pieces))  # tokens that are pieces stand at their own number
+        begin[short] = len(pieces) + np.cumsum(counts) - counts
+        begin[long] = len(pieces) + len(ids) + np.cumsum(count[long]) - count[long]
+        flat = np.concatenate([whole, ids, *spelled]).astype(np.int32)
+        return [_gathered(flat, begin, count, row) for row in rows]
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), np.int32)
+        return self.encode_all([text])[0]
 
 
 def _character(lead: int) -> tuple[int, int, int]:
@@ -358,7 +479,6 @@ def _vocabulary(path: str) -> tuple[dict[int, bytes], tuple[dict, dict]]:
 
 
 PORTION = 4096  # ids decoded at once
-SLICE = 256  # rows held as Python objects at once
 
 
 def token_ids(text: str | Column, ranks_path: str, pattern: str) -> Column:
@@ -368,12 +488,25 @@ def token_ids(text: str | Column, ranks_path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
-            yield _ids([encoder.encode(t.as_py() or "") for t in batch])
+            made = [_ids([])]
+            made += [_ids(encoder.encode_all(texts)) for texts in _slices(batch)]
+            yield pa.concat_arrays(made)
         encoder.forget()
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
 
+def _slices(batch: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, some of about ``SLICE_BYTES`` together or one of any length at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(batch):
+        base = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        yield [t.as_py() or "" for t in batch.slice(begin, end - begin)]
+        begin = end
+
+
 def _ids(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.fromiter(accumulate(map(len, rows), initial=0), np.int32, len(rows) + 1)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
@@ -409,8 +542,8 @@ def round_trip(text: str | Column, ranks_path: str, pattern: str) -> Column:
         vocabulary, tables = _vocabulary(ranks_path)
         for batch in batches:
             ids, texts = [_ids([])], [pa.array([], pa.string())]
-            for at in range(0, len(batch), SLICE):
-                rows = [encoder.encode(t.as_py() or "") for t in batch.slice(at, SLICE)]
+            for part in _slices(batch):
+                rows = encoder.encode_all(part)
                 ids.append(_ids(rows))
                 texts.append(pa.array([_decoded(r, vocabulary, tables) for r in rows], pa.string()))
             yield pa.StructArray.from_arrays(

@@ -83,7 +83,8 @@ def test_stream_emits_within_its_lookahead(ranks, library):
 def test_tables_may_be_emptied_at_any_time(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe_transducer, "MAX_TRANSITIONS", 50)
     monkeypatch.setattr(bpe_transducer, "MAX_PAIRS", 20)
-    monkeypatch.setattr(bpe_transducer, "CACHED_PIECES", 3)
+    monkeypatch.setattr(bpe_transducer, "MAX_KNOWN", 30)
+    monkeypatch.setattr(bpe_transducer, "LONG_PIECE", 12)
     small = bpe_transducer.Encoder(ranks, PATTERN)
     rng = random.Random(2)
     text = " ".join("".join(rng.choice("etaoins") for _ in range(9)) for _ in range(300))
