@@ -152,18 +152,16 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], size: T
     )
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", size: TrainingSize | None = None) -> Network | None:
+def fit(rows: DataFrame, text: str = "text", label: str = "lang", size: TrainingSize | None = None) -> Network | None:
     """A network from labelled texts; None if there is none with a label and a byte."""
     size = size or TrainingSize()
-    labelled = rows.select(
-        F.col(key).alias("key"), F.col(label).alias("label"), whole_text(text).alias("text")
-    ).where(F.length("text") > 0)
-    chosen = sampling.about(labelled, "label", "key", size.texts, size.seed)
+    labelled = rows.select(F.col(label).alias("label"), whole_text(text).alias("text")).where(F.length("text") > 0)
+    chosen = sampling.about(labelled, "label", "text", size.texts, size.seed)
     data = F.encode("text", "utf-8")
 
     def piece(k: int, length: int) -> Column:
         room = F.greatest(F.octet_length("text") - length, F.lit(0))
-        at = (sampling.share("key", size.seed + 1 + k) * (room + 1)).cast("int") + 1
+        at = (sampling.share("text", size.seed + 1 + k) * (room + 1)).cast("int") + 1
         return F.substring(data, at, F.lit(length))
 
     pieces = chosen.select(

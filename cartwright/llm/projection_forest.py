@@ -297,17 +297,18 @@ def neighbours(
     if facts is None:
         return nothing
     rows = rows.where(F.size("vector") == facts["length"])
-    share = plan.sample_numbers / facts["length"] / facts["n"]
-    chosen = rows.where(sampling.share("id", plan.seed) < share).select("vector").toArrow()
-    if not chosen.num_rows:
-        return nothing
-    points = np.unique(_matrix(chosen["vector"]), axis=0)
     items, asking = distinct_vectors(rows, k, queries)
     items = materialize(items, "items")
     asking = materialize(
         asking.join(items.select("vector", "item"), "vector").select("query", F.col("item").alias("asker")), "asking"
     )
     n_items = items.count()
+    # distinct vectors, by their own hash: ids and copies don't matter
+    share = plan.sample_numbers / facts["length"] / n_items
+    chosen = items.where(sampling.share("vector", plan.seed) < share).select("vector").toArrow()
+    if not chosen.num_rows:
+        return nothing
+    points = np.unique(_matrix(chosen["vector"]), axis=0)
     forest = build(points, n_items, plan)
     forest.top = max(forest.top, facts["top"])
     chunks = max(1, math.ceil(n_items / (1 << forest.depth) / plan.most_items))

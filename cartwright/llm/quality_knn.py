@@ -143,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isin(0, 1) & F.col("key").isNotNull()
     )
+    drawn = F.broadcast(sampling.about(known, "label", "key", size.each, size.seed).select("key").distinct())
     chosen = (
-        sampling.about(known, "label", "key", size.each, size.seed)
+        known.join(drawn, "key")
         .groupBy("key")
         .agg(F.min("label").alias("label"), F.max("label").alias("other"))
         .where("label = other")
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     taught = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).join(
         F.broadcast(chosen.select("key", "label")), "key"
     )
+    taught = sampling.bounded(taught.select("label", "text"), "label", "text", size.each, size.seed)
     rows = taught.select("label", _term_udf()("text").alias("t")).select("label", "t.*").toArrow()
     examples = sorted(zip(*[c.to_pylist() for c in rows.columns], strict=True))
     if not examples:

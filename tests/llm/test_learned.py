@@ -147,3 +147,31 @@ def test_samples_are_bounded_and_repeatable(spark):
     assert sorted(once) == sorted(sampling.about(rows.repartition(7), "label", "id", 500).collect())
     for label in (True, False):
         assert 400 < sum(r.label == label for r in once) < 600
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 7, 11])
+def test_samples_have_the_size_asked_for_whatever_repeats(spark, seed):
+    """Rows without an id, copies and repeated ids neither empty nor flood a sample."""
+    distinct = spark.range(20_000).selectExpr("cast(null as bigint) as id", "'en' as label", "concat('t', id) as text")
+    copies = spark.range(30_000).selectExpr("id", "'en' as label", "'one text' as text")
+    few = spark.range(40).selectExpr("1 as id", "'fr' as label", "concat('f', id) as text")
+    other = spark.range(5).selectExpr("id", "cast(null as string) as label", "'n' as text")
+    rows = distinct.union(copies).union(few).union(other)
+    got = [tuple(r) for r in sampling.about(rows, "label", "text", 1500, seed).select("label", "text").collect()]
+    assert len(set(got)) == len(got)
+    assert sum(label == "en" for label, _ in got) == 1500
+    assert sum(label == "fr" for label, _ in got) == 40
+    assert {label for label, _ in got} == {"en", "fr"}
+    again = sampling.about(rows.repartition(7), "label", "text", 1500, seed).select("label", "text")
+    assert sorted(map(tuple, again.collect())) == sorted(got)
+
+
+def test_a_labelled_id_of_very_many_documents(spark):
+    """Documents of one id are taken up to the bound; contradicting labels teach nothing."""
+    docs = spark.range(5000).selectExpr("1 as doc_id", "concat('good words here ', id) as text")
+    docs = docs.union(spark.range(30).selectExpr("id + 2 as doc_id", "concat('#### @@ ', id) as text"))
+    labels = spark.createDataFrame([(1, 1)] * 500 + [(k + 2, 0) for k in range(30)] + [(31, 1)], "doc_id bigint, quality int")
+    size = quality_knn.Size(each=100)
+    model = quality_knn.fit(docs, labels, size=size)
+    assert len(model.votes) == 100 + 29
+    assert sum(model.votes) == 100
