@@ -173,7 +173,8 @@ def op8_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.derived_records(table(spark, folder, "pages"))
+    answers = warc.responses(table(spark, folder, "pages"))
+    return warc.derived_records(answers, date="date", record_id="record_id", headers="headers")
 
 
 @query

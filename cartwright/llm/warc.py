@@ -4,8 +4,9 @@ A response (address, payload, optionally date, identifier and headers of its own
 records of the WARC 1.1 form: ``metadata`` (title, language, character set and links of the page
 as ``application/warc-fields``, then the source's header lines) and ``conversion`` (its plain text). Both refer to the
 response by identifier and carry its address, date and payload digest; each has the digest of its
-own block. Identifiers are name-based (a hash of kind, address, key and payload digest),
-so a rerun or a retried task gives the same records, and equal rows give equal ones.
+own block. Identifiers are name-based (a hash of kind, address, key and payload digest, and of the
+number of the copy from the second equal response on), so a rerun or a retried task gives the same
+records and no two records share one. :func:`responses` makes responses of plain pages.
 
 A null payload is an empty one; a null address leaves the line out; line breaks in header values
 become ``%0D`` and ``%0A``. An empty page gives both records, with an empty text. Pages of any
@@ -22,12 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwright.session import materialize
+
 RECORD_END = "\r\n\r\n"
 UNDATED = "1970-01-01T00:00:00Z"
+SENT_ROWS = 200_000  # repeated pages, of which key, address and digest are sent to every task
 
 _DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>", re.I | re.S
-)
+    r"<!--.*?(?:(?P<comment>-->)|\Z)"
+    r"|<(?P<element>script|style|template|noscript|title)\b[^>]*>.*?(?:(?P<closed></(?P=element)\s*>)|\Z)"
+    r"|(?P<mark><!\[CDATA\[|\]\]>)",
+    re.I | re.S,
+)
+_OPEN = re.compile(r"<!--.*|<!\[CDATA\[", re.I | re.S)
 # Fixed: elements that begin a new line.
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|"
@@ -38,28 +46,72 @@ _BREAK = re.compile(
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-_LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+_LINK = (re.compile(r"<a\b", re.I), re.compile(r"\bhref\s*=\s*", re.I), re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)"))
+_LANGUAGE = (re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*", re.I), re.compile(r"[\"']?([A-Za-z0-9-]+)"))
+_CHARSET = (
+    re.compile(r"<meta\b", re.I), re.compile(r"\bcharset\s*=\s*", re.I), re.compile(r"[\"']?([A-Za-z0-9_.:-]+)"),
+)
+
+
+def attributes(html: str, kind: tuple[re.Pattern, re.Pattern, re.Pattern]) -> Iterator[str]:
+    """The attribute's first value in each tag of a kind (start of the tag, attribute, value).
+
+    The places of tags, attributes and ``>`` only move forward, so a page is read through once,
+    also one whose tags never end.
+    """
+    tag, name, value = kind
+    at, close, found = 0, -1, None
+    while begin := tag.search(html, at):
+        at = begin.end()
+        if close < at:
+            close = html.find(">", at)
+            close = len(html) if close < 0 else close
+        while True:
+            if found is None or found.start() < at:
+                found = name.search(html, at)
+            if found is None:
+                return
+            if found.start() >= close:
+                break
+            held = value.match(html, found.end())
+            at = found.end() if held is None else held.end()
+            if held:
+                yield next(filter(None, held.groups()), "")
+                break
+
+
+def visible(html: str) -> str:
+    """The page without comments, scripts and the like. Beyond the last ``>`` nothing but a comment can
+    begin, so the patterns that look for one are kept off that part."""
+    last = html.rfind(">") + 1
+    parts, at = [], 0
+    for m in _DROPPED.finditer(html, 0, last):
+        parts += [html[at : m.start()], " "]
+        at = m.end()
+        if not (m["comment"] or m["closed"] or m["mark"]):  # it never ends
+            return "".join(parts)
+    return "".join([*parts, html[at:last], _OPEN.sub(" ", html[last:])])
 
 
 def plain_text(html: str) -> str:
     """Visible text of a page: one line per block element, blanks run together."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", html)))
+    text = visible(html)
+    last = text.rfind(">") + 1  # no tag ends beyond
+    text = _TAG.sub("", _BREAK.sub("\n", text[:last])) + text[last:]
     return _LINES.sub("\n", _BLANKS.sub(" ", unescape(text).replace("\r", "\n"))).strip()
 
 
 def page_facts(html: str) -> tuple[str | None, str | None, str | None, list[str]]:
     """Title, language, character set and link targets of a page."""
-    title, language, charset = (p.search(html) for p in (_TITLE, _LANGUAGE, _CHARSET))
-    links = [unescape(next(filter(None, m.groups()), "")).strip() for m in _LINK.finditer(html)]
-    return (
-        " ".join(unescape(title[1]).split()) if title else None,
-        language[1] if language else None,
-        charset[1].lower() if charset else None,
-        [x for x in links if x],
-    )
+    title, begin = None, _TITLE.search(html, 0, html.rfind(">") + 1)
+    if begin:
+        end = _TITLE_END.search(html, begin.end())
+        title = " ".join(unescape(html[begin.end() : end.start() if end else None]).split())
+    language, charset = (next(attributes(html, kind), None) for kind in (_LANGUAGE, _CHARSET))
+    links = [unescape(link).strip() for link in attributes(html, _LINK)]
+    return title, language, charset.lower() if charset else None, [x for x in links if x]
 
 
 def _page(payload: Column) -> Column:
@@ -98,6 +150,54 @@ def identifier(*parts: Column) -> Column:
     )
 
 
+def responses(
+    pages: DataFrame, key: str = "page_id", target_uri: str = "url", payload: str = "html", date: str = UNDATED
+) -> DataFrame:
+    """Pages as responses of a crawl: ``record_id, date, headers`` besides their own three columns.
+
+    ``headers`` are the lines of the answer: status, type with the page's own character set where the
+    page states one, and length. A page that is there several times is as many responses with
+    numbers of their own; they are numbered by counting, not by lining them up.
+    """
+    whole = F.coalesce(F.col(payload), F.lit(""))
+    read = pages.select(
+        F.col(key).alias(key), F.col(target_uri).alias(target_uri), F.col(payload).alias(payload),
+        _digest(whole).alias("payload_digest"),
+    )
+    same = [F.col(key), F.col(target_uri), F.col("payload_digest"), F.col(payload).isNull().alias("missing")]
+    several = read.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    several = materialize(several, "copies").toDF("k", "u", "d", "m", "copies")
+    meets = (
+        F.col(key).eqNullSafe(F.col("k")) & F.col(target_uri).eqNullSafe(F.col("u"))
+        & (F.col("payload_digest") == F.col("d")) & (F.col(payload).isNull() == F.col("m"))
+    )
+    once = F.lit(0).alias("copy")
+    if several.isEmpty():
+        numbered = read.select("*", once)
+    else:
+        few = several.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+        wanted = F.broadcast(several) if few else several
+        alone = read.join(wanted, meets, "left_anti").select("*", once)
+        # one row of each, map-side first, and then as many as there were
+        kept = read.join(wanted, meets).dropDuplicates([key, target_uri, "payload_digest", "m"])
+        copies = F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy")
+        numbered = alone.unionByName(kept.select(*read.columns, copies))
+    charset = F.regexp_extract(whole, r"(?i)<meta[^<>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", 1)
+    kind = F.when(charset == "", F.lit("text/html")).otherwise(F.concat(F.lit("text/html; charset="), charset))
+    return numbered.select(
+        key, target_uri, payload,
+        identifier(
+            F.lit("response"), F.col(key).cast("string"), _one_line(F.col(target_uri)), F.col("payload_digest"),
+            *[F.when(F.col("copy") > 0, F.col("copy").cast("string"))],
+        ).alias("record_id"),
+        F.lit(date).alias("date"),
+        F.array(
+            F.lit("HTTP/1.1 200 OK"), F.concat(F.lit("Content-Type: "), kind),
+            F.concat(F.lit("Content-Length: "), F.octet_length(whole).cast("string")),
+        ).alias("headers"),
+    )
+
+
 def derived_records(
     responses: DataFrame,
     key: str = "page_id",
