@@ -51,63 +51,89 @@ CHUNK_CLASSES = 4096  # likewise
 TILE = 1024  # classes of a chunk that are compared at once
 BLOCK_TOKENS = 4096
 SENT_ROWS = 2_000_000  # ids (16 bytes each) go to every task up to here, else they are joined
-CACHED_WORDS = 100_000
+SLICE_BYTES = 1 << 20  # of texts that are shingled together
+PLACES = 64
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
     np.uint64,
 )
 
 
-class _Words(dict):
-    """64-bit hashes of words met lately; a full table becomes the older one."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        value = self.older.get(word)
-        if value is None:
-            value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = value
-        return value
-
-
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
-
-_words = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     return h ^ (h >> np.uint64(33))
 
 
+def _numbers(name: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(hashlib.shake_256(name).digest(8 * n), np.uint64)
+
+
+#: A number for each byte at each place of a word; a word's hash adds up those of its bytes.
+_BYTES = _numbers(b"bytes of words", PLACES * 256)
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.int64)
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+
+
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, which lie end to end, and where those of each text begin."""
+    at = np.flatnonzero(~_BLANK[data])
+    if not len(at):
+        return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+    borders = np.zeros(len(data) + 1, bool)
+    borders[ends] = True
+    first = np.empty(len(at), bool)
+    first[0] = True
+    first[1:] = (np.diff(at) > 1) | borders[at[1:]]
+    begin = np.flatnonzero(first)
+    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    part = _BYTES[(place % PLACES) << 8 | _FOLD[data[at]]]
+    if place.max() >= PLACES:  # the numbers again, turned, for each further stretch of a long word
+        far = np.flatnonzero(place >= PLACES)
+        part[far] = _mixed(part[far] + (place[far] // PLACES).astype(np.uint64) * _ODD[0])
+    return _mixed(np.add.reduceat(part, begin)), np.searchsorted(at[begin], ends)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of texts of about ``SLICE_BYTES`` together, or of one text, and where each ends."""
+    texts = texts.cast(pa.large_string())
+    _, places, held = texts.buffers()
+    ends = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(held, np.uint8) if held else np.empty(0, np.uint8)
+    begin = 0
+    while begin < len(texts):
+        upto = int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1
+        upto = max(begin + 1, upto)
+        yield data[ends[begin] : ends[upto]], ends[begin : upto + 1] - ends[begin]
+        begin = upto
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text its class (0: no words) and its distinct shingle hashes, ascending as signed."""
+    for data, ends in _slices(texts):
+        words, first = _word_hashes(data, ends)
+        count = np.diff(first)
+        held = np.flatnonzero(count)
+        names = np.zeros(len(count), np.int64)
+        if len(held):
+            place = (np.arange(len(words)) - np.repeat(first[:-1], count)).astype(np.uint64)
+            total = np.add.reduceat(_mixed(words + place * _ODD[1]), first[:-1][held])
+            names[held] = _mixed(total + count[held].astype(np.uint64) * _ODD[2]).view(np.int64)
+            names[held] += names[held] == 0
+        places = max(0, len(words) - SHINGLE + 1)
+        mixed = words[:places] * _ODD[0]
+        for k in range(1, SHINGLE):
+            mixed = _mixed(mixed) + words[k : k + places] * _ODD[k]
+        mixed = _mixed(mixed).view(np.int64)
+        for name, begin, n in zip(names.tolist(), first.tolist(), count.tolist(), strict=False):
+            if n >= SHINGLE:
+                yield name, np.unique(mixed[begin : begin + n - SHINGLE + 1])
+            else:
+                yield name, np.array([name ^ n] if n else [], np.int64)
+
+
 def shingles(text: str) -> tuple[int, np.ndarray]:
-    """Class of a text (0: no words) and its distinct shingle hashes, ascending as signed."""
-    # bytes: lower() changes A-Z alone, and split() splits at the six ASCII blanks alone
-    words = text.encode().lower().split()
-    n = len(words)
-    if not n:
-        return 0, np.empty(0, np.int64)
-    digest = hashlib.blake2b(b" ".join(words), digest_size=8).digest()
-    name = int.from_bytes(digest, "little", signed=True) or 1
-    if n < SHINGLE:
-        return name, np.array([name ^ n], np.int64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    places = n - SHINGLE + 1
-    total = hashes[:places] * _ODD[0]
-    for k in range(1, SHINGLE):
-        total = _mixed(total) + hashes[k : k + places] * _ODD[k]
-    return name, np.unique(_mixed(total).view(np.int64))
+    return next(shingle_sets(pa.array([text])))
 
 
 def signature(text: str | Column) -> Column:
@@ -116,15 +142,9 @@ def signature(text: str | Column) -> Column:
     @F.arrow_udf("class bigint, n bigint")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [shingles(t.as_py() or "") for t in batch]
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array([name or None for name, _ in found], pa.int64()),
-                    pa.array([len(tokens) for _, tokens in found], pa.int64()),
-                ],
-                ["class", "n"],
-            )
-        _words.forget()
+            found = [(name or None, len(tokens)) for name, tokens in shingle_sets(batch)]
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.StructArray.from_arrays(columns, ["class", "n"])
 
     return sign(whole_text(text))
 
@@ -135,8 +155,8 @@ def _sets(text: Column, name: Column) -> Column:
     @F.arrow_udf("array<bigint>")
     def spread(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, wanted in texts:
-            found = [shingles(t.as_py() or "") for t in text]
-            rows = [s if k == w else None for (k, s), w in zip(found, wanted.to_pylist(), strict=True)]
+            found = zip(shingle_sets(text), wanted.to_pylist(), strict=True)
+            rows = [s if k == w else None for (k, s), w in found]
             yield pa.array(rows, pa.list_(pa.int64()))
 
     return spread(text, name)
@@ -158,14 +178,12 @@ def _texts_packed(n_buckets: int):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 known: dict[int, np.ndarray] = {}
-                for text in batch.column(0).slice(at, SLICE):
-                    name, tokens = shingles(text.as_py() or "")
+                for name, tokens in shingle_sets(batch.column(0).slice(at, SLICE)):
                     if name:
                         known.setdefault(name, tokens)
                 if known:
                     classes = np.fromiter(known, np.int64, len(known))
                     yield _rows(classes, classes, list(known.values()), n_buckets)
-        _words.forget()
 
     return pack
 
