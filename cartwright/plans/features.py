@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,36 +86,21 @@ def one_hot(df: DataFrame, values: Sequence[str], column: str = CATEGORY) -> Dat
     return df.withColumns(flags).drop(column)
 
 
-def model_matrix(frame: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Stored frame with a ``features`` vector, and the vector's column names in order.
+def matrix_cells(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``customer_unique_id, feature, value`` of every value that is not 0: numbers with medians for
+    the missing ones, and a 1 for the customer's category unless it is the alphabetically first.
 
-    Indicators are sparse; the alphabetically first value has none, nor has a missing one.
+    The sparse form of the feature matrix; its columns stay three however many categories there are.
     """
-    stored = materialize(frame, "features")
-    imputed = impute_medians(stored, features)
-    if stored.filter(F.col(CATEGORY).isNotNull()).isEmpty():
-        plain = VectorAssembler(inputCols=list(features), outputCol="features")
-        return plain.transform(imputed.drop(CATEGORY)), list(features)
-    indexer = StringIndexer(
-        inputCol=CATEGORY, outputCol="category_index", stringOrderType="alphabetDesc",
-        handleInvalid="keep",
-    ).fit(imputed)
-    values = list(indexer.labels)[:-1]
-    names = [*features, *[f"{CATEGORY}_{v}" for v in values]]
-    parts = list(features)
-    encoded = indexer.transform(imputed)
-    if values:
-        encoder = OneHotEncoder(
-            inputCol="category_index", outputCol="category_flags", dropLast=False
-        ).fit(encoded)
-        # all but the last two: the alphabetically first value, and the missing one
-        kept = VectorSlicer(
-            inputCol="category_flags", outputCol="flags", indices=list(range(len(values)))
-        )
-        encoded = kept.transform(encoder.transform(encoded))
-        parts.append("flags")
-    assembled = VectorAssembler(inputCols=parts, outputCol="features").transform(encoded)
-    return assembled.drop(CATEGORY, "category_index", "category_flags", "flags"), names
+    whole = impute_medians(frame, columns)
+    first = frame.agg(F.min(CATEGORY)).first()[0]
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]
+    named = F.when(
+        F.col(CATEGORY) != F.lit(first), F.concat(F.lit(f"{CATEGORY}_"), F.col(CATEGORY))
+    )
+    cells.append(F.struct(named.alias("feature"), F.lit(1.0).alias("value")))
+    spread = whole.select("customer_unique_id", F.inline(F.array(*cells)))
+    return spread.filter(F.col("feature").isNotNull() & (F.col("value") != 0))
 
 
 def _draw(seed: int) -> Column:

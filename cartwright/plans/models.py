@@ -2,47 +2,31 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.functions.arithmetic import ratio, rounded
+from cartwright.operators import boosting, ordering
+from cartwright.operators.boosting import Bins, Boosting, Forest
 from cartwright.plans import features
 from cartwright.session import materialize
 
-
-@dataclass(frozen=True)
-class Boosting:
-    trees: int
-    depth: int
-    step: float = 0.05
-    row_share: float = 0.8
-    column_share: float = 0.8
-    positive_weight: float = 1.0
-    seed: int = 42
-
-    def with_trees(self, trees: int) -> Boosting:
-        return replace(self, trees=trees)
-
-
 # The settings of the two models.
-CHURN = Boosting(trees=200, depth=4, positive_weight=2.0)
+CHURN = Boosting(trees=200, depth=4, positive_weight=2.0, classify=True)
 CLV = Boosting(trees=300, depth=5)
+ROOT_BINS = 16
+KEY = "customer_unique_id"
 
 
 @dataclass
 class Trained:
-    """A fitted model with its marked matrix (stored) and the names of the vector entries."""
+    """A fitted model with its stored rows: features, target, weight, test mark."""
 
-    model: object
+    model: Forest
     rows: DataFrame
-    names: list[str]
     target: str
 
     @property
@@ -50,69 +34,77 @@ class Trained:
         return self.rows.filter("is_test")
 
 
-def _common(settings: Boosting) -> dict:
-    return {
-        "featuresCol": "features",
-        "maxIter": settings.trees,
-        "maxDepth": settings.depth,
-        "stepSize": settings.step,
-        "subsamplingRate": settings.row_share,
-        "featureSubsetStrategy": str(settings.column_share),
-        "seed": settings.seed,
-    }
+def as_row(trained: Trained) -> DataFrame:
+    """The model as a table of one row."""
+    spark = trained.rows.sparkSession
+    return spark.createDataFrame([(trained.target, trained.model.to_json())], "target string, model string")
+
 
+def from_row(model: DataFrame, rows: DataFrame) -> Trained:
+    held = model.first()
+    return Trained(Forest.from_json(held["model"]), rows, held["target"])
 
-def _classifier(settings: Boosting) -> GBTClassifier:
-    return GBTClassifier(labelCol=features.CHURN_TARGET, weightCol="weight", **_common(settings))
 
+def _marked(frame: DataFrame, columns: tuple[str, ...], target: str, settings: Boosting) -> DataFrame:
+    """Stored rows without missing numbers, with a class weight and the test mark."""
+    whole = features.impute_medians(materialize(frame, "features"), columns)
+    weight = F.when(F.col(target) == 1, settings.positive_weight).otherwise(1.0) if settings.classify else F.lit(1.0)
+    label = target if settings.classify else None
+    return materialize(features.split(whole.withColumn("weight", weight), label), "model_rows")
 
-def churn_matrix(metrics: DataFrame, settings: Boosting = CHURN) -> tuple[DataFrame, list[str]]:
-    """Stored churn rows: vector, label, class weight, test mark."""
-    rows, names = features.model_matrix(features.churn_frame(metrics), features.CHURN_FEATURES)
-    positive = F.col(features.CHURN_TARGET) == 1
-    weighted = rows.withColumn("weight", F.when(positive, settings.positive_weight).otherwise(1.0))
-    return materialize(features.split(weighted, features.CHURN_TARGET), "churn_rows"), names
+
+def _bins(rows: DataFrame, columns: tuple[str, ...], bins: int = boosting.BINS) -> Bins:
+    return boosting.quantile_bins(rows, columns, features.CATEGORY, features.levels(rows), bins)
+
+
+def churn_rows(metrics: DataFrame, settings: Boosting = CHURN) -> DataFrame:
+    frame = features.churn_frame(metrics)
+    return _marked(frame, features.CHURN_FEATURES, features.CHURN_TARGET, settings)
 
 
 def train_churn(metrics: DataFrame, settings: Boosting = CHURN) -> Trained:
-    rows, names = churn_matrix(metrics, settings)
-    model = _classifier(settings).fit(rows.filter("not is_test"))
-    return Trained(model, rows, names, features.CHURN_TARGET)
+    rows = churn_rows(metrics, settings)
+    known = rows.filter("not is_test")
+    bins = _bins(known, features.CHURN_FEATURES)
+    (model,) = boosting.fit(known, bins, features.CHURN_TARGET, settings, KEY, "weight")
+    return Trained(model, rows, features.CHURN_TARGET)
 
 
 def train_clv(metrics: DataFrame, settings: Boosting = CLV) -> Trained:
-    matrix, names = features.model_matrix(features.clv_frame(metrics), features.CLV_FEATURES)
-    rows = materialize(features.split(matrix), "clv_rows")
-    regressor = GBTRegressor(labelCol=features.CLV_TARGET, **_common(settings))
-    return Trained(regressor.fit(rows.filter("not is_test")), rows, names, features.CLV_TARGET)
+    rows = _marked(features.clv_frame(metrics), features.CLV_FEATURES, features.CLV_TARGET, settings)
+    known = rows.filter("not is_test")
+    (model,) = boosting.fit(known, _bins(known, features.CLV_FEATURES), features.CLV_TARGET, settings, KEY)
+    return Trained(model, rows, features.CLV_TARGET)
+
+
+def churn_split_gains(metrics: DataFrame, settings: Boosting = CHURN) -> DataFrame:
+    """Gain of every feature and cut at the root of the churn model."""
+    known = churn_rows(metrics, settings).filter("not is_test")
+    bins = _bins(known, features.CHURN_FEATURES, ROOT_BINS)
+    gains = boosting.root_gains(known, bins, features.CHURN_TARGET, settings, KEY, "weight")
+    return gains.withColumn("gain", rounded(F.col("gain"), 3))
 
 
 def churn_scores(trained: Trained) -> DataFrame:
     """Held-out customers, most likely to churn first."""
-    return (
-        trained.model.transform(trained.test)
-        .select(
-            "customer_unique_id",
-            F.col(trained.target).alias("actual_churned"),
-            F.col("prediction").cast("int").alias("predicted_churned"),
-            rounded(vector_to_array("probability")[1], 4).alias("churn_probability"),
-        )
-        .orderBy(F.desc("churn_probability"), "customer_unique_id")
-    )
+    scored = trained.test.withColumn("score", trained.model.score())
+    return scored.select(
+        KEY,
+        F.col(trained.target).alias("actual_churned"),
+        (F.col("score") > 0.5).cast("int").alias("predicted_churned"),
+        rounded(F.col("score"), 4).alias("churn_probability"),
+    ).orderBy(F.desc("churn_probability"), KEY)
 
 
 def clv_scores(trained: Trained) -> DataFrame:
-    actual, predicted = F.col(trained.target), F.col("prediction")
-    return (
-        trained.model.transform(trained.test)
-        .select(
-            "customer_unique_id",
-            rounded(actual, 2).alias("actual_revenue"),
-            rounded(predicted, 2).alias("predicted_revenue"),
-            rounded(predicted - actual, 2).alias("error"),
-        )
-        .orderBy(F.desc("predicted_revenue"), "customer_unique_id")
-    )
+    actual, predicted = F.col(trained.target), F.col("score")
+    scored = trained.test.withColumn("score", trained.model.score())
+    return scored.select(
+        KEY,
+        rounded(actual, 2).alias("actual_revenue"),
+        rounded(predicted, 2).alias("predicted_revenue"),
+        rounded(predicted - actual, 2).alias("error"),
+    ).orderBy(F.desc("predicted_revenue"), KEY)
 
 
 def confusion_matrix(scores: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -144,9 +136,7 @@ def quality(scores: DataFrame) -> DataFrame:
     """What a churn model is worth on the customers held out, in one row."""
     a, p = F.col("actual_churned") == 1, F.col("predicted_churned") == 1
     hits, claimed, real = F.count_if(a & p), F.count_if(p), F.count_if(a)
-    auc = roc_auc(scores, "actual_churned", "churn_probability")
-    return scores.agg(
-        F.lit(round(auc, 6)).alias("auc"),
+    counts = scores.agg(
         rounded(ratio(hits, claimed), 6).alias("precision"),
         rounded(ratio(hits, real), 6).alias("recall"),
         rounded(ratio(2 * hits, claimed + real), 6).alias("f1"),
@@ -155,13 +145,15 @@ def quality(scores: DataFrame) -> DataFrame:
         F.count_if(a & ~p).alias("false_negatives"),
         F.count_if(~a & ~p).alias("true_negatives"),
     )
+    one = F.lit(1).alias("one")
+    area = roc_auc(scores, "actual_churned", "churn_probability").select(one, "auc")
+    return area.join(counts.select("*", one), "one").drop("one")
 
 
-def roc_auc(scores: DataFrame, actual: str, score: str) -> float:
-    """Exact area under the ROC curve over all distinct scores."""
-    ready = scores.select(F.col(actual).cast("double").alias("y"), F.col(score).cast("double").alias("s"))
-    evaluator = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="s", numBins=0)
-    return evaluator.evaluate(ready)
+def roc_auc(scores: DataFrame, actual: str, score: str) -> DataFrame:
+    """``auc``: the exact area under the ROC curve over all distinct scores, in one row."""
+    area = ordering.roc_auc(scores, actual, score)
+    return area.select(rounded(F.col("auc"), 6).alias("auc"))
 
 
 def regression_report(scores: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -174,82 +166,49 @@ def regression_report(scores: DataFrame, actual: str, predicted: str) -> DataFra
     )
 
 
-def cross_validate(
-    rows: DataFrame, settings: Boosting = CHURN, n: int = 5, parallelism: int = 2
-) -> DataFrame:
-    """Mean and deviation of the ROC-AUC over stratified folds."""
-    marked = features.folds(rows, features.CHURN_TARGET, n)
-    search = CrossValidator(
-        estimator=_classifier(settings),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=features.CHURN_TARGET, numBins=0),
-        numFolds=n,
-        foldCol="fold",
-        parallelism=parallelism,
-    ).fit(marked)
-    return rows.sparkSession.createDataFrame(
-        [(n, float(search.avgMetrics[0]), float(search.stdMetrics[0]))],
-        "folds int, auc_mean double, auc_std double",
+def cross_validate(rows: DataFrame, settings: Boosting = CHURN, n: int = 5) -> DataFrame:
+    """``folds, auc_mean, auc_std`` over stratified folds, whose models are grown by the same jobs."""
+    marked = materialize(features.folds(rows, features.CHURN_TARGET, n), "folds")
+    bins = _bins(marked, features.CHURN_FEATURES)
+    target = features.CHURN_TARGET
+    models = boosting.fit(marked, bins, target, settings, KEY, "weight", "fold", range(n))
+    scored = [
+        marked.filter(F.col("fold") == k).select("fold", target, model.score().alias("score"))
+        for k, model in enumerate(models)
+    ]
+    areas = ordering.roc_auc(reduce(DataFrame.unionByName, scored), target, "score", ["fold"])
+    return areas.agg(
+        F.lit(n).alias("folds"), F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std")
     )
 
 
 def top_importances(trained: Trained, top: int = 15) -> DataFrame:
-    pairs = list(zip(trained.names, map(float, trained.model.featureImportances.toArray())))
+    """Mean gain per split of the features, the greatest first."""
     spark = trained.rows.sparkSession
     return (
-        spark.createDataFrame(pairs, "feature string, importance double")
+        spark.createDataFrame(trained.model.importances(), "feature string, importance double")
         .orderBy(F.desc("importance"), "feature")
         .limit(top)
     )
 
 
 def feature_effects(trained: Trained) -> DataFrame:
-    """How much, and in which direction, each feature moves the held-out scores.
-
-    A row's effect of a feature is its score minus the score with that feature at its median.
-    ``mean_effect`` is the mean size; ``direction`` the correlation of value and effect. All
-    features are tried in one pass; only one line per feature is shuffled.
-    """
-    spots = trained.test.select(vector_to_array("features").alias("x"))
-    columns = [f"x{j}" for j in range(len(trained.names))]
-    wide = materialize(
-        spots.select(*[F.col("x")[j].alias(c) for j, c in enumerate(columns)]), "effects"
-    )
-    medians = features.exact_medians(wide, columns)
-    centre = F.array(*[F.lit(medians[c] if medians[c] is not None else 0.0) for c in columns])
-    names = F.array(*[F.lit(n) for n in trained.names])
-    base = _score(trained, trained.test).select(
-        F.col("score").alias("base"), vector_to_array("features").alias("x")
-    )
-    tried = base.select("base", "x", F.posexplode("x").alias("j", "own")).withColumn(
-        "features",
-        array_to_vector(
-            F.transform("x", lambda v, i: F.when(i == F.col("j"), centre[i]).otherwise(v))
-        ),
-    )
-    effect = F.col("base") - F.col("score")
-    spread = F.stddev_pop("own") * F.stddev_pop(effect)
-    direction = F.coalesce(F.try_divide(F.covar_pop("own", effect), spread), F.lit(0.0))
-    return (
-        _score(trained, tried)
-        .groupBy(names[F.col("j")].alias("feature"))
-        .agg(
-            rounded(F.avg(F.abs(effect)), 6).alias("mean_effect"),
-            rounded(direction, 4).alias("direction"),
-        )
-        .orderBy(F.desc("mean_effect"), "feature")
+    """What each column is worth to the held-out scores, how much and which way it moves them."""
+    model = trained.model
+    worth = ordering.auc_worth if model.settings.classify else ordering.error_worth
+    found = ordering.permutation_importance(
+        trained.test, model.bins.inputs, trained.target, model.swapped, [KEY], worth
     )
+    return found.orderBy(F.desc("importance"), "feature")
 
 
-def _score(trained: Trained, rows: DataFrame) -> DataFrame:
-    """Probability of the positive class, or the predicted amount, as ``score``."""
-    scored = trained.model.transform(rows)
-    is_classifier = "probability" in scored.columns
-    value: Column = vector_to_array("probability")[1] if is_classifier else F.col("prediction")
-    return scored.withColumn("score", value)
+def rule_importance(rows: DataFrame, columns: tuple[str, ...], label: str, score) -> DataFrame:
+    """The same for a fixed rule: ``score`` gives the score from a function of column names."""
 
+    def scored(own: str, donor: str):
+        sides = [lambda c: F.col(f"{own}.{c}")]
+        for changed in columns:
+            sides.append(lambda c, changed=changed: F.col(f"{donor if c == changed else own}.{c}"))
+        return F.array(*[score(side) for side in sides])
 
-def report_row(values: dict[str, float], like: DataFrame) -> DataFrame:
-    """A one-row frame of named figures."""
-    kinds = ", ".join(f"{name} double" for name in values)
-    return like.sparkSession.createDataFrame([tuple(values.values())], kinds)
+    return ordering.permutation_importance(rows, columns, label, scored, [KEY], ordering.auc_worth)

@@ -23,6 +23,7 @@ from cartwright.plans import (
 )
 from cartwright.session import materialize, shared_folder
 from cartwright.sources import tables
+from cartwright.sources.reuse import Store
 from cartwright.sources.star import AS_OF, Star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +386,22 @@ def stored_recommendations(s: Star) -> DataFrame:
     return s.spark.read.parquet(path)
 
 
+@query
+def viewed_stg_orders(s: Star) -> DataFrame:
+    """Orders published as a view and read by SQL text; nothing is stored."""
+    name = f"stg_orders_{uuid.uuid4().hex}"
+    tables.publish_views({name: staging.orders(_clean(s, "orders_dataset"))})
+    return tables.run_sql(s.spark, f"select * from {name}")
+
+
+@query
+def stored_matrix(s: Star) -> DataFrame:
+    """Purchase counts by customer and category in their sparse form, stored and read again."""
+    path = _folder(s, "matrix")
+    recommend.matrix_cells(_purchases(s)).write.parquet(path)
+    return s.spark.read.parquet(path)
+
+
 @query
 def segments_by_sql(s: Star) -> DataFrame:
     """A stored mart, asked by SQL text."""
@@ -549,6 +566,12 @@ def one_hot(s: Star) -> DataFrame:
     return features.one_hot(frame, features.levels(frame))
 
 
+@query
+def feature_matrix(s: Star) -> DataFrame:
+    """What the models see, one row per value that is not 0, whatever the number of categories."""
+    return features.matrix_cells(_churn_frame(s), features.CHURN_FEATURES)
+
+
 @query
 def stratified_split(s: Star) -> DataFrame:
     frame = _churn_frame(s).select("customer_unique_id", features.CHURN_TARGET)
@@ -589,8 +612,7 @@ def classification_report(s: Star) -> DataFrame:
 @query
 def roc_auc(s: Star) -> DataFrame:
     scores = _rule_scores(s)
-    auc = models.roc_auc(scores, "is_churned", "recency_days")
-    return models.report_row({"auc": round(auc, 6)}, scores)
+    return models.roc_auc(scores, "is_churned", "recency_days")
 
 
 @query
@@ -599,16 +621,22 @@ def regression_report(s: Star) -> DataFrame:
     return models.regression_report(known, "total_revenue", "max_order_value")
 
 
-_TRAINED: dict[tuple[str, str, str], models.Trained] = {}
+MODEL_LIFETIME = 3600  # seconds
 
 
 def _trained(s: Star, kind: str) -> models.Trained:
-    """The fitted model of this session and folder; its queries share it."""
-    key = (s.spark.sparkContext.applicationId, s.folder, kind)
-    if key not in _TRAINED:
-        fit = models.train_churn if kind == "churn" else models.train_clv
-        _TRAINED[key] = fit(_metrics(s))
-    return _TRAINED[key]
+    """The fitted model and its rows, reused while the tables it was made from stay as they are."""
+    store, metrics = Store(s.spark), _metrics(s)
+    held: list[models.Trained] = []
+
+    def trained() -> models.Trained:
+        if not held:
+            held.append((models.train_churn if kind == "churn" else models.train_clv)(metrics))
+        return held[0]
+
+    rows = store.get(f"{kind}_rows", metrics, lambda: trained().rows, MODEL_LIFETIME)
+    model = store.get(f"{kind}_model", metrics, lambda: models.as_row(trained()), MODEL_LIFETIME)
+    return models.from_row(model, rows)
 
 
 def _churn_scores(s: Star) -> DataFrame:
@@ -641,6 +669,44 @@ def churn_model_quality(s: Star) -> DataFrame:
     return models.quality(_churn_scores(s))
 
 
+@query
+def churn_model_consistency(s: Star) -> DataFrame:
+    """Stored churn scores read again: their number, and how many break what must hold of them."""
+    path = tables.save_sorted(_churn_scores(s), _folder(s, "churn_scores"), "churn_probability")
+    stored = s.spark.read.parquet(path)
+    p = F.col("churn_probability")
+    decided = F.abs(p - 0.5) > 0.0001  # probabilities are rounded, decisions are not
+    counts = stored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~p.between(0, 1) | p.isNull()).alias("outside"),
+        F.count_if(decided & ((p > 0.5).cast("int") != F.col("predicted_churned"))).alias("undecided"),
+    )
+    return tables.with_order_breaks(counts, stored, "churn_probability")
+
+
+@query
+def clv_model_consistency(s: Star) -> DataFrame:
+    """The same of the stored amounts; errors must be the differences they claim to be."""
+    path = tables.save_sorted(models.clv_scores(_trained(s, "clv")), _folder(s, "clv_scores"), "predicted_revenue")
+    stored = s.spark.read.parquet(path)
+    gap = F.col("error") - (F.col("predicted_revenue") - F.col("actual_revenue"))
+    counts = stored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(gap) > 0.0151).alias("wrong_errors")
+    )
+    return tables.with_order_breaks(counts, stored, "predicted_revenue")
+
+
+@query
+def model_importance_totals(s: Star) -> DataFrame:
+    """Features of each model, and what their importances add up to."""
+    found = [
+        (kind, len(shares), round(sum(x for _, x in shares), 6), sum(x < 0 for _, x in shares))
+        for kind in ("churn", "clv")
+        for shares in [_trained(s, kind).model.importances()]
+    ]
+    return s.spark.createDataFrame(found, "model string, features int, total double, negative int")
+
+
 @query
 def churn_model_importances(s: Star) -> DataFrame:
     return models.top_importances(_trained(s, "churn"))
@@ -653,8 +719,29 @@ def churn_feature_effects(s: Star) -> DataFrame:
 
 @query
 def churn_cross_validation(s: Star) -> DataFrame:
-    rows, _ = models.churn_matrix(_metrics(s))
-    return models.cross_validate(rows)
+    return models.cross_validate(models.churn_rows(_metrics(s)))
+
+
+@query
+def churn_split_gains(s: Star) -> DataFrame:
+    """What every cut of every feature would gain at the root of the churn model."""
+    return models.churn_split_gains(_metrics(s))
+
+
+@query
+def rule_importance(s: Star) -> DataFrame:
+    """Permutation importance of the parts of a fixed rule, judged by churn."""
+    rows = _metrics(s).select(
+        "customer_unique_id",
+        "is_churned",
+        *[F.col(c).cast("double").alias(c) for c in ("recency_days", "total_items", "total_revenue")],
+    )
+    return models.rule_importance(
+        rows,
+        ("recency_days", "total_items", "total_revenue"),
+        "is_churned",
+        lambda c: c("recency_days") - 10 * c("total_items") - F.floor(c("total_revenue") / 1000),
+    )
 
 
 @query

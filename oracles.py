@@ -327,6 +327,8 @@ def sql(text: str) -> str:
     visit(text)
     if text.startswith("with_total"):
         text = ", " + text
+    if needed and text.lstrip().startswith("with "):  # the query's own frames follow
+        text = ", " + text.lstrip().removeprefix("with ")
     if needed:
         text = "with " + ",\n".join(f"{n} as ({CTES[n]})" for n in needed) + "\n" + text
     return _rounds(text)
@@ -764,6 +766,104 @@ QUERIES: dict[str, str] = {
                round(avg(is_churned) filter (not t), 6) as train,
                round(avg(is_churned) filter (t), 6) as test, count(*) filter (t) as test_rows
         from (select *, rn <= floor(n * 0.2 + 0.5) as t from marked)""",
+    "churn_split_gains": f"""
+        with train as (
+            select i.*, case when i.is_churned = 1 then 2.0 else 1.0 end as w
+            from (select * replace ({', '.join(f'coalesce({c}, (select median({c}) from churn_frame)) as {c}' for c in FEATURES)})
+                  from churn_frame) i
+            join marked m using (customer_unique_id)
+            where m.rn > floor(m.n * 0.2 + 0.5)
+        ), share as (select sum(w * is_churned) / sum(w) as p from train),
+        long as (
+            {' union all '.join(f"select '{c}' as feature, {c} as x, is_churned as y, w from train" for c in FEATURES)}
+        ), cuts as (
+            select distinct feature, unnest(quantile_disc(x, [{', '.join(str(k / 16) for k in range(1, 16))}])) as cut
+            from long group by feature
+        ), flags as (
+            select feature, 0.0 as cut, cast(customer_state = v as int) as x, is_churned as y, w
+            from train cross join (select v, 'customer_state_' || v as feature
+                                   from (select distinct customer_state as v from train)
+                                   where v > (select min(customer_state) from train))
+        ), sides as (
+            select feature, cut, x <= cut as l, y, w from cuts join long using (feature)
+            union all select feature, cut, x <= cut, y, w from flags
+        ), sums as (
+            select feature, cut,
+                   sum(w * (p - y)) filter (l) as gl, sum(w * p * (1 - p)) filter (l) as hl,
+                   sum(w * (p - y)) filter (not l) as gr, sum(w * p * (1 - p)) filter (not l) as hr
+            from sides, share group by feature, cut
+        )
+        select feature, cast(cut as double) as cut,
+               round(gl * gl / (hl + 1) + gr * gr / (hr + 1)
+                     - (gl + gr) * (gl + gr) / (hl + hr + 1), 3) as gain
+        from sums where hl >= 1 and hr >= 1""",
+    "viewed_stg_orders": "select * from clean_orders",
+    "stored_matrix": """
+        select customer_unique_id, product_category, cast(purchase_count as bigint) as purchase_count
+        from purchases where customer_unique_id is not null""",
+    "feature_matrix": " union all ".join(
+        f"""select customer_unique_id, '{c}' as feature,
+                   coalesce({c}, (select median({c}) from churn_frame)) as value
+            from churn_frame where coalesce({c}, (select median({c}) from churn_frame)) <> 0"""
+        for c in FEATURES
+    )
+    + """ union all select customer_unique_id, 'customer_state_' || customer_state, 1.0::double
+         from churn_frame where customer_state <> (select min(customer_state) from churn_frame)""",
+    "churn_model_consistency": """
+        select count(*) as rows, 0::bigint as outside, 0::bigint as undecided, 0::bigint as out_of_order
+        from marked where rn <= floor(n * 0.2 + 0.5)""",
+    "clv_model_consistency": """
+        select cast(floor(count(*) * 0.2 + 0.5) as bigint) as rows, 0::bigint as wrong_errors,
+               0::bigint as out_of_order
+        from metrics where total_revenue > 0""",
+    "model_importance_totals": f"""
+        select 'churn' as model, cast({len(FEATURES)} + count(distinct customer_state) - 1 as integer) as features,
+               1.0::double as total, 0::integer as negative
+        from churn_frame join marked using (customer_unique_id) where rn > floor(n * 0.2 + 0.5)
+        union all
+        select 'clv', cast(11 + count(distinct customer_state) - 1 as integer), 1.0::double, 0::integer
+        from (select customer_state, row_number() over (order by md5(customer_unique_id || '#42')) as rn,
+                     count(*) over () as n from metrics where total_revenue > 0)
+        where rn > floor(n * 0.2 + 0.5)""",
+    "rule_importance": """
+        with numbered as (
+            select row_number() over (order by customer_unique_id) - 1 as i, is_churned as y,
+                   cast(recency_days as double) as a, cast(total_items as double) as b,
+                   cast(total_revenue as double) as c
+            from metrics
+        ), step as (
+            select n, (select min(k) from range(cast(floor(n * 0.6180339887) as bigint) + 1, 2 * n + 2) t(k)
+                       where gcd(k, n) = 1) as f
+            from (select count(*) as n from numbered)
+        ), met as (
+            select own.*, d.a as a2, d.b as b2, d.c as c2
+            from numbered d, step join numbered own on own.i = (d.i * f + 42 % n) % n
+        ), scored as (
+            select y, a, b, c, a2, b2, c2, a - 10 * b - floor(c / 1000) as s,
+                   a2 - 10 * b - floor(c / 1000) as sa, a - 10 * b2 - floor(c / 1000) as sb,
+                   a - 10 * b - floor(c2 / 1000) as sc
+            from met
+        ), tried as (
+            select '' as feature, y, s, 0.0 as change, 0.0 as moved from scored
+            union all select 'recency_days', y, sa, sa - s, a2 - a from scored
+            union all select 'total_items', y, sb, sb - s, b2 - b from scored
+            union all select 'total_revenue', y, sc, sc - s, c2 - c from scored
+        ), ties as (
+            select feature, s, count(*) filter (y = 1) as p, count(*) filter (y = 0) as q
+            from tried where s is not null group by feature, s
+        ), areas as (
+            select feature, sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) as auc
+            from (select *, sum(q) over (partition by feature order by s) - q as below from ties)
+            group by feature
+        )
+        select feature, round(base - auc, 6) as importance, round(size, 6) as mean_effect,
+               round(coalesce(way, 0.0), 4) as direction
+        from areas
+        join (select feature, avg(abs(change)) as size,
+                     covar_pop(moved, change) / nullif(stddev_pop(moved) * stddev_pop(change), 0) as way
+              from tried group by feature) e using (feature),
+             (select auc as base from areas where feature = '') b
+        where feature <> ''""",
     "revenue_stats": """
         select round(avg(v), 2) as mean_revenue, round(median(v), 2) as median_revenue,
                round(max(v), 2) as max_revenue

@@ -1,5 +1,7 @@
 import random
 
+from dataclasses import replace
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -66,11 +68,12 @@ def test_summary_and_rates(metrics):
 
 
 def test_churn_model_separates_and_reports(metrics):
-    trained = models.train_churn(metrics, models.CHURN.with_trees(4))
+    trained = models.train_churn(metrics, replace(models.CHURN, trees=30))
     scores = models.churn_scores(trained).cache()
     assert scores.columns == ["customer_unique_id", "actual_churned", "predicted_churned",
                               "churn_probability"]
-    assert models.roc_auc(scores, "actual_churned", "churn_probability") == 1.0
+    assert models.roc_auc(scores, "actual_churned", "churn_probability").first()["auc"] == 1.0
+    assert models.quality(scores).first()["auc"] == 1.0
     cells = {(r["actual"], r["predicted"]): r["rows"] for r in
              models.confusion_matrix(scores, "actual_churned", "predicted_churned").collect()}
     assert cells[0, 1] == cells[1, 0] == 0 and sum(cells.values()) == scores.count()
@@ -78,18 +81,22 @@ def test_churn_model_separates_and_reports(metrics):
     assert tuple(report) == (1.0, 1.0, 1.0)
     assert models.top_importances(trained, 3).first()["feature"] == "total_orders"
     effects = models.feature_effects(trained).collect()
-    assert len(effects) == len(features.CHURN_FEATURES) + 2
+    assert [e["feature"] for e in effects].count(features.CATEGORY) == 1
+    assert len(effects) == len(features.CHURN_FEATURES) + 1
     assert effects[0]["feature"] == "total_orders" and effects[0]["direction"] < 0
+    assert effects[0]["importance"] > 0.1 >= abs(effects[-1]["importance"])
+    held = models.from_row(models.as_row(trained), trained.rows)
+    assert rows(models.churn_scores(held)) == rows(scores)
 
 
 def test_cross_validation(metrics):
-    rows_, _ = models.churn_matrix(metrics)
-    got = models.cross_validate(rows_, models.CHURN.with_trees(2), 3).first()
+    marked = models.churn_rows(metrics)
+    got = models.cross_validate(marked, replace(models.CHURN, trees=20), 3).first()
     assert got["folds"] == 3 and got["auc_mean"] == 1.0 and got["auc_std"] == 0.0
 
 
 def test_revenue_model(metrics):
-    trained = models.train_clv(metrics, models.CLV.with_trees(15))
+    trained = models.train_clv(metrics, replace(models.CLV, trees=60))
     scores = models.clv_scores(trained).cache()
     assert scores.count() == 48
     one = scores.first()
@@ -102,4 +109,4 @@ def test_reports_on_hand_made_scores(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 3.0)], "y double, p double")
     assert tuple(models.regression_report(df, "y", "p").first()) == (1.0, 1.29, 0.375)
     ranked = spark.createDataFrame([(1, 0.9), (0, 0.9), (0, 0.1), (1, 0.5)], "y int, s double")
-    assert models.roc_auc(ranked, "y", "s") == pytest.approx(0.625)
+    assert models.roc_auc(ranked, "y", "s").first()["auc"] == pytest.approx(0.625)
