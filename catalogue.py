@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.functions.dates import elapsed_days
-from cartwright.operators import quality
+from cartwright.operators import hyperplane, quality
 from cartwright.plans import (
     cohorts,
     enriched,
@@ -464,6 +464,12 @@ def similar_customers_pruned(s: Star) -> DataFrame:
     return recommend.similar_customers(lists)
 
 
+@query
+def similar_customers_sparse(s: Star) -> DataFrame:
+    """The same lists from the filled cells alone, by inverted lists."""
+    return recommend.similar_by_cells(_purchases(s))
+
+
 @query
 def recommendations(s: Star) -> DataFrame:
     vectors, categories = recommend.prepared(_purchases(s))
@@ -520,6 +526,35 @@ def vector_topk(s: Star) -> DataFrame:
     return insights.nearest_others(vectors, 3)
 
 
+def _vectors(s: Star) -> DataFrame:
+    vec = F.col("embedding").cast("array<double>").alias("vec")
+    return materialize(s.table("embeddings").select(F.col("vec_id").alias("id"), vec), "vectors")
+
+
+@query
+def probed_topk_quality(s: Star) -> DataFrame:
+    """The search by signatures against the exact one: vectors asked for, results whose score is not
+    the true similarity, and whether nine in ten of the true results are found."""
+    vectors = _vectors(s)
+    found = materialize(hyperplane.nearest_others(vectors, 3), "probed")
+    sides = [vectors.select(F.col("id").alias(i), F.col("vec").alias(v)) for i, v in (("id", "a"), ("neighbour", "b"))]
+    dot, aa, bb = (
+        F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+        for x, y in (("a", "b"), ("a", "a"), ("b", "b"))
+    )
+    true = dot / F.sqrt(aa * bb)
+    wrong = found.join(sides[0], "id").join(sides[1], "neighbour").agg(
+        F.countDistinct("id").alias("queries"),
+        F.count_if(F.abs(true - F.col("similarity")) > 1e-9).alias("wrong_scores"),
+    )
+    exact = insights.nearest_others(vectors.select("id", F.col("vec").alias("embedding")), 3)
+    same = exact.select(F.col("vec_id").alias("id"), F.col("neighbour_id").alias("neighbour"))
+    hits = same.join(found.withColumn("hit", F.lit(1)), ["id", "neighbour"], "left")
+    recall = hits.agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+    one = F.lit(1).alias("one")
+    return wrong.select("*", one).join(recall.select("*", one), "one").drop("one")
+
+
 def _retrieved(s: Star) -> DataFrame:
     documents = s.table("documents").select(F.col("doc_id").alias("id"), "text")
     questions = s.table("benchmark").select(F.col("item_id").alias("id"), "text")

