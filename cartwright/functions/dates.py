@@ -28,6 +28,16 @@ def months_apart(first: Column, later: Column) -> Column:
     return (F.year(later) - F.year(first)) * 12 + (F.month(later) - F.month(first))
 
 
+def month_number(c: Column) -> Column:
+    """Months since January of the year 0, as a whole number."""
+    return F.year(c) * 12 + F.month(c) - 1
+
+
+def month_of(number: Column) -> Column:
+    """The first day of the month of that number."""
+    return F.make_date(F.floor(number / 12).cast("int"), F.pmod(number, F.lit(12)).cast("int") + 1, F.lit(1))
+
+
 def month_label(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 

@@ -8,28 +8,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwright.functions.arithmetic import rounded
-from cartwright.functions.dates import month_label, month_start, months_apart
+from cartwright.functions.dates import month_label, month_number, month_of
 
 
-def cohort_activity(facts: DataFrame) -> DataFrame:
+WORD = 62  # months of one whole number
+MOST_WORDS = 32  # beyond some 165 years of months, sets of them instead of bits
+
+
+def cohort_activity(facts: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
     """Active customers per (cohort month, months since).
 
-    Orders shrink to one row per customer and month first, map-side, so the window that finds a
-    customer's first month sees at most one row per month however many orders there are. Orders
-    without a known customer belong to no cohort.
+    The months a customer ordered in are bits of a few whole numbers, put together map-side, so a
+    customer is one row in the only shuffle of customers, however many orders there are. First
+    month and periods are read from the bits. ``span`` gives the first and last month number that
+    may occur (see :func:`month_span`); without it the facts are asked first. Orders without a
+    known customer belong to no cohort.
     """
-    months = (
-        facts.filter((F.col("status") == "delivered") & F.col("customer_unique_id").isNotNull())
-        .select("customer_unique_id", month_start(F.col("purchased_at")).alias("order_month"))
-        .distinct()
+    months = facts.filter((F.col("status") == "delivered") & F.col("customer_unique_id").isNotNull()).select(
+        "customer_unique_id", month_number(F.col("purchased_at")).alias("month")
     )
-    first = F.min("order_month").over(Window.partitionBy("customer_unique_id"))
+    months = months.filter(F.col("month").isNotNull())
+    low, high = span or months.agg(F.min("month"), F.max("month")).first()
+    low, high = low or 0, high or 0
+    words = (high - low) // WORD + 1
+    places = _month_bits(months, low, words) if words <= MOST_WORDS else _month_sets(months, low)
+    first = F.array_min("places")
     return (
-        months.withColumn("cohort_month", first)
-        .withColumn("period", months_apart(F.col("cohort_month"), F.col("order_month")))
-        .filter(F.col("period").isNotNull())
-        .groupBy("cohort_month", "period")
+        places.select(first.alias("first"), F.explode(F.transform("places", lambda p: p - first)).alias("period"))
+        .groupBy("first", "period")
         .agg(F.count("*").alias("customers"))
+        .select(month_of(F.col("first") + F.lit(low)).alias("cohort_month"), "period", "customers")
+    )
+
+
+def month_span(orders: DataFrame) -> tuple[int, int] | None:
+    """First and last month number of the orders, from one column alone; None without orders."""
+    month = month_number(F.col("purchased_at"))
+    found = orders.agg(F.min(month), F.max(month)).first()
+    return None if found[0] is None else tuple(found)
+
+
+def _month_bits(months: DataFrame, low: int, words: int) -> DataFrame:
+    """``places``: the months of each customer, counted from ``low``, by bits."""
+    at = F.col("month") - F.lit(low)
+    placed = months.select(
+        "customer_unique_id",
+        F.floor(at / WORD).cast("int").alias("word"),
+        F.expr(f"shiftleft(1L, cast(pmod(month - {low}, {WORD}) as int))").alias("bit"),
+    )
+    merged = placed.groupBy("customer_unique_id").agg(
+        *[F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)]
+    )
+    held = [
+        F.expr(f"transform(filter(sequence(0, {WORD - 1}), i -> getbit(w{w}, i) = 1), i -> i + {w * WORD})")
+        for w in range(words)
+    ]
+    return merged.select(F.concat(*held).alias("places"))
+
+
+def _month_sets(months: DataFrame, low: int) -> DataFrame:
+    """The same by sets of months, for dates that lie very far apart."""
+    return months.groupBy("customer_unique_id").agg(
+        F.sort_array(F.collect_set(F.col("month") - F.lit(low))).alias("places")
     )
 
 

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwright.session import shared_folder
+from cartwright.sources import files
 
 LIFETIME = 300  # fixed value: seconds that a result is reused by default
 MANIFEST = "manifest.json"
@@ -34,23 +35,19 @@ class Store:
         self.folder = folder or f"{shared_folder(spark)}/reused"
         self.now = now
 
-    def _at(self, path: str) -> tuple:
-        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
     def _inputs(self, source: DataFrame) -> list[tuple[str, int, int]]:
         """Name, size and time of every file the source reads; folders are listed once each."""
         names = set(source.inputFiles())
         folders = {name.rsplit("/", 1)[0] for name in names}
         found = {}
         for folder in sorted(folders):
-            path, system = self._at(folder)
+            path, system = files.located(self.spark, folder)
             for status in system.listStatus(path):
                 found[status.getPath().getName(), folder] = (status.getLen(), status.getModificationTime())
         out = []
         for name in sorted(names):
             folder, last = name.rsplit("/", 1)
-            plain = self._at(name)[0].getName()
+            plain = files.located(self.spark, name)[0].getName()
             out.append((name, *found.get((plain, folder), found.get((last, folder), (-1, -1)))))
         return out
 
@@ -60,30 +57,10 @@ class Store:
         return f"{label}-{hashlib.sha256(parts.encode()).hexdigest()[:32]}"
 
     def _manifest(self, entry: str) -> dict | None:
-        path, system = self._at(f"{self.folder}/{entry}/{MANIFEST}")
-        if not system.exists(path):
-            return None
-        stream = system.open(path)
-        try:
-            reader = self.spark._jvm.org.apache.commons.io.IOUtils
-            return json.loads(reader.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, entry: str, manifest: dict) -> None:
-        """Write the manifest beside its place and rename it there, so readers see all or nothing."""
-        draft, system = self._at(f"{self.folder}/{entry}/.{uuid.uuid4().hex}")
-        stream = system.create(draft, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        place, _ = self._at(f"{self.folder}/{entry}/{MANIFEST}")
-        if system.exists(place):
-            system.delete(place, False)
-        system.rename(draft, place)
+        return files.read_json(self.spark, f"{self.folder}/{entry}/{MANIFEST}")
 
     def _delete(self, path: str) -> None:
-        at, system = self._at(path)
-        system.delete(at, True)
+        files.delete(self.spark, path)
 
     def get(
         self, label: str, source: DataFrame, build: Callable[[], DataFrame], lifetime: float = LIFETIME
@@ -98,12 +75,12 @@ class Store:
             part = uuid.uuid4().hex
             made.write.parquet(f"{self.folder}/{entry}/{part}")
             manifest = {"part": part, "until": self.now() + lifetime, "schema": made.schema.json()}
-            self._publish(entry, manifest)
+            files.replace_json(self.spark, f"{self.folder}/{entry}/{MANIFEST}", manifest)
         return self.spark.read.parquet(f"{self.folder}/{entry}/{manifest['part']}")
 
     def entries(self) -> dict[str, float]:
         """Finished entries, and until when they hold."""
-        path, system = self._at(self.folder)
+        path, system = files.located(self.spark, self.folder)
         if not system.exists(path):
             return {}
         names = [s.getPath().getName() for s in system.listStatus(path)]

@@ -25,6 +25,7 @@ from cartwright.session import materialize, shared_folder
 from cartwright.sources import tables
 from cartwright.sources.reuse import Store
 from cartwright.sources.star import AS_OF, Star
+from cartwright.sources.versions import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -299,25 +300,29 @@ def event_day_gaps(s: Star) -> DataFrame:
 # ---- cohorts --------------------------------------------------------------------------------
 
 
+def _activity(s: Star) -> DataFrame:
+    return cohorts.cohort_activity(_facts(s), cohorts.month_span(s.orders))
+
+
 @query
 def cohort_activity(s: Star) -> DataFrame:
-    return cohorts.cohort_activity(_facts(s))
+    return _activity(s)
 
 
 @query
 def cohort_matrix(s: Star) -> DataFrame:
-    activity = materialize(cohorts.cohort_activity(_facts(s)), "activity")
+    activity = materialize(_activity(s), "activity")
     return cohorts.matrix_cells(activity, values="customers")
 
 
 @query
 def retention_pct(s: Star) -> DataFrame:
-    return cohorts.retention(cohorts.cohort_activity(_facts(s)))
+    return cohorts.retention(_activity(s))
 
 
 @query
 def retention_insight(s: Star) -> DataFrame:
-    return cohorts.retention_insight(cohorts.retention(cohorts.cohort_activity(_facts(s))))
+    return cohorts.retention_insight(cohorts.retention(_activity(s)))
 
 
 # ---- data quality ---------------------------------------------------------------------------
@@ -414,6 +419,22 @@ def segments_by_sql(s: Star) -> DataFrame:
     return result
 
 
+@query
+def segments_of_versions(s: Star) -> DataFrame:
+    """A mart stored, replaced by a newer version and asked by name, before and after."""
+    held = VersionedTable(s.spark, _folder(s, "versions"))
+    name = f"segments_{uuid.uuid4().hex}"
+    old = held.replace(_dim(s).select("customer_unique_id", F.lit("older").alias("customer_segment")))
+    held.publish(name)
+    held.replace(_dim(s).select("customer_unique_id", "customer_segment"))
+    held.publish(name)
+    newer = tables.run_sql(s.spark, f"select customer_segment, count(*) as customers from {name} group by all")
+    before = old.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("customers"))  # still there
+    found = materialize(newer.unionByName(before), "segments")
+    s.spark.sql(f"drop table {name}")
+    return found
+
+
 # ---- recommender ----------------------------------------------------------------------------
 
 

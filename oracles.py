@@ -908,6 +908,9 @@ QUERIES |= {
     "registered_stg_orders": QUERIES["stg_orders"],
     "stored_embedding": QUERIES["hash_embedding"],
     "stored_recommendations": QUERIES["recommendations"],
+    "segments_of_versions": """
+        select customer_segment, count(*) as customers from dim group by all
+        union all select 'older', count(*) from dim""",
     "segments_by_sql": "select customer_segment, count(*) as customers from dim group by all",
 }
 
