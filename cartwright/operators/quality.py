@@ -6,10 +6,10 @@ required columns, timestamps, numbers. Nothing is collected; the report is a fra
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cartwright.functions.text import as_number, normalised
@@ -50,42 +50,75 @@ def clean_all(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: clean(df, name) for name, df in raw.items()}
 
 
-def quality_report(raw: DataFrame, table: str) -> DataFrame:
-    """Rows before and after cleaning and one count per kind of issue, in one pass.
-
-    Grouping by the whole row gives the copies of each, so every count comes from one shuffle.
-    """
-    spec = RAW_TABLES[table]
-    rows = (
+def _judged(raw: DataFrame, spec: RawTable) -> DataFrame:
+    """The distinct normalised rows, how many copies there are of each, and whether it stays."""
+    return (
         _normalise(raw, spec)
         .groupBy(*spec.columns)
         .agg(F.count("*").alias("copies"))
         .withColumn("kept", _complete(spec))
     )
 
+
+def _counts(spec: RawTable) -> dict[str, Column]:
+    """Aggregates over judged rows: every line of the report."""
+
     def among_kept(tests: list[Column]) -> Column:
         hits = reduce(lambda a, b: a + b, [t.cast("int") for t in tests], F.lit(0))
         return F.coalesce(F.sum(F.when(F.col("kept"), hits)), F.lit(0)).cast("bigint")
 
     zero = F.lit(0)
-    counts = rows.agg(
-        F.coalesce(F.sum("copies"), zero).alias("rows_before"),
-        F.coalesce(F.sum(F.col("copies") - 1), zero).alias("duplicate_rows_removed"),
-        F.count_if(~F.col("kept")).alias("required_rows_dropped"),
-        among_kept([F.col(c).isNull() for c in spec.timestamps]).alias("blank_timestamps"),
-        among_kept([_invalid(c) for c in spec.numbers]).alias("invalid_numbers"),
-        F.count_if("kept").alias("rows_after"),
-    )
-    labels = {"rows_before": "rows before", **ISSUES, "rows_after": "rows after"}
+    return {
+        "rows_before": F.coalesce(F.sum("copies"), zero),
+        "duplicate_rows_removed": F.coalesce(F.sum(F.col("copies") - 1), zero),
+        "required_rows_dropped": F.count_if(~F.col("kept")),
+        "blank_timestamps": among_kept([F.col(c).isNull() for c in spec.timestamps]),
+        "invalid_numbers": among_kept([_invalid(c) for c in spec.numbers]),
+        "rows_after": F.count_if("kept"),
+    }
+
+
+LABELS = {"rows_before": "rows before", **ISSUES, "rows_after": "rows after"}
+
+
+def quality_report(raw: DataFrame, table: str) -> DataFrame:
+    """Rows before and after cleaning and one count per kind of issue, in one pass.
+
+    Grouping by the whole row gives the copies of each, so every count comes from one shuffle.
+    """
+    spec = RAW_TABLES[table]
+    counts = _judged(raw, spec).agg(*[c.alias(name) for name, c in _counts(spec).items()])
     lines = F.array(
         *[
             F.struct(F.lit(text).alias("measure"), F.col(c).cast("bigint").alias("count"))
-            for c, text in labels.items()
+            for c, text in LABELS.items()
         ]
     )
     return counts.select(F.lit(table).alias("table"), F.inline(lines))
 
 
+def clean_and_report(
+    raw: Mapping[str, DataFrame], store: Callable[[DataFrame, str], object]
+) -> DataFrame:
+    """Clean every table, hand it to ``store(frame, name)``, which writes it, and report on all.
+
+    The counts are observed while the rows are written, so each table is read and shuffled once for
+    both. They are taken in the last stage, whose tasks count once however often they are retried.
+    """
+    lines = []
+    for name, df in raw.items():
+        spec = RAW_TABLES[name]
+        seen = Observation(f"quality of {name}")
+        judged = _judged(df, spec).observe(seen, *[c.alias(k) for k, c in _counts(spec).items()])
+        rows = judged.filter("kept").select(*spec.columns)
+        store(rows.withColumns({c: F.when(~_invalid(c), F.col(c)) for c in spec.numbers}), name)
+        lines += [(name, text, int(seen.get[k])) for k, text in LABELS.items()]
+    issues = sum(n for _, text, n in lines if text in ISSUES.values())
+    lines.append(("all tables", "total issues fixed", issues))
+    spark = next(iter(raw.values())).sparkSession
+    return spark.createDataFrame(lines, "table string, measure string, count bigint")
+
+
 def quality_reports(raw: Mapping[str, DataFrame]) -> DataFrame:
     """The reports of all tables, plus the total number of issues fixed, in the same pass."""
     reports = reduce(

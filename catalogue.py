@@ -333,6 +333,13 @@ def quality_report(s: Star) -> DataFrame:
     return quality.quality_reports(s.raw_tables)
 
 
+@query
+def observed_quality_report(s: Star) -> DataFrame:
+    """The same report, counted while the cleaned tables are written."""
+    base = _folder(s, "cleaned")
+    return quality.clean_and_report(s.raw_tables, lambda df, name: df.write.parquet(f"{base}/{name}"))
+
+
 @query
 def constraint_violations(s: Star) -> DataFrame:
     staged = staging.all_staged(quality.clean_all(s.raw_tables))
@@ -365,7 +372,9 @@ def registered_stg_orders(s: Star) -> DataFrame:
     tables.land_csv(s.raw("orders_dataset"), base, "orders_dataset")
     tables.register_raw(s.spark, base, database)
     raw = tables.run_sql(s.spark, f"select * from {database}.orders_dataset")
-    return staging.orders(quality.clean(raw, "orders_dataset"))
+    staged = materialize(staging.orders(quality.clean(raw, "orders_dataset")), "registered")
+    s.spark.sql(f"drop database {database} cascade")
+    return staged
 
 
 @query
@@ -416,7 +425,10 @@ def segments_by_sql(s: Star) -> DataFrame:
     result, note = tables.try_sql(s.spark, text)
     if result is None:
         raise RuntimeError(note)
-    return result
+    found = materialize(result, "segments")
+    result.unpersist()
+    s.spark.sql(f"drop table {name}")
+    return found
 
 
 @query

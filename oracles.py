@@ -914,6 +914,8 @@ QUERIES |= {
     "segments_by_sql": "select customer_segment, count(*) as customers from dim group by all",
 }
 
+QUERIES["observed_quality_report"] = QUERIES["quality_report"]
+
 # Who a model is judged on is exact, whatever the model says.
 QUERIES |= {
     "churn_model_heldout": """

@@ -218,3 +218,20 @@ def test_copies_are_deleted_on_release(spark, tmp_path, monkeypatch):
     assert len(list(folder.glob("copy-*"))) == 1
     session.release(spark)
     assert not folder.exists()
+
+
+def test_cleaning_and_report_of_one_pass(spark):
+    raw = items(spark)
+    stored = {}
+
+    def store(df, name):
+        stored[name] = df.collect()
+
+    both = {"order_items_dataset": raw}
+    report = quality.clean_and_report(both, store)
+    assert rows(report) == rows(quality.quality_reports(both))
+    assert sorted(map(tuple, stored["order_items_dataset"]), key=repr) == rows(
+        quality.clean(raw, "order_items_dataset")
+    )
+    empty = {"order_items_dataset": raw.limit(0)}
+    assert rows(quality.clean_and_report(empty, store)) == rows(quality.quality_reports(empty))
