@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import base64
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartwright.llm.memory import give_back
+
 MAX_TRANSITIONS = 150_000
 MAX_PAIRS = 150_000
 MAX_KNOWN = 1_000_000  # pairs of tokens, 9 bytes each, that outlast a call
@@ -45,8 +47,9 @@ ROOT = 0
 NEVER = 1 << 60
 
 NONE = -1
+UNKNOWN = -2
 LONG_PIECE = 512
-SLICE_BYTES = 1 << 21  # of texts that are encoded together
+SLICE_BYTES = 1 << 20  # of texts that are encoded together
 State = tuple  # ((token before, tree node), ...): live configurations, the oldest first
 
 
@@ -61,8 +64,11 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self._split: dict[int, tuple[int, int] | None] = {}
+        self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        # the two tokens whose merge makes each; UNKNOWN until asked for, NONE if there are none
+        self._parts = np.full((len(self.bytes_of), 2), UNKNOWN, np.int32)
         self._edges: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
         self.known_apart: dict[int, bool] = {}
 
@@ -72,22 +78,24 @@ class Merges:
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte or an unreachable token."""
-        if token not in self._split:
-            data, found = self.bytes_of[token], None
-            parts = [self.ranks[data[i : i + 1]] for i in range(len(data))]
-            while len(parts) > 1:
-                options = [
-                    (self.ranks.get(self.bytes_of[a] + self.bytes_of[b], NEVER), i)
-                    for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))
-                ]
-                rank, i = min(options)
-                if rank == NEVER:
-                    found = None
-                    break
-                found = (parts[i], parts[i + 1])
-                parts[i : i + 2] = [rank]
-            self._split[token] = found
-        return self._split[token]
+        left, right = self._parts[token].tolist()
+        if left == UNKNOWN:
+            left, right = self._parts[token] = self._merged(self.bytes_of[token])
+        return None if left == NONE else (left, right)
+
+    def _merged(self, data: bytes) -> tuple[int, int]:
+        """The last merge of the bytes of a token, (NONE, NONE) if they don't come together."""
+        parts, last = [self.ranks[data[i : i + 1]] for i in range(len(data))], (NONE, NONE)
+        while len(parts) > 1:
+            rank, i = min(
+                (self.ranks.get(self.bytes_of[a] + self.bytes_of[b], NEVER), i)
+                for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))
+            )
+            if rank == NEVER:
+                return NONE, NONE
+            last = (parts[i], parts[i + 1])
+            parts[i : i + 2] = [rank]
+        return last
 
     def reachable(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
@@ -137,25 +145,36 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
-        self.child: dict[int, int] = {}  # by node << 8 | byte
-        self.token_at: dict[int, int] = {}
-        self.depth = [0]  # of each node
+        child: dict[int, int] = {}  # by node << 8 | byte
+        depth, token_at = [0], {}
         for token, rank in ranks.items():
             if not self.merges.reachable(rank):
                 continue
             node = ROOT
             for byte in token:
-                following = self.child.get(node << 8 | byte)
+                following = child.get(node << 8 | byte)
                 if following is None:
-                    following = self.child[node << 8 | byte] = len(self.depth)
-                    self.depth.append(self.depth[node] + 1)
+                    following = child[node << 8 | byte] = len(depth)
+                    depth.append(depth[node] + 1)
                 node = following
-            self.token_at[node] = rank
-        self.inner = {at >> 8 for at in self.child}  # nodes that lead on
-        self.lookahead = max(self.depth)
-        self.length = {rank: len(token) for token, rank in ranks.items()}
+            token_at[node] = rank
+        # arrays from here on: a worker keeps them for long
+        self.edges = np.array([*sorted(child), 1 << 62], np.int64)
+        self.kids = np.array([child[k] for k in self.edges[:-1].tolist()] + [NONE], np.int32)
+        self.depth = np.array(depth, np.int32)
+        self.token_at = np.full(len(depth), NONE, np.int32)
+        self.token_at[list(token_at)] = list(token_at.values())
+        self.inner = np.zeros(len(depth), bool)  # nodes that lead on
+        self.inner[self.edges[:-1] >> 8] = True
+        self.lookahead = int(self.depth.max())
+        self.length = np.fromiter(map(len, self.merges.bytes_of), np.int32)
         self.restart()
 
+    def child(self, node: int, byte: int) -> int:
+        at = node << 8 | byte
+        edge = int(np.searchsorted(self.edges, at))
+        return int(self.kids[edge]) if self.edges[edge] == at else NONE
+
     def restart(self) -> None:
         self.states: list[State] = []
         self.number: dict[State, int] = {}
@@ -173,13 +192,13 @@ class Transducer:
         """The next state, and the token that ends here in the encoding of all bytes so far."""
         live, ended = [], NONE
         for before, node in state:
-            node = self.child.get(node << 8 | byte)
-            if node is None:
+            node = self.child(node, byte)
+            if node == NONE:
                 continue
-            if node in self.inner:
+            if self.inner[node]:
                 live.append((before, node))
-            token = self.token_at.get(node)
-            if token is not None and ended == NONE:
+            token = int(self.token_at[node])
+            if token != NONE and ended == NONE:
                 if before == NONE or self.merges.apart(before, token):
                     ended = token
         live.append((ended, ROOT))
@@ -199,7 +218,7 @@ class Transducer:
         path = []
         while stop > 0:
             path.append(ends[stop - 1])
-            stop -= self.length[path[-1]]
+            stop -= int(self.length[path[-1]])
         path.reverse()
         return path
 
@@ -211,7 +230,7 @@ class Transducer:
             ends.append(ended)
             if len(ends) >= 4 * self.lookahead:
                 paths = [
-                    self._path(ends, len(ends) - self.depth[node])
+                    self._path(ends, len(ends) - int(self.depth[node]))
                     for _, node in self.states[state]
                 ]
                 sure = []
@@ -220,7 +239,7 @@ class Transducer:
                         break
                     sure.append(tokens[0])
                 yield from sure
-                del ends[: sum(self.length[t] for t in sure)]
+                del ends[: sum(int(self.length[t]) for t in sure)]
         yield from self._path(ends, len(ends))
 
     def encode(self, piece: bytes) -> list[int]:
@@ -234,15 +253,8 @@ class Lockstep:
 
     def __init__(self, transducer: Transducer):
         self.merges = transducer.merges
-        at = np.array(sorted(transducer.child), np.int64)
-        self.edges = np.append(at, np.int64(1) << 62)  # by node << 8 | byte, ascending
-        self.kids = np.array([transducer.child[k] for k in at.tolist()] + [NONE], np.int64)
-        self.token_at = np.full(len(transducer.depth), NONE, np.int64)
-        self.token_at[list(transducer.token_at)] = list(transducer.token_at.values())
-        self.inner = np.zeros(len(transducer.depth), bool)
-        self.inner[list(transducer.inner)] = True
-        self.length = np.zeros(max(transducer.length) + 1, np.int64)
-        self.length[list(transducer.length)] = list(transducer.length.values())
+        self.edges, self.kids = transducer.edges, transducer.kids
+        self.token_at, self.inner, self.length = transducer.token_at, transducer.inner, transducer.length
         self._forget_pairs()
 
     def _apart(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -287,8 +299,8 @@ class Lockstep:
             step = node[config] << 8 | (moves & 255)[move]
             edge = np.searchsorted(self.edges, step)
             live = np.flatnonzero(self.edges[edge] == step)
-            move, before, node = move[live], before[config[live]], self.kids[edge[live]]
-            token = self.token_at[node]
+            move, before, node = move[live], before[config[live]], self.kids[edge[live]].astype(np.int64)
+            token = self.token_at[node].astype(np.int64)
             whole = np.flatnonzero(token != NONE)
             whole = whole[self._apart(before[whole], token[whole])]
             ended = np.full(len(moves), NONE, np.int64)
@@ -357,6 +369,7 @@ class Encoder:
         """Give back what texts have taught, so that a waiting worker holds the vocabulary only."""
         self.transducer.merges.forget()
         self.transducer.restart()
+        give_back()
 
     def _numbered(self, text: str, numbers: _Numbers) -> np.ndarray:
         if len(text) > SLICE_BYTES:  # its pieces needn't all stand side by side
@@ -425,7 +438,7 @@ class Utf8Stream:
     between characters, ``moves`` for the few others.
     """
 
-    def __init__(self, vocabulary: dict[int, bytes], tables: tuple[dict, dict] | None = None):
+    def __init__(self, vocabulary: Sequence[bytes] | dict[int, bytes], tables: tuple[dict, dict] | None = None):
         self.vocabulary = vocabulary
         self.whole, self.moves = tables or ({}, {})
         self.held = b""
@@ -438,11 +451,12 @@ class Utf8Stream:
                 text, state = utf8_step(state, byte)
                 out.append(text)
             move = ("".join(out), state)
-            if len(self.moves) >= MAX_TRANSITIONS:
-                self.moves.clear()
-            self.moves[held, token] = move
             if not held and not state:
                 self.whole[token] = move[0]
+            else:
+                if len(self.moves) >= MAX_TRANSITIONS:
+                    self.moves.clear()
+                self.moves[held, token] = move
         return move
 
     def feed(self, tokens: list[int]) -> str:
@@ -469,13 +483,20 @@ class Utf8Stream:
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
     encoder = Encoder(read_ranks(path), pattern)
+    gc.collect()
     gc.freeze()  # the vocabulary stays: the collector need not walk it again
     return encoder
 
 
 @lru_cache(maxsize=2)
-def _vocabulary(path: str) -> tuple[dict[int, bytes], tuple[dict, dict]]:
-    return {rank: token for token, rank in read_ranks(path).items()}, ({}, {})
+def _decoding(path: str, pattern: str) -> tuple[list[bytes], tuple[dict, dict]]:
+    """Tokens by number, those of the encoder, and the moves that decoding has learnt."""
+    return _encoder(path, pattern).transducer.merges.bytes_of, ({}, {})
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> tuple[list[bytes], tuple[dict, dict]]:
+    return Merges(read_ranks(path)).bytes_of, ({}, {})
 
 
 PORTION = 4096  # ids decoded at once
@@ -513,7 +534,7 @@ def _ids(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _decoded(ids: np.ndarray, vocabulary: dict[int, bytes], tables: tuple[dict, dict]) -> str:
+def _decoded(ids: np.ndarray, vocabulary: Sequence[bytes] | dict[int, bytes], tables: tuple[dict, dict]) -> str:
     stream = Utf8Stream(vocabulary, tables)
     out = [stream.feed(ids[i : i + PORTION].tolist()) for i in range(0, len(ids), PORTION)]
     return "".join([*out, stream.end()])
@@ -539,7 +560,7 @@ def round_trip(text: str | Column, ranks_path: str, pattern: str) -> Column:
     @F.arrow_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(ranks_path, pattern)
-        vocabulary, tables = _vocabulary(ranks_path)
+        vocabulary, tables = _decoding(ranks_path, pattern)
         for batch in batches:
             ids, texts = [_ids([])], [pa.array([], pa.string())]
             for part in _slices(batch):

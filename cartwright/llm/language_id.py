@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm import sampling
+from cartwright.llm.memory import give_back
 from cartwright.llm.words import whole_text
 
 UNKNOWN = "und"
@@ -231,5 +232,6 @@ def predictions(network: Network | None, text: str | Column) -> Column:
             names = pa.array(network.languages).take(pa.array(best))
             score = pa.array(np.clip(mean[np.arange(len(best)), best], 0, 1))
             yield pa.StructArray.from_arrays([names.cast(pa.string()), score], ["lang_pred", "score"])
+        give_back()
 
     return F.when(text.rlike(r"\p{L}"), predict(text)).otherwise(nothing)

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwright.llm.graph import components
+from cartwright.llm.memory import give_back
 from cartwright.llm.words import id_and_text, unused, whole_text
 from cartwright.session import materialize
 
@@ -145,6 +146,7 @@ def signature(text: str | Column) -> Column:
             found = [(name or None, len(tokens)) for name, tokens in shingle_sets(batch)]
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
             yield pa.StructArray.from_arrays(columns, ["class", "n"])
+        give_back()
 
     return sign(whole_text(text))
 
@@ -184,6 +186,7 @@ def _texts_packed(n_buckets: int):
                 if known:
                     classes = np.fromiter(known, np.int64, len(known))
                     yield _rows(classes, classes, list(known.values()), n_buckets)
+        give_back()
 
     return pack
 
@@ -269,6 +272,12 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def _shared(table: pa.Table) -> pa.Table:
+    found = _counted(table)
+    give_back()
+    return found
+
+
+def _counted(table: pa.Table) -> pa.Table:
     """Of one bucket: for each class, how many of its tokens another group has too."""
     classes = _joined(table["classes"], np.int64)
     if table["bucket"][0].as_py() < 0:

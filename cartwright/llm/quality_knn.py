@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm import sampling
+from cartwright.llm.memory import give_back
 from cartwright.llm.words import whole_text
 
 GRAMS = 1 << 12
@@ -176,5 +177,6 @@ def score(model: Neighbourhood | None, text: str | Column) -> Column:
                 vectors = np.array([model.place(*terms(t.as_py() or "")) for t in block])
                 out.append(model.scores(vectors.astype(np.float32)))
             yield pa.array(np.clip(np.concatenate(out), 0, 1) if out else [], pa.float64())
+        give_back()
 
     return vote(whole_text(text))

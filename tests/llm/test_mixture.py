@@ -125,3 +125,27 @@ def test_blank_and_empty_tables(make):
     assert mixture.mixed_documents(blank).collect() == []
     assert mixture.mix(make([])).taken().collect() == []
     assert mixture.mixed_documents(make([])).collect() == []
+
+
+def test_slots_are_dealt_out_to_many_tasks(spark, monkeypatch):
+    """Groups of shards, and so the work of a task, are bounded by slots; draws don't depend on it."""
+    sources = [
+        {"source": s, "number": k, "rows": 1, "size": 128 * 40_000, "blocks": 40_000, "target": 0.0, "slots": 30_000 + 9000 * k}
+        for k, s in enumerate("abc")
+    ]
+    recipe = mixture.Recipe()
+    docs = spark.range(1)
+
+    def drawn():
+        counts = mixture.shard_counts(docs, sources, recipe)
+        made = mixture.slots(counts, sources, recipe)
+        return made.withColumn("task", F.spark_partition_id()).cache()
+
+    whole = drawn()
+    monkeypatch.setattr(mixture, "TASK_SLOTS", 1 << 13)
+    monkeypatch.setattr(mixture, "GROUP_SLOTS", 1 << 11)
+    parted = drawn()
+    assert whole.count() == parted.count() == 3 * 39_000
+    assert whole.drop("task").exceptAll(parted.drop("task")).count() == 0
+    sizes = [r["count"] for r in parted.groupBy("task").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
