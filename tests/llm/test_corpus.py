@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not pathlib.Path(DATA).exists(), reason="no star
 
 def test_every_operator_is_registered():
     names = driver.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
 
 
