@@ -22,6 +22,7 @@ sums within it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ from cartwright.session import materialize
 
 GROUP_ROWS = 4096  # documents of one source that are numbered together, about
 WORD_AND_BLANKS = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+GROUP_SLOTS = 1 << 15  # slots of the shards that are drawn together, about
+TASK_SLOTS = 1 << 17  # slots that one task places, about
 ROUNDS = 4
 MAX_SOURCES = 1_000_000  # rows of the driver's table of sources, about 100 bytes each
 SENT_SOURCES = 100_000  # up to here the table goes to every task
@@ -141,7 +144,8 @@ def shard_counts(docs: DataFrame, sources: list[dict], recipe: Recipe) -> DataFr
         return spark.createDataFrame([], schema)
     shares = wanted / total
     n_shards = total // recipe.shard_slots  # the last shard settles the rest
-    width = max(1, 2_000_000 // max(1, len(sources)) // 8)  # shards in a group
+    # shards in a group: few enough that its counts and its slots are a small part of a task's work
+    width = max(1, min(2_000_000 // max(1, len(sources)) // 8, GROUP_SLOTS // recipe.shard_slots))
     groups = spark.range(0, -(-n_shards // width)) if n_shards else spark.range(0, 1)
 
     def bounds(group: int) -> range:
@@ -179,7 +183,8 @@ def shard_counts(docs: DataFrame, sources: list[dict], recipe: Recipe) -> DataFr
                     )
                     first += drawn
 
-    drawn = started.mapInArrow(counts, schema)
+    # by number, not by bytes: a short row of totals stands for a whole group of slots
+    drawn = started.repartition(max(1, math.ceil(total / TASK_SLOTS))).mapInArrow(counts, schema)
     rest = {k: v for k, v in enumerate(wanted.tolist())}
     for row in offsets.groupBy("number").agg(F.sum("drawn").alias("n")).collect():
         rest[row["number"]] -= row["n"]
@@ -187,7 +192,7 @@ def shard_counts(docs: DataFrame, sources: list[dict], recipe: Recipe) -> DataFr
     return drawn.union(spark.createDataFrame(last, schema)) if last else drawn
 
 
-SLOTS_PER_ROW = 1 << 16
+SLOTS_PER_ROW = 1 << 16  # of one batch
 
 
 def slots(counts: DataFrame, sources: list[dict], recipe: Recipe) -> DataFrame:
