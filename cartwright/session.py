@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cartwright-"))
     return context.getCheckpointDir()
