@@ -155,7 +155,9 @@ def _compared(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                         ["query", "item", "similarity"],
                     )
 
-    met = visits.join(blocks, "bucket").select("ids", "vecs", "item_ids", "item_vecs")
+    # the planner takes visits for as small as the vectors they are made of, a copy for every probe
+    # more: merged by bucket, neither side is ever sent through the driver
+    met = visits.join(blocks.hint("merge"), "bucket").select("ids", "vecs", "item_ids", "item_vecs")
     return met.mapInArrow(compare, f"query {kinds[0]}, item {kinds[1]}, similarity double")
 
 

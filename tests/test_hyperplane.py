@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cartwright.operators import hyperplane
 from cartwright.operators.hyperplane import Planes
+from cartwright.session import materialize
 
 
 def brute(held, k):
@@ -77,3 +78,12 @@ def test_probes_come_in_order_of_doubt():
     assert seen[0] == 0b101 and seen[1] == 0b111 and seen[2] == 0b100  # the nearest plane, the next
     assert len(set(seen)) == 5
     assert sorted(hyperplane.probed(signature, away, 99)[0].tolist()) == list(range(8))
+
+
+def test_visits_are_not_sent_through_the_driver(spark):
+    """A copy per probe makes them far larger than the vectors the planner measures them by."""
+    heads = materialize(table(spark, clustered(4, 50, 5)), "heads")
+    planes = Planes().with_bits(50)
+    blocks = materialize(hyperplane._blocks(hyperplane._dealt(heads, planes, 24, False)), "blocks")
+    near = hyperplane._compared(hyperplane._dealt(heads, planes, 24, True), blocks, 3)
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
