@@ -41,7 +41,8 @@ BLOCK_ROWS = 1 << 16  # of a block, about
 LARGEST_BLOCK = 2 * BLOCK_ROWS
 REFRESH = 25  # trees between two stores of the scores
 REMEMBERED = 64 << 20  # bytes of scores that a worker remembers
-COLLECTED = 64  # partial sums that go to the driver at once; more are added up in two steps
+COLLECTED = 64  # pieces of the sums that are added up side by side, at most
+PIECE_CELLS = 1 << 16  # of a piece, about
 
 
 @dataclass(frozen=True)
@@ -310,10 +311,15 @@ class Job:
         used = self.drawn(block) & ((block.fold != self.folds[model]) | (self.folds[model] < 0))
         return (np.rint(np.where(used, x, 0) / self.unit) for x in (first, second))
 
+    @property
+    def shape(self) -> tuple[int, ...]:
+        """Of the sums: model, 2, column, node, bin."""
+        return len(self.folds), 2, self.numbers + (self.values > 0), 1 << self.level, self.width
+
     def sums(self, block: Block) -> np.ndarray:
         """(model, 2, column, node, bin): gradients and Hessians of the block, in units."""
         nodes, n_columns = 1 << self.level, len(block.matrix)
-        out = np.zeros((len(self.folds), 2, n_columns, nodes, self.width))
+        out = np.zeros(self.shape)
         for m, score in enumerate(self.scores(block)):
             both = list(self.gradients(block, m, score))
             base = self.growing[m].nodes(block.matrix, self.numbers, self.level) * self.width
@@ -551,11 +557,19 @@ def _persisted(blocks: DataFrame):
 
 
 def _total(held, job: Job) -> np.ndarray:
-    """Sums over all blocks; being whole numbers, they don't depend on the order."""
-    parts = held.mapPartitions(job.run)
-    if held.getNumPartitions() <= COLLECTED:
-        return sum(parts.collect())
-    return parts.treeReduce(lambda a, b: a + b, depth=2)
+    """Sums over all blocks; being whole numbers, they don't depend on the order.
+
+    Each core adds up its blocks, and these sums are added up in pieces by tasks, so the driver gets
+    one number per cell, however many blocks there are.
+    """
+    parts = min(held.getNumPartitions(), held.context.defaultParallelism)
+    sums = held.coalesce(parts).mapPartitions(job.run)
+    if parts == 1:
+        return sum(sums.collect())
+    pieces = max(1, min(parts, COLLECTED, math.prod(job.shape) // PIECE_CELLS))
+    cut = sums.flatMap(lambda whole: enumerate(np.array_split(whole.ravel(), pieces)))
+    added = dict(cut.reduceByKey(np.add, pieces).collect())
+    return np.concatenate([added[p] for p in range(pieces)]).reshape(job.shape)
 
 
 def _rescored(blocks: DataFrame, job: Job) -> DataFrame:

@@ -155,3 +155,21 @@ def test_bins_are_quantiles(spark):
     bins = boosting.quantile_bins(df.withColumn("id", F.col("id").cast("double")), ["id", "x", "z"], bins=4)
     assert bins.cuts[0] == (250.0, 500.0, 750.0)
     assert len(bins.cuts[1]) == 3 and bins.cuts[2] == ()
+
+
+def test_the_driver_gets_one_number_per_cell(spark, table, monkeypatch):
+    """However many blocks there are, their sums are added up by tasks."""
+    _, job, blocks = boosting._start(table, BINS, "y", Boosting(1, 2, classify=True), "id", "w", None, [-1], 6)
+    held = boosting._persisted(blocks).repartition(6)
+    want = sum(job.sums(job.read(r)) for r in held.collect())
+    brought = []
+
+    def collect(rdd, plain=type(held).collect):
+        found = plain(rdd)
+        brought.extend(found)
+        return found
+
+    monkeypatch.setattr("pyspark.rdd.RDD.collect", collect)
+    monkeypatch.setattr(boosting, "PIECE_CELLS", 40)
+    assert (boosting._total(held, job) == want).all()
+    assert sum(piece.size for _, piece in brought) == want.size
