@@ -142,6 +142,11 @@ def quality_reports(raw: Mapping[str, DataFrame]) -> DataFrame:
 CHECKED_MODELS = tuple(dict.fromkeys([*UNIQUE, *NOT_NULL, *ACCEPTED]))
 
 
+def checked_columns(model: str) -> list[str]:
+    """The columns of a model that some check asks for."""
+    return list(dict.fromkeys([*UNIQUE.get(model, ()), *NOT_NULL.get(model, ()), *ACCEPTED.get(model, {})]))
+
+
 def unique_violations(df: DataFrame, column: str) -> DataFrame:
     """Values that occur more than once, with how often."""
     return (

@@ -344,7 +344,7 @@ def observed_quality_report(s: Star) -> DataFrame:
 def constraint_violations(s: Star) -> DataFrame:
     staged = staging.all_staged(quality.clean_all(s.raw_tables))
     # each frame is asked several times over, so its rows are cleaned once and stored
-    checked = {m: materialize(staged[m], m) for m in quality.CHECKED_MODELS}
+    checked = {m: materialize(staged[m].select(*quality.checked_columns(m)), m) for m in quality.CHECKED_MODELS}
     return quality.constraint_violations(checked)
 
 

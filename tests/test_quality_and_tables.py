@@ -1,6 +1,9 @@
+from types import SimpleNamespace
+
 import pytest
 from helpers import rows
 
+import catalogue
 from cartwright.operators import quality
 from cartwright.plans import insights, staging
 from cartwright.session import materialize, shared_folder
@@ -235,3 +238,12 @@ def test_cleaning_and_report_of_one_pass(spark):
     )
     empty = {"order_items_dataset": raw.limit(0)}
     assert rows(quality.clean_and_report(empty, store)) == rows(quality.quality_reports(empty))
+
+
+def test_only_checked_columns_are_stored(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(catalogue, "materialize", lambda df, name: kept.setdefault(name, df))
+    star = SimpleNamespace(raw_tables={t: raw(spark, t) for t in RAW_TABLES})
+    assert catalogue.constraint_violations(star).count() == 16
+    assert kept["stg_orders"].columns == ["order_id", "customer_id", "status"]
+    assert kept["stg_sellers"].columns == ["seller_id"]
