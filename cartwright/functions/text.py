@@ -12,16 +12,25 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "NaT",
 )
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"  # finite up to 300 characters
 
 
 def stripped(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Most texts have nothing to strip, which their first and last characters tell at little cost."""
+    padded = c < F.lit("!")  # a first character up to the blank, all whitespace among them
+    for space in WHITESPACE:
+        padded |= c.endswith(space)
+    return F.when(padded, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
+
+
+def without_tokens(s: Column) -> Column:
+    """Stripped text, NULL for every missing-value token."""
+    return F.when(~s.isin(*NULL_TOKENS), s)
 
 
 def normalised(c: Column) -> Column:
     """Strip whitespace and turn every missing-value token into NULL."""
-    s = stripped(c)
-    return F.when(~s.isin(*NULL_TOKENS), s)
+    return without_tokens(stripped(c))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -46,9 +55,15 @@ def as_number(c: Column) -> Column:
 
     Spark's own cast also takes type suffixes (``12d``), ``NaN`` and ``Infinity``.
     """
-    number = F.when(stripped(c.cast("string")).rlike(NUMBER), stripped(c.cast("string")))
-    value = number.try_cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    s = stripped(c.cast("string"))
+    return F.when(is_number(s), s.try_cast("double"))
+
+
+def is_number(s: Column) -> Column:
+    """Whether stripped text is a finite decimal number (NULL is none); most need one comparison."""
+    plain = (F.octet_length(s) <= 300) & s.rlike(PLAIN_NUMBER)
+    finite = s.rlike(NUMBER) & (F.abs(s.try_cast("double")) < F.lit(float("inf")))
+    return F.when(plain, F.lit(True)).otherwise(F.coalesce(finite, F.lit(False)))
 
 
 def title_label(c: Column) -> Column:

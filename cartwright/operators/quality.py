@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cartwright.functions.text import as_number, normalised
+from cartwright.functions.text import is_number, stripped, without_tokens
 from cartwright.sources.schemas import ACCEPTED, NOT_NULL, RAW_TABLES, UNIQUE, RawTable
 
 ISSUES = {
@@ -24,7 +24,9 @@ ISSUES = {
 
 
 def _normalise(raw: DataFrame, spec: RawTable) -> DataFrame:
-    return raw.select(*[normalised(F.col(c)).alias(c) for c in spec.columns])
+    # two steps, so that each text is stripped once
+    texts = raw.select(*[stripped(F.col(c)).alias(c) for c in spec.columns])
+    return texts.select(*[without_tokens(F.col(c)).alias(c) for c in spec.columns])
 
 
 def _complete(spec: RawTable) -> Column:
@@ -33,7 +35,8 @@ def _complete(spec: RawTable) -> Column:
 
 
 def _invalid(c: str) -> Column:
-    return F.col(c).isNotNull() & as_number(F.col(c)).isNull()
+    """Of a normalised column."""
+    return F.col(c).isNotNull() & ~is_number(F.col(c))
 
 
 def clean(raw: DataFrame, table: str) -> DataFrame:
@@ -51,29 +54,40 @@ def clean_all(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def _judged(raw: DataFrame, spec: RawTable) -> DataFrame:
-    """The distinct normalised rows, how many copies there are of each, and whether it stays."""
-    return (
-        _normalise(raw, spec)
-        .groupBy(*spec.columns)
-        .agg(F.count("*").alias("copies"))
-        .withColumn("kept", _complete(spec))
+    """The distinct normalised rows without their invalid numbers, how many ``copies`` there are of
+    each, whether it is ``kept``, and how many of its values are ``blank`` times and ``invalid`` numbers.
+
+    Every number is looked at once: what follows, rows or counts, reads the marks.
+    """
+    marks = {c: f"__invalid_{c}" for c in spec.numbers}
+
+    def number_of(tests: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, [t.cast("int") for t in tests], F.lit(0))
+
+    distinct = _normalise(raw, spec).groupBy(*spec.columns).agg(F.count("*").alias("copies"))
+    marked = distinct.withColumns({mark: _invalid(c) for c, mark in marks.items()})
+    return marked.select(
+        *[F.when(~F.col(marks[c]), F.col(c)).alias(c) if c in marks else F.col(c) for c in spec.columns],
+        "copies",
+        _complete(spec).alias("kept"),
+        number_of([F.col(c).isNull() for c in spec.timestamps]).alias("blank"),
+        number_of([F.col(mark) for mark in marks.values()]).alias("invalid"),
     )
 
 
-def _counts(spec: RawTable) -> dict[str, Column]:
+def _counts() -> dict[str, Column]:
     """Aggregates over judged rows: every line of the report."""
 
-    def among_kept(tests: list[Column]) -> Column:
-        hits = reduce(lambda a, b: a + b, [t.cast("int") for t in tests], F.lit(0))
-        return F.coalesce(F.sum(F.when(F.col("kept"), hits)), F.lit(0)).cast("bigint")
+    def among_kept(hits: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kept"), F.col(hits))), F.lit(0)).cast("bigint")
 
     zero = F.lit(0)
     return {
         "rows_before": F.coalesce(F.sum("copies"), zero),
         "duplicate_rows_removed": F.coalesce(F.sum(F.col("copies") - 1), zero),
         "required_rows_dropped": F.count_if(~F.col("kept")),
-        "blank_timestamps": among_kept([F.col(c).isNull() for c in spec.timestamps]),
-        "invalid_numbers": among_kept([_invalid(c) for c in spec.numbers]),
+        "blank_timestamps": among_kept("blank"),
+        "invalid_numbers": among_kept("invalid"),
         "rows_after": F.count_if("kept"),
     }
 
@@ -87,7 +101,7 @@ def quality_report(raw: DataFrame, table: str) -> DataFrame:
     Grouping by the whole row gives the copies of each, so every count comes from one shuffle.
     """
     spec = RAW_TABLES[table]
-    counts = _judged(raw, spec).agg(*[c.alias(name) for name, c in _counts(spec).items()])
+    counts = _judged(raw, spec).agg(*[c.alias(name) for name, c in _counts().items()])
     lines = F.array(
         *[
             F.struct(F.lit(text).alias("measure"), F.col(c).cast("bigint").alias("count"))
@@ -109,9 +123,8 @@ def clean_and_report(
     for name, df in raw.items():
         spec = RAW_TABLES[name]
         seen = Observation(f"quality of {name}")
-        judged = _judged(df, spec).observe(seen, *[c.alias(k) for k, c in _counts(spec).items()])
-        rows = judged.filter("kept").select(*spec.columns)
-        store(rows.withColumns({c: F.when(~_invalid(c), F.col(c)) for c in spec.numbers}), name)
+        judged = _judged(df, spec).observe(seen, *[c.alias(k) for k, c in _counts().items()])
+        store(judged.filter("kept").select(*spec.columns), name)
         lines += [(name, text, int(seen.get[k])) for k, text in LABELS.items()]
     issues = sum(n for _, text, n in lines if text in ISSUES.values())
     lines.append(("all tables", "total issues fixed", issues))

@@ -65,6 +65,20 @@ def test_normalised(spark, raw, want):
     assert one(spark, text.normalised(F.lit(raw).cast("string"))) == want
 
 
+def test_stripping_and_numbers_take_every_text_as_before(spark):
+    texts = ["", " ", "a", " a", "a\t", "\fa b\v", "\u00a0a\u00a0", "é\n", "\x01a", "\x1fa ", "!a", "\u2028a \u2028", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    plain = F.btrim("t", F.lit(text.WHITESPACE))
+    assert [r[0] for r in df.select(text.stripped(F.col("t"))).collect()] == [r[0] for r in df.select(plain).collect()]
+    numbers = {
+        "1": 1.0, "+.5": 0.5, "-1.": -1.0, " 7\n": 7.0, "1e3": 1000.0, "9" * 300: float("9" * 300), "9" * 400: None,
+        "0" * 400 + "1": 1.0, "1e999": None, "12\u2028": None, "12\u0085": None, ".": None, "-": None, "12d": None,
+        "NaN": None, "Infinity": None, "0x10": None, "1 2": None, "١": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in numbers], "t string").coalesce(1)
+    assert [r[0] for r in df.select(text.as_number(F.col("t"))).collect()] == list(numbers.values())
+
+
 def test_casts_are_blank_safe_but_strict(spark):
     assert one(spark, text.as_timestamp(F.lit("  "))) is None
     assert one(spark, text.as_money(F.lit(""))) is None

@@ -240,6 +240,21 @@ def test_cleaning_and_report_of_one_pass(spark):
     assert rows(quality.clean_and_report(empty, store)) == rows(quality.quality_reports(empty))
 
 
+def test_report_strips_and_tests_each_text_once(spark):
+    plans = []
+
+    def store(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        df.collect()
+
+    quality.clean_and_report({"order_items_dataset": items(spark)}, store)
+    columns, numbers = (len(getattr(RAW_TABLES["order_items_dataset"], k)) for k in ("columns", "numbers"))
+    assert plans[0].count("trim(") == columns
+    assert plans[0].lower().count("rlike") == 2 * numbers  # the plain form, and the general one for other texts
+    observed = next(line for line in plans[0].splitlines() if "CollectMetrics" in line)
+    assert "rlike" not in observed.lower() and "trim" not in observed
+
+
 def test_only_checked_columns_are_stored(spark, monkeypatch):
     kept = {}
     monkeypatch.setattr(catalogue, "materialize", lambda df, name: kept.setdefault(name, df))
