@@ -248,7 +248,7 @@ class Block:
         number, n, matrix, label, weight, fold, key, scores = row
         stored = np.frombuffer(scores, np.float64)
         return cls(
-            number, np.frombuffer(matrix, np.uint16).reshape(columns, n).astype(np.int64),
+            number, np.frombuffer(matrix, np.uint16).reshape(columns, n),
             np.frombuffer(label, np.float64), np.frombuffer(weight, np.float64), np.frombuffer(fold, np.int8),
             np.frombuffer(key, np.uint64), stored.reshape(models, n) if len(stored) else np.zeros((models, n)),
         )
@@ -339,8 +339,10 @@ class Job:
 
 
 def _packed(rows: pa.Table) -> pa.RecordBatch:
-    key, label, weight, fold, *own = [c.to_numpy() for c in rows.columns]
-    matrix = np.stack(own).astype(np.uint16)
+    key, label, weight, fold = [c.to_numpy() for c in rows.columns[:4]]
+    matrix = np.empty((rows.num_columns - 4, rows.num_rows), np.uint16)
+    for at, column in zip(matrix, rows.columns[4:], strict=True):
+        at[:] = column.to_numpy()
     parts = [matrix, label, weight, fold.astype(np.int8), key.view(np.uint64)]
     return pa.RecordBatch.from_arrays(
         [pa.array([rows.num_rows], pa.int32()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]],
@@ -553,7 +555,9 @@ def _alone(job: Job, draws: Sequence[np.ndarray], rows: Iterator[tuple]) -> Iter
 
 
 def _persisted(blocks: DataFrame):
-    return blocks.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    """The blocks as an RDD, persisted as the JVM hands them out: were they persisted by a Python
+    function, the first task on each would hold two Python workers, and idle ones keep their memory."""
+    return blocks.rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _total(held, job: Job) -> np.ndarray:

@@ -173,3 +173,14 @@ def test_the_driver_gets_one_number_per_cell(spark, table, monkeypatch):
     monkeypatch.setattr(boosting, "PIECE_CELLS", 40)
     assert (boosting._total(held, job) == want).all()
     assert sum(piece.size for _, piece in brought) == want.size
+
+
+def test_blocks_are_persisted_without_python(spark, table):
+    """Tasks that persist blocks by a Python function and read them by another hold two workers each."""
+    _, job, blocks = boosting._start(table, BINS, "y", Boosting(1, 2, classify=True), "id", "w", None, [-1], 3)
+    held = boosting._persisted(blocks)
+    assert b"PythonRDD" not in held.toDebugString()
+    first = job.read(held.first())
+    assert first.matrix.dtype == np.uint16  # as stored: no wider copy
+    assert boosting._total(held, job).shape == job.shape
+    held.unpersist()
