@@ -162,7 +162,7 @@ def matches(lists: DataFrame) -> DataFrame:
 
 def nearest_others(vectors: DataFrame, k: int, **search) -> DataFrame:
     """Each stored vector's ``k`` nearest other vectors."""
-    lists = retrieve(vectors, vectors, k + 1, **search)
+    lists = retrieve(vectors, vectors, k + 1, item_vectors=False, **search)
     others = F.filter("neighbours", lambda x: x["item_id"] != F.col("query_id"))
     trimmed = lists.withColumn("neighbours", F.slice(others, 1, k))
     return _ranked(trimmed, "vec_id", "neighbour_id")
