@@ -7,9 +7,10 @@ planes it lies nearest to, the least sum of squared distances first. What stands
 compared exactly; the score of a result is its true similarity, only that a near one may be missed.
 
 Vectors that point the same way are indexed once, so copies fill no bucket. Buckets are cut into
-blocks of bounded size, packed one to a row, and queries travel to them packed by bucket: no pair of
-vectors becomes a row, and a large bucket or one that many queries probe is shared out by the join.
-The number of bits follows the number of items, so buckets stay about as large at every size.
+blocks of bounded size, packed one to a row. A few queries travel to them packed by bucket, shared out by
+the join. More are packed into chunks, and a task reads the blocks of all buckets for one chunk after the
+other, as a copy of a query for every bucket it looks into would fill disks. No pair of vectors becomes
+a row. The number of bits follows the number of items, so buckets stay about as large at every size.
 
 Zero vectors have no direction: they neither ask nor answer, nor do vectors that are missing or of
 another length than most. Ids are distinct.
@@ -27,11 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartwright.operators.blockwise import Nearest, by_chunk, chunk_rows, file_per_row, gathered, meet, one
 from cartwright.operators.similarity import direction
 from cartwright.session import materialize
 
 BLOCK_ROWS = 4096
 QUERY_TILE = 256
+JOINED_ROWS = 2_048  # queries that are copied to the buckets they look into
+PACK_BYTES = 8 << 20  # of the blocks of buckets that are read together
+CHUNK_BYTES = 32 << 20  # of the query vectors of a chunk
 _DIGITS = 1e10
 _ROOM = 1 << 20
 
@@ -161,6 +166,95 @@ def _compared(visits: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(compare, f"query {kinds[0]}, item {kinds[1]}, similarity double")
 
 
+def _packs(blocks: DataFrame) -> DataFrame:
+    """``buckets, sizes, item_ids, item_vecs``: blocks put together, each in the order of its ids."""
+    kind = blocks.schema["item_ids"].dataType.elementType.simpleString()
+
+    def put(held: list[tuple[int, pa.Array, bytes]]) -> pa.RecordBatch:
+        names, ids, vecs = zip(*held, strict=True)
+        sizes = pa.array([len(i) for i in ids], pa.int32())
+        columns = [one(pa.array(names, pa.int64())), one(sizes), one(pa.concat_arrays(ids)), pa.array([b"".join(vecs)])]
+        return pa.RecordBatch.from_arrays(columns, ["buckets", "sizes", "item_ids", "item_vecs"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, pa.Array, bytes]] = []
+        size = 0
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, vecs = batch.column(1)[r].values, batch.column(2)[r].values
+                order = pc.sort_indices(ids)
+                held.append((batch.column(0)[r].as_py(), ids.take(order), _matrix(vecs.take(order)).tobytes()))
+                size += len(held[-1][2])
+                if size >= PACK_BYTES:
+                    yield put(held)
+                    held, size = [], 0
+        if held:
+            yield put(held)
+
+    kinds = f"buckets array<bigint>, sizes array<int>, item_ids array<{kind}>, item_vecs binary"
+    return blocks.select("bucket", "item_ids", "item_vecs").mapInArrow(pack, kinds)
+
+
+def _chunks(heads: DataFrame, n: int, dimensions: int) -> DataFrame:
+    """``chunk, ids, vecs``: queries packed."""
+    kind = heads.schema["id"].dataType.simpleString()
+    rows = max(1, min(chunk_rows(heads.sparkSession, n), CHUNK_BYTES // (8 * dimensions)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, rows):
+            vecs = pa.array([_matrix(part.column(1)).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([one(part.column(0)), vecs], ["ids", "vecs"])
+
+    dealt = heads.select("id", "vec").repartition(max(1, math.ceil(n / rows)), "id")
+    packed = dealt.mapInArrow(pack, f"ids array<{kind}>, vecs binary")
+    return packed.select(F.monotonically_increasing_id().alias("chunk"), "*")
+
+
+def _streamed(chunks: DataFrame, packs: DataFrame, planes: Planes, dimensions: int, k: int) -> DataFrame:
+    """``query, item, similarity``: the k best of each query among the buckets it looks into."""
+    kinds = [f.schema[c].dataType.elementType.simpleString() for f, c in ((chunks, "ids"), (packs, "item_ids"))]
+
+    class Chunk:
+        def __init__(self, batch: pa.RecordBatch, r: int):
+            self.ids = batch.column(1)[r].values
+            self.vectors = np.frombuffer(batch.column(2)[r].as_buffer(), np.float64).reshape(len(self.ids), -1).copy()
+            self.best, self.item_type = Nearest(len(self.ids), k, distinct=True), None
+            # per table the buckets looked into, rising, and who looks
+            self.looks = []
+            for t, normals in enumerate(planes.normals(dimensions)):
+                away = np.einsum("nd,bd->nb", self.vectors, normals)
+                own = ((away > 0) * (1 << np.arange(normals.shape[0]))).sum(axis=1)
+                seen = probed(own, away, planes.probes)
+                bucket = (seen << 8 | t).ravel()
+                order = np.argsort(bucket, kind="stable")
+                self.looks.append((bucket[order], (order // seen.shape[1]).astype(np.int32)))
+
+        def __call__(self, batch: pa.RecordBatch, r: int) -> None:
+            buckets, sizes, items = (batch.column(c)[r].values for c in (3, 4, 5))
+            self.item_type = items.type
+            buckets, ends = buckets.to_numpy(), np.cumsum(sizes.to_numpy())
+            vectors = np.frombuffer(batch.column(6)[r].as_buffer(), np.float64).reshape(len(items), -1)
+            found = []
+            for bucket, end, size in zip(buckets.tolist(), ends.tolist(), sizes.to_numpy().tolist(), strict=True):
+                names, rows = self.looks[bucket & 255]
+                low, high = np.searchsorted(names, bucket), np.searchsorted(names, bucket, "right")
+                right = vectors[end - size : end]
+                for top in range(low, high, QUERY_TILE):
+                    own = rows[top : min(top + QUERY_TILE, high)]
+                    q, i, s = _best(self.vectors[own], right, k)
+                    near = s >= self.best.floors[own[q]]
+                    found.append((own[q][near], i[near] + end - size, s[near]))
+            if found:
+                q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                self.best.add(q, items.to_numpy(zero_copy_only=False)[i], s)
+
+    def closed(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        return chunk.best.rows(chunk.ids, chunk.item_type, ["query", "item", "similarity"])
+
+    schema = f"query {kinds[0]}, item {kinds[1]}, similarity double"
+    return meet(chunks, packs, None, by_chunk(Chunk, closed), schema, "plane_found")
+
+
 def _best(queries: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, item, similarity of each query's k best; ties to the earlier item."""
     scale = np.sqrt(np.outer((queries * queries).sum(axis=1), (items * items).sum(axis=1)))
@@ -190,10 +284,18 @@ def nearest_others(vectors: DataFrame, k: int, planes: Planes | None = None) ->
     kept = pointed.withColumn("at", F.row_number().over(firsts)).where(F.col("at") <= k + 1)
     kept = materialize(kept, "kept_directions")
     heads = materialize(kept.where("at = 1").select("id", "vec", "direction"), "directions")
-    planes = planes.with_bits(heads.count())
-    blocks = materialize(_blocks(_dealt(heads, planes, dimensions, False)), "plane_buckets")
-    visits = _dealt(heads, planes, dimensions, True)
-    near = _compared(visits, blocks, k + 1).distinct()  # found in several tables
+    n = heads.count()
+    planes = planes.with_bits(n)
+    blocks = _blocks(_dealt(heads, planes, dimensions, False))
+    if n <= JOINED_ROWS:
+        blocks = materialize(blocks, "plane_buckets")
+        near = _compared(_dealt(heads, planes, dimensions, True), blocks, k + 1)
+    else:
+        with file_per_row(heads.sparkSession):
+            packs = materialize(_packs(blocks), "plane_buckets")
+            chunks = materialize(_chunks(heads, n, dimensions), "plane_queries")
+        near = _streamed(chunks, packs, planes, dimensions, k + 1)
+    near = near.distinct()  # found in several tables
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "item")
     found = near.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     # back from directions to the ids that have them

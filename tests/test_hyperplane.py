@@ -87,3 +87,22 @@ def test_visits_are_not_sent_through_the_driver(spark):
     blocks = materialize(hyperplane._blocks(hyperplane._dealt(heads, planes, 24, False)), "blocks")
     near = hyperplane._compared(hyperplane._dealt(heads, planes, 24, True), blocks, 3)
     assert "BroadcastHashJoin" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_queries_are_not_copied_to_the_buckets(spark, monkeypatch, kind):
+    """Chunks read the buckets one after the other; the result is that of the join."""
+    held = clustered(5, 1500, 40)
+    held += [(2000 + k, held[k][1]) for k in range(60)]  # copies
+    rows = table(spark, held).withColumn("id", F.col("id").cast(kind)).repartition(3)
+    planes = Planes(bucket=64)
+    want = sorted(map(tuple, hyperplane.nearest_others(rows, 5, planes).collect()))
+    stored, kept = hyperplane.materialize, {}
+    monkeypatch.setattr(hyperplane, "materialize", lambda df, name: kept.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(hyperplane, "_dealt", lambda *a, f=hyperplane._dealt: f(*a) if not a[3] else pytest.fail("copied"))
+    monkeypatch.setattr(hyperplane, "JOINED_ROWS", 0)
+    monkeypatch.setattr(hyperplane, "PACK_BYTES", 20_000)
+    got = sorted(map(tuple, hyperplane.nearest_others(rows, 5, planes).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-9)
+    assert kept["plane_queries"].agg(F.sum(F.size("ids"))).first()[0] == 1500
