@@ -135,16 +135,24 @@ class Tree:
         return cls(np.full(inner, -1, np.int16), np.zeros(inner, np.int16), np.zeros(inner + 1))
 
     def nodes(self, matrix: np.ndarray, numbers: int, levels: int) -> np.ndarray:
-        """Place of every row among the nodes of the level after so many splits."""
-        at = np.zeros(matrix.shape[1], np.int64)
-        rows = np.arange(matrix.shape[1])
+        """Place of every row among the nodes of the level after so many splits.
+
+        A node compares one column as a whole, which is much faster than looking up the column and
+        the cut of every row.
+        """
+        at = np.zeros(matrix.shape[1], np.min_scalar_type((1 << levels) - 1))
         for level in range(levels):
-            node = at + (1 << level) - 1
-            feature, cut = self.feature[node], self.cut[node]
-            own = matrix[np.clip(feature, 0, min(numbers, len(matrix) - 1)), rows]
-            # an indicator asks for its code: the first one's is 2, as the first value has none
-            right = np.where(feature < numbers, own > cut, own == feature - numbers + 2)
-            at = 2 * at + (right & (feature >= 0))
+            right = np.zeros(len(at), bool)
+            for place in range(1 << level):
+                node = place + (1 << level) - 1
+                feature, cut = int(self.feature[node]), self.cut[node]
+                if feature < 0:
+                    continue
+                # an indicator asks for its code: the first one's is 2, as the first value has none
+                own = matrix[feature] > cut if feature < numbers else matrix[numbers] == feature - numbers + 2
+                right |= own & (at == place) if level else own
+            at <<= 1
+            at |= right
         return at
 
     def scores(self, matrix: np.ndarray, numbers: int) -> np.ndarray:
@@ -300,16 +308,16 @@ class Job:
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return (h >> np.uint64(11)) * 2.0**-53 < self.settings.row_share
 
-    def gradients(self, block: Block, model: int, score: np.ndarray) -> Iterator[np.ndarray]:
-        """First and second derivatives of the loss in whole units, 0 for rows left out."""
-        score = score + self.bases[model]
+    def gradients(self, block: Block, model: int, score: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """First and second derivatives of the loss at some rows, in whole units."""
+        score = score[rows] + self.bases[model]
+        label, weight = block.label[rows], block.weight[rows]
         if self.settings.classify:
             p = 1 / (1 + np.exp(-score))
-            first, second = block.weight * (p - block.label), block.weight * p * (1 - p)
+            first, second = weight * (p - label), weight * p * (1 - p)
         else:
-            first, second = block.weight * (score - block.label), block.weight
-        used = self.drawn(block) & ((block.fold != self.folds[model]) | (self.folds[model] < 0))
-        return (np.rint(np.where(used, x, 0) / self.unit) for x in (first, second))
+            first, second = weight * (score - label), weight
+        return (np.rint(x / self.unit) for x in (first, second))
 
     @property
     def shape(self) -> tuple[int, ...]:
@@ -318,13 +326,16 @@ class Job:
 
     def sums(self, block: Block) -> np.ndarray:
         """(model, 2, column, node, bin): gradients and Hessians of the block, in units."""
-        nodes, n_columns = 1 << self.level, len(block.matrix)
+        nodes = 1 << self.level
         out = np.zeros(self.shape)
+        drawn = self.drawn(block)
         for m, score in enumerate(self.scores(block)):
-            both = list(self.gradients(block, m, score))
-            base = self.growing[m].nodes(block.matrix, self.numbers, self.level) * self.width
-            for c in range(n_columns):
-                cell = base + block.matrix[c]
+            # rows that are left out of the tree or the model add nothing
+            rows = np.flatnonzero(drawn & (block.fold != self.folds[m]) if self.folds[m] >= 0 else drawn)
+            both = list(self.gradients(block, m, score, rows))
+            base = self.growing[m].nodes(block.matrix, self.numbers, self.level)[rows] * np.int64(self.width)
+            for c, column in enumerate(block.matrix):
+                cell = base + column[rows]
                 for k in (0, 1):
                     out[m, k, c] = np.bincount(cell, both[k], nodes * self.width).reshape(nodes, self.width)
         return out

@@ -184,3 +184,32 @@ def test_blocks_are_persisted_without_python(spark, table):
     assert first.matrix.dtype == np.uint16  # as stored: no wider copy
     assert boosting._total(held, job).shape == job.shape
     held.unpersist()
+
+
+def test_rows_left_out_are_not_summed_and_nodes_are_those_of_a_walk(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, numbers, values, width = 4000, 3, 4, 9
+    matrix = np.concatenate([rng.integers(0, 8, (numbers, n)), rng.integers(0, values + 1, (1, n))]).astype(np.uint16)
+    label, fold = (rng.random(n) < 0.4).astype(float), rng.integers(0, 5, n).astype(np.int8)
+    key = rng.integers(0, 2**63, n).astype(np.uint64)
+    block = boosting.Block(0, matrix, label, np.where(label == 1, 2.0, 1.0), fold, key, np.zeros((2, n)))
+    settings = Boosting(trees=3, depth=3, classify=True)
+    trees = [boosting.Tree.empty(3) for _ in range(2)]
+    job = boosting.Job("left out", settings, numbers, values, width, [0.1, 0.2], 2.0**-30, [1, -1], 0, [[], []], trees)
+    binned, count = [], np.bincount
+    monkeypatch.setattr(boosting.np, "bincount", lambda cell, *rest: binned.append(len(cell)) or count(cell, *rest))
+    gains = [np.zeros((2, numbers + values - 1)) for _ in range(2)]
+    boosting._grown(job, boosting._drawn_features(settings, numbers + values - 1), lambda: job.sums(block), gains)
+    assert max(binned) < 0.85 * n and min(binned) < 0.7 * n
+    for tree in job.done[0] + job.done[1]:
+        assert (tree.feature >= 0).any()
+        for levels in range(4):
+            at = []
+            for row in matrix.T.tolist():
+                place = 0
+                for level in range(levels):
+                    feature, cut = tree.feature[place + (1 << level) - 1], tree.cut[place + (1 << level) - 1]
+                    right = row[feature] > cut if feature < numbers else row[numbers] == feature - numbers + 2
+                    place = 2 * place + bool(feature >= 0 and right)
+                at.append(place)
+            assert tree.nodes(matrix, numbers, levels).tolist() == at
